@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators.ordering import top_k
-from folioscope.session import fits_broadcast
+from folioscope.session import fits_broadcast, shuffle_width
 
 K1 = 1.5
 B = 0.75
@@ -46,17 +46,21 @@ class LexicalIndex:
 
 
 def build_index(chunks: DataFrame, k1: float = K1, b: float = B) -> LexicalIndex:
-    """Index ``chunks(user, ord, text)``."""
-    tokens = (
-        chunks.select("user", "ord", T.ws_tokens(F.col("text")).alias("tokens"))
-        .withColumn("dl", F.size("tokens"))
+    """Index ``chunks(user, ord, text)``.
+
+    Text is shuffled once, by chunk, and tokenised after that; every table below reads the same
+    exchange. ``user`` must be a real column, not a literal, or equal keys fold away.
+    """
+    spread = chunks.select("user", "ord", "text").repartition(shuffle_width(chunks), "user", "ord")
+    tokens = spread.select("user", "ord", T.ws_tokens(F.col("text")).alias("tokens")).withColumn(
+        "dl", F.size("tokens")
     )
     docs = tokens.select("user", "ord", "dl")
     corpus = docs.groupBy("user").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # partitioned by chunk before the explode: the (chunk, term) count needs no further exchange
+    # explode_outer: the plain form would evaluate the tokeniser twice, once in a pushed-down size filter
     counted = (
-        tokens.repartition("user", "ord")
-        .select("user", "ord", "dl", F.explode("tokens").alias("term"))
+        tokens.select("user", "ord", "dl", F.explode_outer("tokens").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("user", "ord", "term", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -79,7 +83,8 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B) -> LexicalIndex
 def weighted_query_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``queries(user, qid, text)`` → ``(user, qid, term, weight)``; repeated query tokens add up."""
     asked = (
-        queries.select("user", "qid", F.explode(T.ws_tokens(F.col("text"))).alias("term"))
+        queries.select("user", "qid", F.explode_outer(T.ws_tokens(F.col("text"))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("user", "qid", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )

@@ -6,7 +6,7 @@ bodies the registered queries' SQL is put together from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -68,13 +68,18 @@ def sql_is_math(x: str) -> str:
     return "(" + " OR ".join(f"contains({x}, '{s}')" for s in T.MATH_SIGNALS) + ")"
 
 
+def owner(key: str) -> Column:
+    """The one user of the test tables, as a per-row value: a literal would fold join keys away."""
+    return F.when(F.col(key).isNotNull(), F.lit(USER)).alias("user")
+
+
 # ---- chunks and questions ---------------------------------------------------------------------
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` as one user's chunk table."""
     return table(spark, sf, "documents").select(
-        F.lit(USER).alias("user"), F.col("doc_id").alias("ord"), "source", "lang", "text"
+        owner("doc_id"), F.col("doc_id").alias("ord"), "source", "lang", "text"
     )
 
 
@@ -94,7 +99,7 @@ chunks AS (
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(
-        F.lit(USER).alias("user"), F.col("item_id").alias("qid"), "text"
+        owner("item_id"), F.col("item_id").alias("qid"), "text"
     )
 
 

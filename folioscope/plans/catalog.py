@@ -1,4 +1,4 @@
 """Imports every module of registered queries."""
 
-from folioscope.plans import q_retrieval  # noqa: F401
+from folioscope.plans import q_documents, q_retrieval  # noqa: F401
 from folioscope.plans.registry import QUERIES, SQL  # noqa: F401

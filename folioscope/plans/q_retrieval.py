@@ -70,9 +70,9 @@ def dense_centroid_top_k(spark, sf):
 
 def _centroids(spark, sf):
     stored = table(spark, sf, "embeddings")
-    vectors = stored.select(F.lit(B.USER).alias("user"), F.col("vec_id").alias("ord"), "embedding")
+    vectors = stored.select(B.owner("vec_id"), F.col("vec_id").alias("ord"), "embedding")
     asked = D.label_centroids(stored).select(
-        F.lit(B.USER).alias("user"), F.col("label").cast("long").alias("qid"), "embedding"
+        B.owner("label"), F.col("label").cast("long").alias("qid"), "embedding"
     )
     return vectors, asked
 

@@ -24,5 +24,12 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+WIDE = ("documents", "pages", "conversations", "events")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. One that sits in fewer files than there are cores is spread over all of them."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in WIDE and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df

@@ -54,3 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; the check itself reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """The session's shuffle partition count, for repartitions adaptive execution must not narrow."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
