@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from folioscope.functions import text as T
 from folioscope.operators.context import RELEVANCE_FLOOR, ordered
@@ -23,14 +24,15 @@ QUERY_CHARS = 1000
 ECHO_MIN_CHARS = 20
 TOOLS = ["list_documents", "run_python", "search_documents"]
 
-_CONV = W.partitionBy("conv_id").orderBy("turn")
+def _conv():
+    return W.partitionBy("conv_id").orderBy("turn")
 
 
 def history_window(turns: DataFrame) -> DataFrame:
     """Turns kept for the next request: the window start only moves in whole blocks."""
     n = F.count(F.lit(1)).over(W.partitionBy("conv_id"))
     start = F.greatest(F.lit(0), F.floor((n - HISTORY_KEEP) / HISTORY_BLOCK) * HISTORY_BLOCK)
-    return turns.withColumns({"_pos": F.row_number().over(_CONV) - 1, "_start": start}).where(
+    return turns.withColumns({"_pos": F.row_number().over(_conv()) - 1, "_start": start}).where(
         F.col("_pos") >= F.col("_start")
     ).drop("_pos", "_start")
 
@@ -65,7 +67,7 @@ def borrowed_query(message: Column, prior: Column, follow_up: Column) -> tuple[C
 
 def rewrite_queries(turns: DataFrame) -> DataFrame:
     """Each user turn with ``follow_up``, ``query`` and ``fired``, given the turns before it."""
-    before = _CONV.rowsBetween(W.unboundedPreceding, -1)
+    before = _conv().rowsBetween(W.unboundedPreceding, -1)
     prior = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)
     seen = turns.withColumns({"_prior": prior, "_n": F.count(F.lit(1)).over(before)})
     asked = seen.where(F.col("role") == "user").withColumn("follow_up", is_follow_up(F.col("text"), F.col("_n") > 0))
@@ -125,7 +127,7 @@ def clean_history(turns: DataFrame) -> DataFrame:
     ``turns`` carry a boolean ``failed``.
     """
     t = turns.withColumns(
-        {"_next_role": F.lead("role").over(_CONV), "_next_ok": F.lead(_answered()).over(_CONV)}
+        {"_next_role": F.lead("role").over(_conv()), "_next_ok": F.lead(_answered()).over(_conv())}
     )
     keep = (
         F.when(F.col("role") == "user", (F.col("_next_role") == "assistant") & F.col("_next_ok"))
@@ -162,7 +164,7 @@ def _strip_one(question: str, answer: str) -> str:
     return answer[at:].lstrip(" .:\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TY.StringType())
 def strip_question_echo(question: pd.Series, answer: pd.Series) -> pd.Series:
     """Answers without a verbatim restatement of the question at their head."""
     return pd.Series([_strip_one(q or "", a or "") for q, a in zip(question, answer)], index=answer.index)

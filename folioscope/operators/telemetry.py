@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as TY
 
 from folioscope.operators.context import RELEVANCE_FLOOR
 from folioscope.operators.ordering import number_rows, quantiles
@@ -31,7 +30,7 @@ TOOL_LOG_TYPE = (
 TOKENS_TYPE = (
     "struct<prompt:bigint,output:bigint,prefill_ms:double,decode_ms:double,mtpt_ms:double,tok_s:double>"
 )
-EVENT_SCHEMA: TY.StructType = TY.StructType.fromDDL(
+EVENT_SCHEMA = (
     "kind string, event_id string, ts string, user_hash string, question string, retrieval_query string, "
     f"mode string, model string, protocol string, sources {SOURCES_TYPE}, late_sources {SOURCES_TYPE}, "
     "timings map<string,double>, n_completion_chars int, truncated boolean, continuations int, "

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from folioscope.functions.answers import answer_value, is_correct, normalize_answer
 
@@ -214,7 +215,7 @@ def paired(items: DataFrame, incumbent: str, key: str) -> DataFrame:
     return counted.withColumn("p", mcnemar_p(F.col("wins"), F.col("losses")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(TY.DoubleType())
 def mcnemar_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
     """Two-sided exact binomial p-value of the discordant pairs; 1 when there are none."""
 
