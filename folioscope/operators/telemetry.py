@@ -247,6 +247,11 @@ def pass_record(meta: DataFrame) -> DataFrame:
     )
 
 
+def scaled_round(c: Column, digits: int) -> Column:
+    """Round on the scaled binary value, as the log writer does; ``round`` works on the decimal text."""
+    return F.round(c * 10**digits, 0) / 10**digits
+
+
 def token_totals(passes: Column) -> Column:
     """Sums over passes ignoring nulls, and the decode pace; nothing measured gives null, not zero."""
 
@@ -260,7 +265,7 @@ def token_totals(passes: Column) -> Column:
     return F.struct(
         total("prompt_tokens", long0).alias("prompt"), out.alias("output"),
         total("prefill_ms", double0).alias("prefill_ms"), decode.alias("decode_ms"),
-        F.round(rate, 2).alias("mtpt_ms"), F.round(1000 / rate, 1).alias("tok_s"),
+        scaled_round(rate, 2).alias("mtpt_ms"), scaled_round(1000 / rate, 1).alias("tok_s"),
     )
 
 

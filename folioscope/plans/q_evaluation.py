@@ -395,9 +395,9 @@ def sql_arm_exam(arms_cte: str) -> list[str]:
     bm25 = B.BM25.replace("(SELECT item_id, unnest(", "(SELECT qid AS item_id, unnest(").replace("FROM benchmark) GROUP BY ALL", "FROM arms) GROUP BY ALL")
     ranked = B.BM25_RANKED.replace("q.item_id", "q.qid").replace("FROM benchmark q", "FROM arms q")
     return [
-        arms_cte, bm25, ranked,
+        arms_cte, bm25, ranked, B.sql_rrf("fused", [("bm25", 1.0)], 10),
         f"""ax AS (SELECT a.arm, a.qid, a.fired, min(CASE WHEN o >= 0.7 THEN rank END) AS r, min(CASE WHEN o >= 0.5 THEN rank END) AS rs FROM arms a LEFT JOIN (
-            SELECT b.qid, b.rank, {B.sql_containment('a.gold_text', 'd.text')} AS o FROM bm25 b JOIN arms a USING (qid) JOIN documents d ON d.doc_id = b.ord WHERE b.rank <= 10) h USING (qid)
+            SELECT b.qid, b.rank, {B.sql_containment('a.gold_text', 'd.text')} AS o FROM fused b JOIN arms a USING (qid) JOIN documents d ON d.doc_id = b.ord) h USING (qid)
             GROUP BY ALL)""",
         """asum AS (SELECT arm, count(*) AS n, count_if(fired)::BIGINT AS fired, avg(coalesce((r <= 1)::INTEGER, 0)) AS recall_1, avg(coalesce((r <= 5)::INTEGER, 0)) AS recall_5,
             avg((r IS NOT NULL)::INTEGER) AS recall_pool, avg(coalesce(1.0 / r, 0)) AS mrr, avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0 END) AS ndcg_5 FROM ax GROUP BY arm)""",
