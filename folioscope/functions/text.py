@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ PAGE_BREAK = r"\{(\d+)\}-+"
 SENTENCE = r"[^.!?\n]*[.!?\n]|\S[^.!?\n]*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, for use inside lambdas, which evaluate their captures per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS_RUN}|{WS_RUN}\z", "")
 
@@ -99,16 +106,18 @@ def equations(c: Column) -> Column:
 
 def equation_segments(c: Column) -> Column:
     """Ordered ``array<struct<kind, span>>`` whose spans concatenate back to the input."""
-    prose = F.split(c, EQUATION)
-    spans = equations(c)
-    pairs = F.transform(
-        prose,
-        lambda p, i: F.array(
-            F.struct(F.lit("prose").alias("kind"), p.alias("span")),
-            F.struct(F.lit("eq").alias("kind"), F.get(spans, i).alias("span")),
-        ),
-    )
-    return F.filter(F.flatten(pairs), lambda s: s["span"].isNotNull() & (s["span"] != ""))
+
+    def interleave(x: Column) -> Column:
+        pairs = F.transform(
+            x["prose"],
+            lambda p, i: F.array(
+                F.struct(F.lit("prose").alias("kind"), p.alias("span")),
+                F.struct(F.lit("eq").alias("kind"), F.get(x["eq"], i).alias("span")),
+            ),
+        )
+        return F.filter(F.flatten(pairs), lambda s: s["span"].isNotNull() & (s["span"] != ""))
+
+    return let(F.struct(F.split(c, EQUATION).alias("prose"), equations(c).alias("eq")), interleave)
 
 
 def page_breaks_to_markers(c: Column) -> Column:
@@ -121,15 +130,19 @@ def strip_page_markers(c: Column) -> Column:
 
 def page_markers(c: Column) -> Column:
     """``array<struct<offset, page>>``: where each marker stood in the marker-free text."""
-    prose = F.transform(F.split(c, PAGE_MARKER), F.length)
-    pages = F.regexp_extract_all(c, F.lit(PAGE_MARKER), F.lit(1))
-    return F.transform(
-        pages,
-        lambda p, i: F.struct(
-            F.aggregate(F.slice(prose, 1, i + 1), F.lit(0), lambda a, n: a + n).alias("offset"),
-            p.cast("int").alias("page"),
-        ),
-    )
+
+    def locate(x: Column) -> Column:
+        return F.transform(
+            x["pages"],
+            lambda p, i: F.struct(
+                F.aggregate(F.slice(x["prose"], 1, i + 1), F.lit(0), lambda a, n: a + n).alias("offset"),
+                p.cast("int").alias("page"),
+            ),
+        )
+
+    prose = F.transform(F.split(c, PAGE_MARKER), F.length).alias("prose")
+    pages = F.regexp_extract_all(c, F.lit(PAGE_MARKER), F.lit(1)).alias("pages")
+    return let(F.struct(prose, pages), locate)
 
 
 def page_of_file(c: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators.ordering import top_k
-from folioscope.session import fits_broadcast, shuffle_width
+from folioscope.session import cut_lineage, fits_broadcast, shuffle_width
 
 K1 = 1.5
 B = 0.75
@@ -49,26 +49,31 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B) -> LexicalIndex
     """Index ``chunks(user, ord, text)``.
 
     Text is shuffled once, by chunk, and tokenised after that; every table below reads the same
-    exchange. ``user`` must be a real column, not a literal, or equal keys fold away.
+    exchange. Counts and term weights are written out once and read by every later query.
+    ``user`` must be a real column, not a literal, or equal keys fold away.
     """
     spread = chunks.select("user", "ord", "text").repartition(shuffle_width(chunks), "user", "ord")
     tokens = spread.select("user", "ord", T.ws_tokens(F.col("text")).alias("tokens")).withColumn(
         "dl", F.size("tokens")
     )
-    docs = tokens.select("user", "ord", "dl")
-    corpus = docs.groupBy("user").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    # explode_outer: the plain form would evaluate the tokeniser twice, once in a pushed-down size filter
-    counted = (
+    # explode_outer: the plain form would evaluate the tokeniser twice, once in a pushed-down size
+    # filter. A chunk without tokens keeps one row with a null term.
+    counted = cut_lineage(
         tokens.select("user", "ord", "dl", F.explode_outer("tokens").alias("term"))
-        .where(F.col("term").isNotNull())
         .groupBy("user", "ord", "term", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    # (user, ord) is unique per dl, so chunks are counted without a distinct over rows
+    docs = counted.groupBy("user", "ord").agg(F.max("dl").alias("dl"))
+    corpus = cut_lineage(docs.groupBy("user").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
+    counted = counted.where(F.col("term").isNotNull())
     freq = counted.groupBy("user", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = freq.join(corpus.select("user", "n_docs"), "user").withColumn(
-        "raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = cut_lineage(
+        freq.join(corpus.select("user", "n_docs"), "user").select(
+            "user", "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf")
+        )
     )
-    means = raw.groupBy("user").agg(F.avg("raw_idf").alias("mean_idf"))
+    means = cut_lineage(raw.groupBy("user").agg(F.avg("raw_idf").alias("mean_idf")))
     terms = raw.join(means, "user").select(
         "user", "term", "df",
         F.when(F.col("raw_idf") < 0, F.col("mean_idf") * NEGATIVE_IDF_SHARE).otherwise(F.col("raw_idf")).alias("idf"),
@@ -111,18 +116,23 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
 def bm25_top_k(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """Best ``k`` chunks per question, zero-score chunks filling in by chunk order.
 
-    With a non-negative mean idf no score is below zero, so the first ``k`` chunks of a user are
-    enough filler. Users with a negative mean idf (vocabulary shared by most chunks) get all
-    their chunks as filler, which keeps the ranking exact.
+    With a non-negative mean idf no score is below zero: the best ``k`` scored chunks and the
+    first ``k`` chunks of the user, at zero, hold the answer. Users with a negative mean idf
+    (vocabulary shared by most chunks) are ranked over all their chunks instead.
     """
-    first = top_k(index.docs.select("user", "ord"), ["user"], [F.col("ord").asc()], k, "_pos").drop("_pos")
+    scores = bm25_scores(index, queries)
     inverted = index.stats.where(F.col("mean_idf") < 0).select("user")
-    filler = first.unionByName(index.docs.select("user", "ord").join(inverted, "user", "left_semi")).distinct()
-    zeros = queries.select("user", "qid").join(filler, "user").withColumn("score", F.lit(0.0))
-    scored = (
-        bm25_scores(index, queries)
-        .unionByName(zeros)
-        .groupBy("user", "qid", "ord")
-        .agg(F.sum("score").alias("score"))
-    )
-    return top_k(scored, ["user", "qid"], [F.col("score").desc(), F.col("ord").asc()], k)
+    order = [F.col("score").desc(), F.col("ord").asc()]
+    docs = index.docs.select("user", "ord")
+    asked = queries.select("user", "qid")
+    if inverted.isEmpty():
+        best = top_k(scores, ["user", "qid"], order, k).drop("rank")
+        first = top_k(docs, ["user"], [F.col("ord").asc()], k, "_pos").drop("_pos")
+    else:
+        best = scores
+        few = top_k(docs, ["user"], [F.col("ord").asc()], k, "_pos").drop("_pos")
+        first = few.unionByName(docs.join(inverted, "user", "left_semi")).distinct()
+    zeros = asked.join(first, "user").withColumn("score", F.lit(0.0))
+    # a scored chunk met again as filler keeps its score: zero adds nothing
+    pool = best.unionByName(zeros).groupBy("user", "qid", "ord").agg(F.sum("score").alias("score"))
+    return top_k(pool, ["user", "qid"], order, k)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import let
 from folioscope.operators.context import RELEVANCE_FLOOR
 from folioscope.operators.ordering import number_rows, quantiles
 
@@ -102,16 +103,14 @@ def kpi_counts(rated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def kpis(rated: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Full KPI row per group: counts and shares plus exact, interpolated latency quantiles."""
-    flat = rated.select(
-        *by, F.col("timings")["ttft_ms"].alias("ttft"), F.col("tokens.mtpt_ms").alias("mtpt"),
-        F.col("tokens.tok_s").alias("tok_s"),
-    )
-    out = kpi_counts(rated, by)
-    for value, qs in (
-        ("ttft", {"ttft_p50": 0.5, "ttft_p95": 0.95}), ("mtpt", {"mtpt_p50": 0.5}), ("tok_s", {"tok_s_p50": 0.5}),
-    ):
-        out = out.join(quantiles(flat, by, value, qs), list(by), "left")
-    return out
+    metrics = {"ttft": F.col("timings")["ttft_ms"], "mtpt": F.col("tokens.mtpt_ms"), "tok_s": F.col("tokens.tok_s")}
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in metrics.items()])
+    long = rated.select(*by, F.explode(pairs).alias("m")).select(*by, "m.metric", "m.value")
+    # all metrics go through one sort
+    spread = quantiles(long, [*by, "metric"], "value", {"p50": 0.5, "p95": 0.95})
+    at = lambda metric, q: F.max(F.when(F.col("metric") == metric, F.col(q))).alias(f"{metric}_{q}")
+    wide = spread.groupBy(*by).agg(at("ttft", "p50"), at("ttft", "p95"), at("mtpt", "p50"), at("tok_s", "p50"))
+    return kpi_counts(rated, by).join(wide, list(by), "left")
 
 
 def metric_series(queries: DataFrame, metric: Column) -> DataFrame:
@@ -189,12 +188,15 @@ def trace_spans(queries: DataFrame) -> DataFrame:
         lambda s: F.coalesce(s["dur"], F.lit(0.0)) != 0,
     )
     span = "array<struct<label:string,kind:string,start:double,dur:double>>"
-    retrieval = F.transform(
+    retrieval = let(
         stage,
-        lambda s, i: F.struct(
-            s["label"].alias("label"), F.lit("retrieval").alias("kind"),
-            F.aggregate(F.slice(stage, F.lit(1), i), F.lit(0.0), lambda a, x: a + x["dur"]).alias("start"),
-            s["dur"].alias("dur"),
+        lambda all_: F.transform(
+            all_,
+            lambda s, i: F.struct(
+                s["label"].alias("label"), F.lit("retrieval").alias("kind"),
+                F.aggregate(F.slice(all_, F.lit(1), i), F.lit(0.0), lambda a, x: a + x["dur"]).alias("start"),
+                s["dur"].alias("dur"),
+            ),
         ),
     )
     passes = F.transform(

@@ -329,9 +329,13 @@ def log(spark, sf):
         F.lit(None).cast("double").alias("load_ms"), F.lit("stop").alias("done_reason"), F.lit(i).alias("tool_calls"),
     )
     passes = F.slice(F.array(one_pass(0), one_pass(1)), F.lit(1), (e % 3).cast("int")).cast(TL.PASSES_TYPE)
-    tool = lambda n, name: F.from_json(F.to_json(F.struct(
+    none = lambda t: F.lit(None).cast(t)
+    tool = lambda n, name: F.struct(
         F.lit(n).alias("n"), F.lit(name).alias("tool"), ((e + n) % 4 != 0).alias("ok"), F.when(k % 2 == 0, v * n).alias("at_ms"), (v + n).alias("ms"),
-    )), TL.TOOL_LOG_TYPE.removeprefix("array<").removesuffix(">"))
+        *[none("string").alias(c) for c in ("code", "output", "reason", "query")],
+        *[none("int").alias(c) for c in ("hits", "kept")], none("double").alias("top_score"),
+        *[none("int").alias(c) for c in ("n_docs", "n_chunks")],
+    )
     tools = F.when(k > 66, F.array(tool(1, "run_python"), tool(2, "search_documents"))).when(
         k > 33, F.array(tool(1, "run_python"))
     ).otherwise(F.array().cast(TL.TOOL_LOG_TYPE))

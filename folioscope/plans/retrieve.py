@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,7 +20,7 @@ from folioscope.operators.fusion import (
     reciprocal_rank_fusion,
 )
 from folioscope.operators.lexical import LexicalIndex, bm25_top_k
-from folioscope.session import fits_broadcast
+from folioscope.session import cut_lineage, fits_broadcast
 
 
 FEW_QUESTIONS = 20_000
@@ -103,7 +103,8 @@ def retrieve_all(
         lists.append(bm25_top_k(index, queries, depth).withColumn("retriever", F.lit("bm25")))
     if any(c.use_dense for c in configs):
         lists.append(dense_top_k(vectors, query_vectors, depth).withColumn("retriever", F.lit("dense")))
-    hits = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+    # a bounded list per question, read by every config, the pools and the rescoring: kept as a table
+    hits = cut_lineage(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]))
     keyed = with_chunk(hits, chunks.withColumn("key", content_key(F.col("text"))), ["key"], few)
 
     options = []
@@ -125,12 +126,12 @@ def retrieve_all(
     settings = spark.createDataFrame(
         [(c.name, c.use_rerank, c.rerank_top_c) for c in configs], "config string, use_rerank boolean, top_c int"
     )
-    fused = fused.join(F.broadcast(settings), "config")
+    fused = cut_lineage(fused.join(F.broadcast(settings), "config"))
     candidates = fused.where(F.col("rank") <= F.col("top_c"))
     plain = fused.where(~F.col("use_rerank")).select(*by, "rank", "ord", "score")
     pairs = candidates.where("use_rerank").select(*by, "rank", "ord")
     distinct_pairs = pairs.select("user", "qid", "ord").distinct()
-    scored = rerank_scores(distinct_pairs, queries, chunks, scorer, few)
+    scored = cut_lineage(rerank_scores(distinct_pairs, queries, chunks, scorer, few))
     rescored = pairs.join(scored, ["user", "qid", "ord"])
     w = W.partitionBy(*by).orderBy(F.col("score").desc(), F.col("rank").asc())
     reranked = rescored.withColumn("rank", F.row_number().over(w)).select(*by, "rank", "ord", "score")
@@ -156,7 +157,3 @@ def retrieve(
 ) -> Retrieved:
     """One configuration; see :func:`retrieve_all`."""
     return retrieve_all(queries, chunks, [config], **kw)
-
-
-def config_rows() -> list[dict]:
-    return [asdict(c) for c in CONFIGS]
