@@ -46,10 +46,12 @@ def leak_scores(pairs: DataFrame, word_df: DataFrame, n_docs: DataFrame) -> Data
 
     Only the questions' words are looked up; the corpus vocabulary is filtered by them first.
     """
-    asked = pairs.select(
-        "id",
-        F.explode_outer(T.content_words(F.col("question"))).alias("word"),
-        T.content_words(F.col("chunk_text")).alias("_chunk"),
+    # both word lists come before the explode, so that neither is rebuilt per word
+    listed = pairs.select(
+        "id", T.content_words(F.col("question")).alias("_asked"), T.content_words(F.col("chunk_text")).alias("_chunk")
+    )
+    asked = listed.select(
+        "id", "_chunk", F.explode_outer("_asked").alias("word")
     ).select("id", "word", F.array_contains("_chunk", F.col("word")).alias("lifted"))
     wanted = asked.select("word").distinct()
     vocabulary = word_df.join(F.broadcast(wanted) if fits_broadcast(pairs) else wanted, "word")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from folioscope.session import cut_lineage
 from folioscope.functions.answers import answer_value, is_correct, normalize_answer
 
 TRIALS = 400
@@ -112,8 +113,11 @@ def vote_accuracy(samples: DataFrame, gold: DataFrame, ks: Sequence[int] = KS, t
     A trial draws its k positions directly instead of ranking all samples, so the work per item is
     trials × k however many samples the item has.
     """
-    sizes = samples.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n"))
-    judged = mark_distinct(samples, gold).select(*ITEM, F.col("sample_no").cast("long").alias("pos"), "answer", "correct")
+    # judged once, resampled for every k
+    judged = cut_lineage(
+        mark_distinct(samples, gold).select(*ITEM, F.col("sample_no").cast("long").alias("pos"), "answer", "correct")
+    )
+    sizes = judged.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n"))
     out = None
     for k in ks:
         trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
