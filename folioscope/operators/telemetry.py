@@ -51,7 +51,7 @@ def latest_ratings(feedback: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def with_ratings(queries: DataFrame, feedback: DataFrame, order: str = "pos") -> DataFrame:
-    return queries.join(latest_ratings(feedback, order), "event_id", "left")
+    return queries.drop("rating").join(latest_ratings(feedback, order), "event_id", "left")
 
 
 def protocol_of(c: Column) -> Column:
