@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators.ordering import top_k
+from folioscope.session import join_items
 
 RELEVANCE_FLOOR = 0.15
 PREVIEW_CHARS = 200
@@ -203,7 +204,7 @@ def recall_figures(
     copies = per_caption.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("_copies"), F.lit(limit)).cast("int")))
     )
-    pairs = questions.join(copies, "user").withColumn("score", scorer(F.col("text"), F.col("caption")))
+    pairs = join_items(questions, copies, "user", "caption").withColumn("score", scorer(F.col("text"), F.col("caption")))
     kept = pairs.where(F.col("score") >= floor)
     best = top_k(kept, ["user", "qid"], [F.col("score").desc(), F.col("_first"), F.col("_copy")], limit)
     return best.select("user", "qid", "rank", "_rec.*", "caption", "score")
@@ -235,14 +236,15 @@ def recall_facts(
     ``facts(user, seq, fact, pinned)``. Without a scorer only pinned facts are recalled.
     """
     cap = max(0, budget_tokens) * CHARS_PER_TOKEN
+    # a pinned fact past the cap-th line can never fit: only the first ``cap`` per user are paired
+    head = top_k(facts.where("pinned"), ["user"], [F.col("seq")], max(1, cap), "_n").drop("_n")
     pinned = (
-        facts.where("pinned")
-        .join(questions.select("user", "qid"), "user")
+        join_items(questions.select("user", "qid"), head, "user", "seq")
         .select("user", "qid", F.lit(0).alias("part"), F.col("seq").alias("at"), "fact")
     )
     ordered_facts = pinned
     if scorer is not None:
-        pairs = questions.join(facts.where(~F.col("pinned")), "user").withColumn(
+        pairs = join_items(questions, facts.where(~F.col("pinned")), "user", "seq").withColumn(
             "score", scorer(F.col("text"), F.col("fact"))
         )
         best = top_k(

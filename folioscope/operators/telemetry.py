@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import let
 from folioscope.operators.context import RELEVANCE_FLOOR
 from folioscope.operators.ordering import number_rows, quantiles
+from folioscope.session import cut_lineage
 
 STAGES = ["bm25_ms", "dense_ms", "rrf_ms", "rerank_ms"]
 FACETS = ["model", "protocol", "mode"]
@@ -167,9 +168,11 @@ def model_slug(c: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"[^A-Za-z0-9._-]+", "_")
 
 
-def request_table(rated: DataFrame, n: int = 200) -> DataFrame:
-    """Newest ``n`` requests with their derived columns."""
-    return rated.orderBy(F.col("pos").desc()).limit(n).select(
+def request_table(queries: DataFrame, feedback: DataFrame, n: int = 200) -> DataFrame:
+    """Newest ``n`` requests with their derived columns; ratings are looked up for those rows only."""
+    newest = cut_lineage(queries.drop("rating").orderBy(F.col("pos").desc()).limit(n))
+    theirs = feedback.join(F.broadcast(newest.select("event_id")), "event_id", "left_semi")
+    return newest.join(F.broadcast(latest_ratings(theirs)), "event_id", "left").select(
         "event_id", "ts", "question", short_model(F.col("model")).alias("model"),
         protocol_of(F.col("protocol")).alias("protocol"), "mode", F.col("timings")["ttft_ms"].alias("ttft_ms"),
         total_ms().alias("total_ms"), F.col("tokens.prompt").alias("tokens_in"),

@@ -467,7 +467,7 @@ _TOOLS = """CASE WHEN k > 66 THEN 'python×1 search×1' WHEN k > 33 THEN 'python
           FROM rated ORDER BY pos DESC LIMIT 200""",
 )
 def request_table(spark, sf):
-    return TL.request_table(rated(spark, sf)).withColumns({c: F.round(c, 6) for c in ("ttft_ms", "total_ms")})
+    return TL.request_table(log(spark, sf), feedback(spark, sf)).withColumns({c: F.round(c, 6) for c in ("ttft_ms", "total_ms")})
 
 
 @register("total_latency", B.ctes(LOG) + "SELECT event_id, round(total_ms, 6) AS total_ms FROM log")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "folioscope") -> SparkSession:
@@ -62,9 +65,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; the check itself reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows holding at most ``max_bytes`` of text.
+
+    The check itself reads no more than ``max_rows + 1`` rows.
+    """
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
+    size = reduce(lambda a, c: a + c, text, F.lit(0)).cast("long")
+    head = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return head["n"] <= max_rows and head["bytes"] <= max_bytes
+
+
+def join_items(questions: DataFrame, items: DataFrame, by: str, item_key: str, salts: int = 32) -> DataFrame:
+    """Pair every question with the items of its ``by`` value, for scorers that must see each pair.
+
+    Questions within the broadcast bound are shipped to the items, which then never move. Beyond it
+    both sides are salted by item, so a ``by`` value with a third of all items is spread over tasks.
+    Pairs only exist while they stream into the top-k that follows.
+    """
+    if fits_broadcast(questions):
+        return items.join(F.broadcast(questions), by)
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(item_key), F.lit(salts)).cast("int"))
+    fanned = questions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(fanned, [by, "_salt"]).drop("_salt")
 
 
 def shuffle_width(df: DataFrame) -> int:

@@ -166,3 +166,22 @@ def test_tool_audit(spark):
 def test_user_names(spark):
     df = spark.createDataFrame([(" Ann-1 ",), ("a b",), ("x-",), ("",)], "u string")
     assert [r.n for r in df.select(C.normalize_user(F.col("u")).alias("n")).collect()] == ["ann-1", None, None, None]
+
+
+def test_salted_pairing_gives_the_same(spark, monkeypatch):
+    from folioscope import session
+
+    rows = [("hot" if i % 3 else "u", i, f"f{i}", f"fact number {i} on signs", i % 10 == 0) for i in range(90)]
+    many = spark.createDataFrame(rows, FACTS)
+    qs = spark.createDataFrame([("hot", 1, "number 7"), ("hot", 2, "signs"), ("u", 3, "fact 9")], "user string, qid long, text string")
+    plan = lambda: sorted(map(tuple, C.recall_facts(qs, many, overlap_scorer(), 60).collect()))
+    small = plan()
+    monkeypatch.setattr(session, "fits_broadcast", lambda *_: False)
+    assert plan() == small and len(small) > 10
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from folioscope.session import fits_broadcast
+
+    df = spark.createDataFrame([("x" * 100,)] * 10, "t string")
+    assert fits_broadcast(df, 10, 1000) and not fits_broadcast(df, 9) and not fits_broadcast(df, 10, 999)
