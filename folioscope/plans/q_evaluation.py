@@ -457,8 +457,7 @@ def chunker_grid(spark, sf):
     """Chunkers × retrieval settings over whole documents: metrics, chunk counts and index size."""
     out = None
     for name in K.CHUNKERS:
-        cut = K.chunk_documents(D.doc_rows(spark, sf), name)
-        chunks = cut.withColumn("ord", F.col("doc_pos") * 100_000 + F.col("n") % 100_000)
+        chunks = K.chunk_documents(D.doc_rows(spark, sf), name)
         index = L.build_index(chunks)
         asked = B.questions(spark, sf)
         got = retrieve_all(asked, chunks, [ARM_CONFIG], index)

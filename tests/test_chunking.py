@@ -136,3 +136,13 @@ def test_figures_link_to_the_nearest_earlier_page(spark):
     )
     got = {r.image_id: r.nearby_chunk_id for r in K.nearest_page_chunk(figs, chunks).collect()}
     assert got == {"f1": "d::0", "f2": "d::1", "f3": "d::1", "f4": "d::2", "f5": None, "f6": None}
+
+
+def test_order_key_is_unique_and_follows_documents(spark):
+    rows = [("u", f"s{i % 3}.mmd", i, "alpha beta " * (10 + i)) for i in range(9)]
+    got = K.chunk_documents(docs(spark, rows), size=40, overlap=5).collect()
+    assert len({r.ord for r in got}) == len(got)
+    ordered = sorted(got, key=lambda r: r.ord)
+    assert [r.doc_pos for r in ordered] == sorted(r.doc_pos for r in got)
+    for s in ("s0.mmd", "s1.mmd"):
+        assert [r.n for r in ordered if r.source == s] == list(range(sum(r.source == s for r in got)))
