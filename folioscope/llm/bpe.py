@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Every pre-token is merged by itself. Each adjacent pair that has a merge rank is filed under that rank: a
-bucket holds the positions of the pair in the linked list of parts, and three levels of 64-way bitmaps
-say which buckets are filled. Find-first-set on the bitmaps gives the lowest rank, its bucket the leftmost
+bucket holds the positions of the pair in the linked list of parts, and two levels of bitmaps say
+which buckets are filled. Find-first-set on the bitmaps gives the lowest rank, its bucket the leftmost
 position. Entries whose pair has changed meanwhile are skipped when they come up. A merge costs a
 constant number of word operations however long the pre-token is.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,55 +32,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank and its leftmost position first."""
-
-    def __init__(self, size: int):
-        self.low = [0] * ((size >> 6) + 1)
-        self.mid = [0] * ((size >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        block = rank >> 6
-        self.low[block] |= 1 << (rank & 63)
-        self.mid[block >> 6] |= 1 << (block & 63)
-        self.top |= 1 << (block >> 6)
-
-    def first(self) -> int:
-        """The lowest filled rank, -1 if there is none."""
-        top = self.top
-        if not top:
-            return -1
-        a = (top & -top).bit_length() - 1
-        word = self.mid[a]
-        b = (a << 6) + (word & -word).bit_length() - 1
-        word = self.low[b]
-        return (b << 6) + (word & -word).bit_length() - 1
-
-    def drop(self, rank: int) -> None:
-        """Take an emptied bucket out of the bitmaps."""
-        del self.buckets[rank]
-        block = rank >> 6
-        self.low[block] ^= 1 << (rank & 63)
-        if not self.low[block]:
-            self.mid[block >> 6] ^= 1 << (block & 63)
-            if not self.mid[block >> 6]:
-                self.top ^= 1 << (block >> 6)
-
-
 class Encoder(dict):
-    """Ids of pre-tokens; recent ones are remembered, up to ``CACHE`` of them."""
+    """Ids of pre-tokens; recent ones are remembered, up to ``CACHE`` of them.
+
+    The rank queue lives here, empty between pre-tokens: ``filled`` has a bit for every block of 256 ranks with a
+    filled bucket, ``blocks`` a bit for every such rank, ``buckets`` the positions of each rank as a heap.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        size = max(ranks.values(), default=0) + 1
+        self.buckets: list[list[int]] = [[] for _ in range(size)]
+        self.blocks = [0] * ((size >> 8) + 1)
+        self.bytes = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= CACHE:
@@ -92,42 +58,76 @@ class Encoder(dict):
         return ids
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
-        rank_of, queue, n = self.ranks.get, self.queue, len(raw)
-        push, first = queue.push, queue.first
+        rank_of, buckets, blocks, pairs, n = self.ranks.get, self.buckets, self.blocks, self.bytes, len(raw)
         after = list(range(1, n + 1))  # start of the next part; n at the end
         before = list(range(-1, n - 1))
         pair = [-1] * n  # rank of a part joined with the next one
-        for i in range(n - 1):
-            rank = rank_of(raw[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
-        while (rank := first()) >= 0:
-            bucket = queue.buckets[rank]
+        filled = live = 0  # live: parts that can be joined with the next one
+        used = []  # ranks whose bits and buckets must be empty in the end
+        last = raw[0]
+        for i in range(1, n):
+            byte = raw[i]
+            rank = pairs[(last << 8) | byte]
+            last = byte
+            if rank >= 0:
+                pair[i - 1] = rank
+                live += 1
+                bucket = buckets[rank]
+                if not bucket:
+                    blocks[rank >> 8] |= 1 << (rank & 255)
+                    filled |= 1 << (rank >> 8)
+                    used.append(rank)
+                bucket.append(i - 1)  # rising positions are a heap
+        while live:
+            block = (filled & -filled).bit_length() - 1
+            word = blocks[block]
+            rank = (block << 8) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
             i = heappop(bucket)
             if not bucket:
-                queue.drop(rank)
+                word = blocks[block] = word & (word - 1)
+                if not word:
+                    filled &= filled - 1
             if pair[i] != rank:
                 continue
             j = after[i]
             end = after[i] = after[j]
+            live -= 1 if pair[j] < 0 else 2
             pair[j] = pair[i] = -1
             if end < n:
                 before[end] = i
                 rank = rank_of(raw[i : after[end]])
                 if rank is not None:
                     pair[i] = rank
-                    push(rank, i)
+                    live += 1
+                    bucket = buckets[rank]
+                    if not bucket:
+                        blocks[rank >> 8] |= 1 << (rank & 255)
+                        filled |= 1 << (rank >> 8)
+                        used.append(rank)
+                    heappush(bucket, i)
             h = before[i]
             if h >= 0:
+                if pair[h] >= 0:
+                    live -= 1
                 rank = rank_of(raw[h:end])
-                pair[h] = -1
-                if rank is not None:
+                if rank is None:
+                    pair[h] = -1
+                else:
                     pair[h] = rank
-                    push(rank, h)
+                    live += 1
+                    bucket = buckets[rank]
+                    if not bucket:
+                        blocks[rank >> 8] |= 1 << (rank & 255)
+                        filled |= 1 << (rank >> 8)
+                        used.append(rank)
+                    heappush(bucket, h)
+        for rank in used:  # only stale entries are left
+            buckets[rank].clear()
+            blocks[rank >> 8] = 0
         ids, i = [], 0
         while i < n:
-            ids.append(self.ranks[raw[i : after[i]]])
+            ids.append(rank_of(raw[i : after[i]]))
             i = after[i]
         return tuple(ids)
 
@@ -162,9 +162,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                 value = value.as_py()
                 ids: list[int] = []
                 if value:
-                    extend = ids.extend
-                    for piece in split(value):
-                        extend(encoder[piece])
+                    ids.extend(chain.from_iterable(map(encoder.__getitem__, split(value))))
                 keys.append(k)
                 parts.append(np.array(ids, np.int32))
                 size += len(ids)

@@ -233,7 +233,7 @@ class Model:
 def _signal(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """Log-likelihood ratio of the two shares of documents."""
     share = (pos + neg) / (n_pos + n_neg)
-    term = lambda k, n, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / (n * q)), 0.0)
+    term = lambda k, n, q: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(n * q, 1e-9)), 0.0)
     return 2 * (term(pos, n_pos, share) + term(neg, n_neg, share) + term(n_pos - pos, n_pos, 1 - share) + term(n_neg - neg, n_neg, 1 - share))
 
 
@@ -266,7 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         (pos if label_ else neg)[found] += 1
     n_pos, n_neg = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     kept = (_signal(pos, neg, n_pos, n_neg) > 15) & (pos >= 3) & ((pos + 0.5) / (n_pos + 1) > 8 * (neg + 0.5) / (n_neg + 1))
-    weights, bias = np.zeros(size), -1.0
+    # start from the log ratio of the shares, which a piece of few documents keeps, and mend it where it errs
+    ratio = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+    weights, bias = np.where(kept, ratio, 0.0), -3.0
     grown, grown_bias = np.full(size, 1e-2), 1e-2
     xs = [found[kept[found]] for found in rows["found"]]
     draw = np.random.default_rng(3)
