@@ -6,9 +6,10 @@ rank can no longer lower a slot that is below it, the work stops at the first ra
 after two or three ranks for a text of some hundred shingles.
 
 Texts with the same set of shingles form a class, and one text stands for it. Classes that share a band are
-candidates. Each is first verified against the smallest class it shares a band with; after grouping, pairs
-that share a band but lie in different groups are verified too, which completes the grouping: a pair left out
-is in one group already. Verification computes both whole sets of shingles.
+candidates. Each is first verified against one partner, the class with the most company of those it shares a
+band with. After grouping, pairs that share a band but lie in different groups are verified too, unless their
+bitmaps prove them too far apart. That completes the grouping: a pair left out is in one group already or
+not alike. Verification computes both whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _hashing as H
@@ -26,6 +27,7 @@ from folioscope.llm._tables import byte_views, cut_lineage
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 SLOTS = BANDS * ROWS
+WORDS64 = 16  # 64-bit words of a set's bitmap
 CHUNK = 1 << 14
 
 
@@ -78,26 +80,36 @@ def digest(elements: np.ndarray) -> bytes:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """One bit for each element's hash modulo the size. A bit that only one of two sets has stands for an element
+    that the other lacks, which bounds their intersection from above."""
+    bits = np.zeros(64 * WORDS64, np.uint8)
+    bits[(elements % np.uint64(64 * WORDS64)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``key``, ``n`` (shingles), ``cls`` (digest of the set), ``bands`` and ``mark`` (hash of the text) of every row; no
-    class or bands without words."""
+    """``key``, ``n`` (shingles), ``cls`` (digest of the set), ``bands``, ``bits`` and ``mark`` (hash of the text) of every
+    row; no class, bands or bits without words."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, keys = [], [], []
+            n, cls, keys, bits = [], [], [], []
             for raw in byte_views(batch.column(1)):
                 found = shingles(raw, size) if raw is not None else np.zeros(0, np.uint64)
                 n.append(len(found))
                 cls.append(digest(found) if len(found) else None)
                 keys.append(bands(super_minhash(found)).view(np.int64) if len(found) else None)
+                bits.append(bitmap(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)],
-                ["key", "n", "cls", "bands", "mark"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(bits, pa.list_(pa.int64())), batch.column(2)],
+                ["key", "n", "cls", "bands", "bits", "mark"],
             )
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
-    return picked.mapInArrow(run, f"key {kind}, n long, cls binary, bands array<long>, mark long")
+    return picked.mapInArrow(run, f"key {kind}, n long, cls binary, bands array<long>, bits array<long>, mark long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -130,6 +142,16 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _may_reach(percent: int) -> Column:
+    """False only for classes a and b that their sizes and bitmaps show to be too far apart."""
+
+    def lacking(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(WORDS64)), F.lit(0))
+
+    common = F.least(F.col("n_a") - lacking("a", "b"), F.col("n_b") - lacking("b", "a"))
+    return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
+
+
 def _local_union(links: DataFrame) -> DataFrame:
     """Union-find over the links of each task: every node with its root, ``u`` > ``v``."""
 
@@ -193,30 +215,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         rows.where("cls is not null").groupBy("cls")
         .agg(
             F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("row"),
-            F.first("n").alias("n"), F.first("bands").alias("bands"),
+            F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"),
         )
-        .select("cls", "row.key", "row.mark", "n", "bands")
+        .select("cls", "row.key", "row.mark", "n", "bands", "bits")
     )
     spread = classes.select("cls", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("many"), F.min("cls").alias("hub")).where("many > 1")
-    members = cut_lineage(spread.join(shared.select("band", "hub"), "band"))
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    members = cut_lineage(spread.join(shared, "band"))
     wanted = classes.select("cls", "key", "mark").join(members.select("cls").distinct(), "cls", "left_semi")
     texts = cut_lineage(_class_texts(docs, wanted, key, text))
 
-    first_pairs = members.where("cls <> hub").groupBy(F.col("cls").alias("a")).agg(F.min("hub").alias("b"))
+    # the first partner of a class is the one with the most company among those it shares a band with
+    company = members.groupBy("cls").agg(F.sum("many").alias("company"))
+    hubs = members.join(company, "cls").groupBy("band").agg(F.max(F.struct("company", "cls")).alias("hub"))
+    partner = members.join(hubs, "band").groupBy("cls").agg(F.max("hub").alias("hub")).where("cls <> hub.cls")
+    first_pairs = cut_lineage(partner.select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct())
     links = cut_lineage(verified(first_pairs, texts, size, percent))
     groups = components(links)
-    # what shares a band across groups; within a group nothing is left to find
+
+    # what shares a band across groups and may still be alike; within a group nothing is left to find
     named = members.select("band", "cls", "n").join(groups.select(F.col("u").alias("cls"), F.col("v").alias("grp")), "cls", "left")
     named = named.withColumn("grp", F.coalesce("grp", "cls"))
     split = named.groupBy("band").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 <> g2").select("band")
-    mixed = cut_lineage(named.join(split, "band"))
-    other = mixed.select("band", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("grp").alias("grp_b"))
+    mixed = cut_lineage(named.join(split, "band").join(classes.select("cls", "bits"), "cls"))
+    one, two = mixed.select(*[F.col(c).alias(f"{c}_a") for c in mixed.columns]), mixed.select(*[F.col(c).alias(f"{c}_b") for c in mixed.columns])
     across = (
-        mixed.withColumnRenamed("cls", "a").join(other, "band")
-        .where((F.col("a") < F.col("b")) & (F.col("grp") != F.col("grp_b")))
-        .where((100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-        .select("a", "b").distinct().join(first_pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        one.join(two, (F.col("band_a") == F.col("band_b")) & (F.col("cls_a") < F.col("cls_b")) & (F.col("grp_a") != F.col("grp_b")) & _may_reach(percent))
+        .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
     )
     more = cut_lineage(verified(across, texts, size, percent))
     groups = components(links.unionByName(more))
