@@ -161,7 +161,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         for i in np.flatnonzero(~checked):
             model.learn(*xs[i], y[i])
     w = model.read(slice(None))
-    logits = np.array([x @ w[i] for i, x in (xs[j] for j in np.flatnonzero(checked))]).reshape(-1, len(languages))
+    logits = np.zeros((int(checked.sum()), len(languages)))
+    for row, j in enumerate(np.flatnonzero(checked)):
+        logits[row] = xs[j][1] @ w[xs[j][0]]
     return Model(languages, idf, w[:-1].astype(np.float32), w[-1], temperature(logits, y[checked]))
 
 
