@@ -149,7 +149,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = (
         texts_of(named.drop("lang"), sample, "key").select("key", "lang", "text")
         .mapInArrow(run, f"key {kind}, lang string, index array<int>, x array<float>")
-        .withColumn("order", F.xxhash64("key", F.lit(17))).toPandas().sort_values(["order", "key"])
+        .withColumn("order", F.xxhash64("key", F.lit(17))).toArrow().to_pandas().sort_values(["order", "key"])
     )
     languages = sorted(rows["lang"].unique())
     number = {name: i for i, name in enumerate(languages)}

@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     rows = (
         picked.select(F.col(text).alias("text"), F.col(n_chars).cast("double").alias("n"), F.col("label").cast("int").alias("label"), F.xxhash64(key).alias("order"))
-        .mapInArrow(run, "index array<int>, value array<float>, label int, order long").toPandas().sort_values("order")
+        .mapInArrow(run, "index array<int>, value array<float>, label int, order long").toArrow().to_pandas().sort_values("order")
     )
     y = rows["label"].to_numpy(np.float64)
     had = {c: max(1, int((y == c).sum())) for c in (0, 1)}

@@ -258,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 
     made = picked.select(F.col(text).alias("text"), F.col("label").cast("int"), F.xxhash64(F.col(text)).alias("order"))
     made = made.dropDuplicates(["order"])  # a copied text counts once
-    rows = made.mapInArrow(run, "found array<int>, label int, order long").toPandas().sort_values("order")
+    rows = made.mapInArrow(run, "found array<int>, label int, order long").toArrow().to_pandas().sort_values("order")
     y = rows["label"].to_numpy()
     size = 1 << FEATURES_BITS
     pos, neg = np.zeros(size), np.zeros(size)
