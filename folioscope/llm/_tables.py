@@ -14,10 +14,18 @@ from folioscope.session import cut_lineage, shuffle_width
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 EMPTY = np.zeros(0, np.uint8)
 
-__all__ = ["DOCUMENT_COLUMNS", "EMPTY", "byte_views", "cut_lineage", "given", "held_out", "like", "shuffle_width"]
+__all__ = ["DOCUMENT_COLUMNS", "EMPTY", "byte_views", "cut_lineage", "given", "held_out", "like", "shuffle_width", "small_batches"]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows with whole texts are long: hand fewer of them to Python at once, unless the session has fewer set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def given(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -29,6 +37,7 @@ def held_out(doc_id: str | Column, folds: int, fold: int) -> Column:
 
 def like(docs: DataFrame) -> DataFrame:
     """Only the columns of ``documents``; other columns of the input are left behind."""
+    small_batches(docs.sparkSession)
     return docs.select(*DOCUMENT_COLUMNS)
 
 

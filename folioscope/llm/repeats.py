@@ -28,7 +28,7 @@ from folioscope.llm import _hashing as H
 from folioscope.llm._tables import byte_views, shuffle_width
 
 SIZE, DOUBLINGS = 20, 1
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 SECOND_BASE = 0xB5297A4D3F84D5B5
 
 BLOB, STATE, REPLY = 0, 1, 2
