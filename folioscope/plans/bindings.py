@@ -107,10 +107,10 @@ QUESTIONS = "questions AS (SELECT 'shared' AS \"user\", item_id AS qid, text FRO
 
 # BM25 tables and per-question ranking, cut at depth 25 (the deepest list a configuration asks for).
 BM25 = f"""
-b_dl AS (SELECT doc_id AS ord, {sql_ws_tokens('text')} AS toks, len({sql_ws_tokens('text')}) AS dl FROM documents),
-b_tf AS (SELECT ord, term, dl, count(*) AS tf FROM (SELECT ord, dl, unnest(toks) AS term FROM b_dl) GROUP BY ALL),
+b_dl AS MATERIALIZED (SELECT doc_id AS ord, {sql_ws_tokens('text')} AS toks, len({sql_ws_tokens('text')}) AS dl FROM documents),
+b_tf AS MATERIALIZED (SELECT ord, term, dl, count(*) AS tf FROM (SELECT ord, dl, unnest(toks) AS term FROM b_dl) GROUP BY ALL),
 b_stat AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM b_dl),
-b_raw AS (SELECT term, count(*) AS df, ln((SELECT n_docs FROM b_stat) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw
+b_raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n_docs FROM b_stat) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw
           FROM b_tf GROUP BY term),
 b_mean AS (SELECT avg(raw) AS mean_idf FROM b_raw),
 b_terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT mean_idf FROM b_mean) ELSE raw END AS idf FROM b_raw),

@@ -21,7 +21,7 @@ FLOOR = C.RELEVANCE_FLOOR
 def final_chunks(spark, sf):
     """Final five of every question with ids and whole text."""
     final = R.shipped(spark, sf).final.drop("config")
-    return with_chunk(final, B.chunks_with_ids(spark, sf), ["source", "chunk_id", "text"], True)
+    return with_chunk(final, B.chunks_with_ids(spark, sf), ["source", "chunk_id", "text"])
 
 
 FINAL = [
@@ -108,7 +108,7 @@ def sources_footer(spark, sf):
 )
 def merged_sources(spark, sf):
     existing = final_chunks(spark, sf).select("qid", "rank", "chunk_id")
-    late = with_chunk(R.bm25_top(spark, sf, 5), B.chunks_with_ids(spark, sf), ["chunk_id"], True)
+    late = with_chunk(R.bm25_top(spark, sf, 5), B.chunks_with_ids(spark, sf), ["chunk_id"])
     return C.merge_sources(existing, late.select("qid", "rank", "chunk_id"))
 
 

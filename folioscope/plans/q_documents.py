@@ -163,7 +163,7 @@ _UPSERT_SQL = """
 old AS (SELECT source || '::' || (doc_id % 50) AS chunk_id, doc_id AS ord, text FROM documents WHERE lang = 'en'),
 new AS (SELECT source || '::' || (doc_id % 50) AS chunk_id, doc_id AS ord, text FROM documents WHERE lang <> 'en'),
 every AS (SELECT * FROM old UNION ALL
-          SELECT chunk_id, ord + (SELECT max(ord) + 1 FROM old), text FROM new)
+          SELECT chunk_id, row_number() OVER (ORDER BY ord) + (SELECT max(ord) FROM old), text FROM new)
 """
 
 

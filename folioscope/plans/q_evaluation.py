@@ -222,7 +222,7 @@ def exam(spark, sf, configs=EXAM_CONFIGS):
     chunks = B.chunks(spark, sf)
     # both tables hold a subset of the same (question, chunk) pairs: overlap is computed once per pair
     pairs = got.ranked.select("user", "qid", "ord").union(got.candidates.select("user", "qid", "ord")).distinct()
-    overlap = M.with_containment(with_chunk(pairs, chunks, ["text"], True), gold)
+    overlap = M.with_containment(with_chunk(pairs, chunks, ["text"]), gold)
     everyone = asked.select("user", "qid").withColumn("config", F.explode(F.array(*[F.lit(c.name) for c in configs])))
     keys = ["user", "qid", "ord"]
     return M.exam_rows(everyone, got.ranked.join(overlap, keys), got.candidates.join(overlap, keys), ["config", "user", "qid"]), got
@@ -288,7 +288,7 @@ def config_verdicts(spark, sf):
 )
 def retrieval_failures(spark, sf):
     rows, got = exam(spark, sf)
-    final = with_chunk(got.final, B.chunks(spark, sf), ["text"], True).withColumn("chunk_id", F.col("ord").cast("string"))
+    final = with_chunk(got.final, B.chunks(spark, sf), ["text"]).withColumn("chunk_id", F.col("ord").cast("string"))
     failed = M.failures(rows, final, ["config", "user", "qid"])
     shown = F.array_join(F.transform("retrieved_instead", lambda r: F.concat_ws(":", r["chunk_id"], r["preview"])), "|")
     return failed.select("config", "qid", "gold_rank", "in_pool", shown.alias("instead"))
@@ -322,8 +322,8 @@ _NEAR = [
 def id_ranks(spark, sf):
     """The second lexical hit of a question serves as its gold id."""
     chunks = B.chunks_with_ids(spark, sf)
-    ranked = with_chunk(R.shipped(spark, sf).ranked, chunks, ["chunk_id"], True).select("qid", "rank", "chunk_id")
-    gold = with_chunk(R.bm25_top(spark, sf).where("rank = 2"), chunks, ["chunk_id"], True).select("qid", "chunk_id")
+    ranked = with_chunk(R.shipped(spark, sf).ranked, chunks, ["chunk_id"]).select("qid", "rank", "chunk_id")
+    gold = with_chunk(R.bm25_top(spark, sf).where("rank = 2"), chunks, ["chunk_id"]).select("qid", "chunk_id")
     around = gold.select("qid", F.explode(M.neighbour_ids(F.col("chunk_id"))).alias("chunk_id"))
     return (
         gold.select("qid")
@@ -384,7 +384,7 @@ def score_arms(spark, sf, arms):
     chunks = B.chunks(spark, sf)
     got = retrieve_all(arms.select("user", "qid", "text"), chunks, [ARM_CONFIG], L.build_index(chunks))
     gold = arms.select("qid", "gold_text")
-    hit = lambda df: M.with_containment(with_chunk(df, chunks, ["text"], True), gold)
+    hit = lambda df: M.with_containment(with_chunk(df, chunks, ["text"]), gold)
     rows = M.exam_rows(arms.select("user", "qid", "arm", "fired"), hit(got.ranked), hit(got.candidates), ["user", "qid"])
     return M.summarize_exam(rows, ["arm"]).join(
         arms.groupBy("arm").agg(F.sum(F.col("fired").cast("int")).alias("fired")), "arm"
@@ -462,7 +462,7 @@ def chunker_grid(spark, sf):
         asked = B.questions(spark, sf)
         got = retrieve_all(asked, chunks, [ARM_CONFIG], index)
         hit = lambda df: M.with_containment(
-            with_chunk(df, chunks, ["text"], True), asked.select("qid", F.col("text").alias("gold_text"))
+            with_chunk(df, chunks, ["text"]), asked.select("qid", F.col("text").alias("gold_text"))
         )
         rows = M.exam_rows(asked.select("user", "qid"), hit(got.ranked), hit(got.candidates), ["user", "qid"])
         size = index.postings.agg(F.count(F.lit(1)).alias("n_postings"))
@@ -481,7 +481,7 @@ SCORERS = {"overlap": (8.0, 0.35), "strict": (20.0, 0.6)}
 def scorer_runs(spark, sf):
     """The shared pool rescored by each scorer; pools are built once and reused."""
     pool = R.shipped(spark, sf).candidates
-    both = with_chunk(pool, B.chunks(spark, sf), ["text"], True).join(
+    both = with_chunk(pool, B.chunks(spark, sf), ["text"]).join(
         B.questions(spark, sf).select("user", "qid", F.col("text").alias("qtext")), ["user", "qid"]
     )
     scored = F.array(
@@ -532,7 +532,7 @@ def scorer_score_range(spark, sf):
           GROUP BY p.qid""",
 )
 def bench_gold_hits(spark, sf):
-    pool = with_chunk(R.shipped(spark, sf).candidates, B.chunks(spark, sf), ["text"], True)
+    pool = with_chunk(R.shipped(spark, sf).candidates, B.chunks(spark, sf), ["text"])
     gold = B.questions(spark, sf).select("qid", F.col("text").alias("gold_text"), F.lit("").alias("gold_chunk_id"))
     hits = M.bench_hits(pool.select("qid", F.col("ord").cast("string").alias("chunk_id"), "text"), gold)
     return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits"))
@@ -575,7 +575,8 @@ judged AS (SELECT source AS qid, doc_id AS did, quality * (doc_id % 3 + 1)::INTE
 @register(
     "unscored_pairs",
     B.ctes(JUDGED)
-    + """SELECT j.qid, j.did, j.grade FROM judged j JOIN (SELECT DISTINCT source FROM documents WHERE source <> 'src3') q ON q.source = j.qid
+    + f"""SELECT j.qid, j.did, j.grade, round({B.sql_scorer('j.qid', 'd.text')}, 6) AS score FROM judged j
+         JOIN (SELECT DISTINCT source FROM documents WHERE source <> 'src3') q ON q.source = j.qid JOIN documents d ON d.doc_id = j.did
          WHERE j.did % 4 <> 0""",
 )
 def unscored_pairs(spark, sf):
@@ -586,7 +587,7 @@ def unscored_pairs(spark, sf):
         j.select("qid", "did", "grade"), j.where("did % 4 = 0"), queries,
         docs.select(F.col("doc_id").alias("did"), "text"),
     )
-    return CA.score_pairs(todo, overlap_scorer()).select("qid", "did", "grade")
+    return CA.score_pairs(todo, overlap_scorer()).select("qid", "did", "grade", F.round("score", 6).alias("score"))
 
 
 _NEAREST = ", ".join(

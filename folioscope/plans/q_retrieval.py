@@ -114,7 +114,7 @@ def both_lists(spark, sf):
     chunks = B.chunks(spark, sf).withColumn("key", FU.content_key(F.col("text")))
     bm25 = bm25_top(spark, sf)
     dense = D.dense_top_k(*dense_inputs(spark, sf), 10)
-    return [with_chunk(h, chunks, ["key"], True) for h in (bm25, dense)]
+    return [with_chunk(h, chunks, ["key"]) for h in (bm25, dense)]
 
 
 def _fused(spark, sf, weights=None):

@@ -134,42 +134,47 @@ def item_vote_stats(spark, sf):
     )
 
 
-TRIALS = 40
+TRIALS, KS = VO.TRIALS, VO.KS
 
 
 def _draw_sql(k: int) -> str:
     """k draws unrolled: each step repeats the rule of the Spark side."""
-    parts = ["dr0 AS (SELECT model, item_id, n, t AS trial, []::BIGINT[] AS acc FROM "
+    d = f"d{k}_"
+    parts = [f"{d}0 AS (SELECT model, item_id, n, t AS trial, []::BIGINT[] AS acc FROM "
              f"(SELECT model, item_id, n_samples AS n FROM stats WHERE n_samples > {k}), range({TRIALS}) r(t))"]
     for j in range(k):
         h = f"('0x' || substr(md5(model || ':' || item_id || ':' || trial || ':' || {j}), 1, 8))::UBIGINT::BIGINT % (n - {k} + {j} + 1)"
         parts.append(
-            f"dr{j + 1} AS (SELECT model, item_id, n, trial, list_append(acc, CASE WHEN list_contains(acc, {h}) THEN n - {k} + {j} ELSE {h} END) AS acc FROM dr{j})"
+            f"{d}{j + 1} AS (SELECT model, item_id, n, trial, list_append(acc, CASE WHEN list_contains(acc, {h}) THEN n - {k} + {j} ELSE {h} END) AS acc FROM {d}{j})"
         )
-    parts.append(f"dr AS (SELECT model, item_id, trial, unnest(acc) AS sample_no, unnest(range({k})) AS step FROM dr{k})")
+    parts.append(f"dr{k} AS (SELECT model, item_id, trial, unnest(acc) AS sample_no, unnest(range({k})) AS step FROM {d}{k})")
     parts.append(
-        f"""dv AS (SELECT model, item_id, trial, correct FROM (SELECT d.model, d.item_id, d.trial, m.answer, bool_or(m.correct) AS correct, count(*) AS v, min(step) AS f
-            FROM dr d JOIN marked m USING (model, item_id, sample_no) WHERE m.answer IS NOT NULL GROUP BY ALL)
+        f"""dv{k} AS (SELECT model, item_id, trial, correct FROM (SELECT d.model, d.item_id, d.trial, m.answer, bool_or(m.correct) AS correct, count(*) AS v, min(step) AS f
+            FROM dr{k} d JOIN marked m USING (model, item_id, sample_no) WHERE m.answer IS NOT NULL GROUP BY ALL)
             QUALIFY row_number() OVER (PARTITION BY model, item_id, trial ORDER BY v DESC, f) = 1)"""
     )
     parts.append(
-        f"""acc AS (SELECT s.model, s.item_id, {k} AS k, CASE WHEN n_samples <= {k} THEN modal_correct::INTEGER::DOUBLE
-            ELSE (SELECT count(*) FROM dv WHERE dv.model = s.model AND dv.item_id = s.item_id AND correct) / {TRIALS} END AS accuracy FROM stats s)"""
+        f"""acc{k} AS (SELECT s.model, s.item_id, {k} AS k, CASE WHEN n_samples <= {k} THEN coalesce(modal_correct::INTEGER::DOUBLE, 0)
+            ELSE coalesce(c, 0) / {TRIALS} END AS accuracy FROM stats s
+            LEFT JOIN (SELECT model, item_id, count_if(correct)::BIGINT AS c FROM dv{k} GROUP BY ALL) v ON v.model = s.model AND v.item_id = s.item_id)"""
     )
     return ",\n".join(parts)
 
 
+DRAWS = ",\n".join([*map(_draw_sql, KS), "acc AS (" + " UNION ALL ".join(f"SELECT * FROM acc{k}" for k in KS) + ")"])
+
+
 @register(
     "vote_accuracy",
-    B.ctes(SAMPLES, _draw_sql(5)) + "SELECT model, item_id, k, round(accuracy, 6) AS accuracy FROM acc",
+    B.ctes(SAMPLES, DRAWS) + "SELECT model, item_id, k, round(accuracy, 6) AS accuracy FROM acc",
 )
 def vote_accuracy(spark, sf):
-    acc = VO.vote_accuracy(samples(spark, sf), gold(spark, sf), [5], TRIALS)
+    acc = VO.vote_accuracy(samples(spark, sf), gold(spark, sf), KS, TRIALS)
     return acc.select("model", "item_id", "k", r6("accuracy"))
 
 
 def run(spark, sf):
-    acc = VO.vote_accuracy(samples(spark, sf), gold(spark, sf), [5], TRIALS)
+    acc = VO.vote_accuracy(samples(spark, sf), gold(spark, sf), KS, TRIALS)
     s = stats(spark, sf)
     return VO.run_accuracy(s, acc, s.withColumn("mean_sample_s", F.col("mean_value")))
 
@@ -182,7 +187,7 @@ run AS (SELECT model, k, greedy_accuracy, vote_accuracy, s * k AS est_seconds FR
 
 @register(
     "run_accuracy",
-    B.ctes(SAMPLES, _draw_sql(5), _RUN)
+    B.ctes(SAMPLES, DRAWS, _RUN)
     + """SELECT model, k, round(greedy_accuracy, 6) AS greedy_accuracy, round(vote_accuracy, 6) AS vote_accuracy, round(est_seconds, 6) AS est_seconds FROM run""",
 )
 def run_accuracy(spark, sf):
@@ -191,9 +196,10 @@ def run_accuracy(spark, sf):
 
 @register(
     "voting_verdict",
-    B.ctes(SAMPLES, _draw_sql(5), _RUN)
+    B.ctes(SAMPLES, DRAWS, _RUN)
     + """SELECT model, k AS best_k, round(vote_accuracy - greedy_accuracy, 6) AS gain, CASE WHEN round(vote_accuracy - greedy_accuracy, 9) <= 0 THEN 'no'
-         WHEN round(vote_accuracy - greedy_accuracy, 9) < 0.05 THEN 'not yet' WHEN round(vote_accuracy - greedy_accuracy, 9) < 0.1 THEN 'marginal' ELSE 'yes' END AS verdict FROM run""",
+         WHEN round(vote_accuracy - greedy_accuracy, 9) < 0.05 THEN 'not yet' WHEN round(vote_accuracy - greedy_accuracy, 9) < 0.1 THEN 'marginal' ELSE 'yes' END AS verdict FROM run
+         QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(vote_accuracy, 9) DESC, k) = 1""",
 )
 def voting_verdict(spark, sf):
     return VO.voting_verdict(run(spark, sf)).select("model", "best_k", r6("gain"), "verdict")

@@ -20,10 +20,9 @@ from folioscope.operators.fusion import (
     reciprocal_rank_fusion,
 )
 from folioscope.operators.lexical import LexicalIndex, bm25_top_k
-from folioscope.session import cut_lineage, fits_broadcast
+from folioscope.session import cut_lineage
 
 
-FEW_QUESTIONS = 20_000
 
 
 @dataclass(frozen=True)
@@ -71,14 +70,9 @@ class Retrieved:
     candidates: DataFrame
 
 
-def with_chunk(hits: DataFrame, chunks: DataFrame, cols: Sequence[str], few: bool) -> DataFrame:
-    """Attach chunk columns to ranked rows.
-
-    ``few``: the question table passed a size check, so the hits (a bounded list per question) are
-    broadcast and the chunk table is only scanned. Otherwise both sides meet in a shuffle join.
-    """
-    side = chunks.select("user", "ord", *cols)
-    return side.join(F.broadcast(hits) if few else hits, ["user", "ord"])
+def with_chunk(hits: DataFrame, chunks: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Attach chunk columns to ranked rows. No side is hinted: Spark ships the hits if it finds them small."""
+    return chunks.select("user", "ord", *cols).join(hits, ["user", "ord"])
 
 
 def retrieve_all(
@@ -97,7 +91,6 @@ def retrieve_all(
     a shorter list is a rank filter. Each (question, chunk) pair is rescored once and shared.
     """
     depth = max(c.top_k for c in configs)
-    few = fits_broadcast(queries, FEW_QUESTIONS)
     lists = []
     if any(c.use_bm25 for c in configs):
         lists.append(bm25_top_k(index, queries, depth).withColumn("retriever", F.lit("bm25")))
@@ -105,7 +98,7 @@ def retrieve_all(
         lists.append(dense_top_k(vectors, query_vectors, depth).withColumn("retriever", F.lit("dense")))
     # a bounded list per question, read by every config, the pools and the rescoring: kept as a table
     hits = cut_lineage(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]))
-    keyed = with_chunk(hits, chunks.withColumn("key", content_key(F.col("text"))), ["key"], few)
+    keyed = with_chunk(hits, chunks.withColumn("key", content_key(F.col("text"))), ["key"])
 
     options = []
     for c in configs:
@@ -131,7 +124,7 @@ def retrieve_all(
     plain = fused.where(~F.col("use_rerank")).select(*by, "rank", "ord", "score")
     pairs = candidates.where("use_rerank").select(*by, "rank", "ord")
     distinct_pairs = pairs.select("user", "qid", "ord").distinct()
-    scored = cut_lineage(rerank_scores(distinct_pairs, queries, chunks, scorer, few))
+    scored = cut_lineage(rerank_scores(distinct_pairs, queries, chunks, scorer))
     rescored = pairs.join(scored, ["user", "qid", "ord"])
     w = W.partitionBy(*by).orderBy(F.col("score").desc(), F.col("rank").asc())
     reranked = rescored.withColumn("rank", F.row_number().over(w)).select(*by, "rank", "ord", "score")
@@ -144,11 +137,12 @@ def retrieve_all(
 
 
 def rerank_scores(
-    pairs: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Scorer | None = None, few: bool = False
+    pairs: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Scorer | None = None
 ) -> DataFrame:
     """``(user, qid, ord)`` pairs → ``score``; each distinct pair is scored exactly once."""
-    asked = pairs.join(queries.select("user", "qid", F.col("text").alias("qtext")), ["user", "qid"])
-    both = with_chunk(asked, chunks, ["text"], few)
+    # chunk texts meet bare keys; the question's text, which repeats for each of its pairs, is joined last
+    found = with_chunk(pairs.select("user", "qid", "ord"), chunks, ["text"])
+    both = found.join(queries.select("user", "qid", F.col("text").alias("qtext")), ["user", "qid"])
     return both.select("user", "qid", "ord", (scorer or overlap_scorer())(F.col("qtext"), F.col("text")).alias("score"))
 
 

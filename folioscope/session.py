@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
@@ -66,13 +66,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows holding at most ``max_bytes`` of text.
+    """True when ``df`` has at most ``max_rows`` rows holding at most ``max_bytes`` of values.
 
-    The check itself reads no more than ``max_rows + 1`` rows.
+    The check reads no more than ``max_rows + 1`` rows, and only their sizes leave the tasks. Strings and binaries count
+    with their bytes, everything nested with the bytes of its text form, other columns with eight.
     """
-    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() == "string"]
-    size = reduce(lambda a, c: a + c, text, F.lit(0)).cast("long")
-    head = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+
+    def width(f) -> Column:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.octet_length(F.col(f"`{f.name}`"))
+        if kind in ("array", "struct", "map"):
+            return F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`"))))
+        return F.lit(8)
+
+    size = reduce(lambda a, c: a + c, [F.coalesce(width(f), F.lit(0)).cast("long") for f in df.schema], F.lit(0).cast("long"))
+    head = df.select(size.alias("_bytes")).limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes")).first()
     return head["n"] <= max_rows and head["bytes"] <= max_bytes
 
 

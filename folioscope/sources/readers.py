@@ -31,8 +31,8 @@ def _schema(schema: str | TY.StructType) -> TY.StructType:
 def load_corpus(spark: SparkSession, paths: str | Sequence[str], user: str = "shared") -> DataFrame:
     """``*.mmd`` files of the given folders (not their subfolders) or files, one row per file.
 
-    Files of any other kind are skipped. ``doc_pos`` follows the file name order of the hash, so it
-    is stable between runs and needs no global numbering.
+    Files of any other kind are skipped. ``doc_pos`` is a hash of the path: stable between runs and without
+    global numbering. It orders documents and does not identify them.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = (
@@ -42,7 +42,7 @@ def load_corpus(spark: SparkSession, paths: str | Sequence[str], user: str = "sh
     return files.select(
         F.when(F.col("path").isNotNull(), F.lit(user)).alias("user"),
         T.basename(F.url_decode(F.col("path"))).alias("source"),
-        F.pmod(F.xxhash64("path"), F.lit(2**40)).alias("doc_pos"),
+        F.pmod(F.xxhash64("path"), F.lit((1 << 63) - 1)).alias("doc_pos"),
         "text",
     )
 
@@ -68,14 +68,17 @@ def read_jsonl(
     """Tolerant JSON-lines scan; a missing path is an empty table."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], _schema(schema))
     return parse_jsonl(lines, schema, required)
 
 
 def tail_events(lines: DataFrame, n: int, schema: str | TY.StructType, pos: str = "pos") -> DataFrame:
-    """The last ``n`` raw lines (1..5000) in log order, malformed ones dropped afterwards."""
-    n = max(1, min(MAX_TAIL, n))
+    """The last ``n`` raw lines (1..``MAX_TAIL``) in log order, malformed ones dropped afterwards."""
+    if not 1 <= n <= MAX_TAIL:
+        raise ValueError(f"n must be between 1 and {MAX_TAIL}")
     newest = lines.orderBy(F.col(pos).desc()).limit(n)
     return parse_jsonl(newest, schema).orderBy(pos)
 

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.operators.chunking import chunk_documents
 from folioscope.functions.models import hashed_tf_embedder
 from folioscope.operators import telemetry as TL
 from folioscope.sources import readers as R
@@ -76,6 +77,9 @@ def test_log_tail_counts_raw_lines(spark):
     lines = spark.createDataFrame([(0, '{"n": 1}'), (1, "not json"), (2, '{"n": 2}'), (3, '{"n": 3}')], "pos long, value string")
     assert [r.n for r in R.tail_events(lines, 3, "n int").collect()] == [2, 3]
     assert [r.n for r in R.tail_events(lines, 10, "n int").collect()] == [1, 2, 3]
+    for n in (0, R.MAX_TAIL + 1):
+        with pytest.raises(ValueError):
+            R.tail_events(lines, n, "n int")
 
 
 def test_tolerant_and_strict_readers(spark, tmp_path):
@@ -120,6 +124,22 @@ def test_user_index_upsert_leaves_other_users(spark, tmp_path):
     assert {r.term for r in spark.read.parquet(f"{path}/lexical/postings").collect()} == {"new", "more", "z"}
 
 
+def test_ten_uploads_keep_a_dense_order(spark, tmp_path):
+    """Documents with one position hash stay apart, and repeated uploads neither overflow nor mix."""
+    path = str(tmp_path / "ix")
+    schema = "user string, source string, doc_pos long, text string"
+    top = (1 << 62) + 5
+    for k in range(10):
+        docs = spark.createDataFrame([("a", f"/x/d{k}.mmd", top, f"one{k}"), ("a", f"/y/e{k}.mmd", top, f"two{k}"), ("a", "/x/same.mmd", 7, f"new{k}")], schema)
+        chunks = chunk_documents(docs, "baseline")
+        assert sorted(r.ord for r in chunks.collect()) == [0, 1, 2]
+        S.write_user_index(spark, chunks.select("user", "ord", "chunk_id", "source", "text"), path, hashed_tf_embedder(8))
+    got = spark.read.parquet(f"{path}/chunks").collect()
+    assert sorted(r.ord for r in got) == sorted({r.ord for r in got}) and len(got) == 21 and max(r.ord for r in got) < 40
+    assert {r.text for r in got if r.source == "same.mmd"} == {"new9"}
+    assert {r.text for r in got} >= {f"one{k}" for k in range(10)} | {f"two{k}" for k in range(10)}
+
+
 def test_figure_replacement_is_per_document(spark, tmp_path):
     path, schema = str(tmp_path / "figs"), "image_id string, doc_name string, caption string"
     S.replace_figures(spark.createDataFrame([("a::img0", "a", "x"), ("a::img1", "a", "y"), ("b::img0", "b", "z")], schema), path)
