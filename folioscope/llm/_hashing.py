@@ -12,7 +12,7 @@ import numpy as np
 MASK = (1 << 64) - 1
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _blank = np.zeros(256, bool)
@@ -30,6 +30,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def forget() -> None:
+    """Drop the tables of powers; they are made anew when wanted."""
+    _tables.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64 bits."""
     x = x ^ (x >> np.uint64(30))
@@ -65,7 +70,7 @@ def word_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all words. Long texts are worked on in pieces of about a megabyte."""
+    """Hashes, starts and ends of all words. Long texts are worked on in pieces of a quarter of a megabyte."""
     starts, ends = word_bounds(text)
     if len(text) <= CHUNK:
         if len(starts) == 0:

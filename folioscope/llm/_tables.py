@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm import _hashing as hashing
 from folioscope.session import cut_lineage, shuffle_width
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 EMPTY = np.zeros(0, np.uint8)
 
-__all__ = ["DOCUMENT_COLUMNS", "EMPTY", "byte_views", "cut_lineage", "given", "held_out", "like", "shuffle_width", "small_batches"]
+__all__ = ["DOCUMENT_COLUMNS", "EMPTY", "byte_views", "cut_lineage", "given", "held_out", "like", "release", "shuffle_width", "small_batches", "tidied"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -41,6 +44,26 @@ def like(docs: DataFrame) -> DataFrame:
     return docs.select(*DOCUMENT_COLUMNS)
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the machine; Python workers live on between tasks."""
+    hashing.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, and ``release`` after the last."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def byte_views(column: pa.Array) -> Iterator[np.ndarray | None]:
     """The UTF-8 bytes of every string of an Arrow column without copying; None for nulls."""
     if len(column) == 0:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm._tables import tidied
+
 CACHE = 200_000
 BATCH_IDS = 1 << 20
 
@@ -150,8 +152,11 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: full(text) if _PLAIN.search(text) else quick(text)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids`` (array<int>) of every text, one row per input row.
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
+    """``key`` and ``ids`` (array<int>) of every text, one row per input row; with ``decoded`` also the bytes that the
+    ids decode to, as :func:`decode` gives them, without a second way through Python.
 
     A null or empty text has no ids. Special tokens are never produced. All single bytes must have ranks.
     """
@@ -163,13 +168,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
         encoder = Encoder(shared.value)
+        table = {i: t for t, i in shared.value.items()} if decoded else {}
 
         def packed(keys: list, parts: list[np.ndarray]) -> pa.RecordBatch:
             offsets = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(p) for p in parts], out=offsets[1:])
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            return pa.RecordBatch.from_arrays([pa.array(keys, key_type), ids], ["key", "ids"])
+            columns = [pa.array(keys, key_type), ids]
+            if decoded:
+                columns.append(pa.array([_bytes(p, table) for p in parts], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"][: len(columns)])
 
         for batch in batches:
             key_type = batch.column(0).type
@@ -188,7 +197,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
             if keys:
                 yield packed(keys, parts)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run), f"key {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("key", key)
+
+
+def _bytes(ids: np.ndarray, table: dict[int, bytes]) -> bytes:
+    return b"".join([table[x] for x in ids.tolist()])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -207,9 +220,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", ids
             at = lists.offsets.to_numpy()
             out = []
             for i in range(len(lists)):
-                part = flat[at[i] : at[i + 1]].tolist() if lists[i].is_valid else []
-                out.append(b"".join([table[x] for x in part]))
+                out.append(_bytes(flat[at[i] : at[i + 1]], table) if lists[i].is_valid else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], ["key", "ids", "decoded"])
 
     picked = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return picked.mapInArrow(run, f"key {kinds[key]}, ids array<int>, decoded binary").withColumnRenamed("key", key)
+    return picked.mapInArrow(tidied(run), f"key {kinds[key]}, ids array<int>, decoded binary").withColumnRenamed("key", key)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _hashing as H
-from folioscope.llm._tables import shuffle_width
+from folioscope.llm._tables import shuffle_width, tidied
 
 WIDE, LANES = 8, 256
 CUT = 8  # one word in so many ends a run
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             made = [to_text(fingerprint((t.as_py() or "").encode())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["key", "fingerprint"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fingerprint string").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run), f"key {kind}, fingerprint string").withColumnRenamed("key", key)
 
 
 def _edited(text: str, following: str) -> str:
@@ -168,5 +168,5 @@ def edit_probe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return dealt.select("key", "text", "part", "copy").mapInArrow(run, OUT).withColumnRenamed("key", key)
+    return dealt.select("key", "text", "part", "copy").mapInArrow(tidied(run), OUT).withColumnRenamed("key", key)
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm._tables import tidied
 from folioscope.llm._training import labelled_sample, texts_of
 
 FEATURES, ORDERS = 1 << 15, 4
@@ -77,7 +78,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         index = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(index, FEATURES)), pa.array(np.append(total[index], n))], ["feature", "n"])
 
-    rows = docs.select(F.col(text)).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text)).mapInArrow(tidied(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(FEATURES + 1)  # at most FEATURES + 1 rows come back
     for r in rows:
         out[r["feature"]] = r["n"]
@@ -148,7 +149,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     kind = dict(named.dtypes)["key"]
     rows = (
         texts_of(named.drop("lang"), sample, "key").select("key", "lang", "text")
-        .mapInArrow(run, f"key {kind}, lang string, index array<int>, x array<float>")
+        .mapInArrow(tidied(run), f"key {kind}, lang string, index array<int>, x array<float>")
         .withColumn("order", F.xxhash64("key", F.lit(17))).toArrow().to_pandas().sort_values(["order", "key"])
     )
     languages = sorted(rows["lang"].unique())
@@ -193,4 +194,4 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return picked.mapInArrow(tidied(run), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _hashing as H
-from folioscope.llm._tables import byte_views, cut_lineage
+from folioscope.llm._tables import byte_views, cut_lineage, tidied
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 SLOTS = BANDS * ROWS
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             )
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
-    return picked.mapInArrow(run, f"key {kind}, n long, cls binary, bands array<long>, bits array<long>, mark long")
+    return picked.mapInArrow(tidied(run), f"key {kind}, n long, cls binary, bands array<long>, bits array<long>, mark long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -139,7 +139,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _may_reach(percent: int) -> Column:

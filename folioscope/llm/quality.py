@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _hashing as H
-from folioscope.llm._tables import byte_views
+from folioscope.llm._tables import byte_views, tidied
 from folioscope.llm._training import labelled_sample, texts_of
 
 WORDS, FACTORS = 1 << 14, 8
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
     rows = (
         picked.select(F.col(text).alias("text"), F.col(n_chars).cast("double").alias("n"), F.col("label").cast("int").alias("label"), F.xxhash64(key).alias("order"))
-        .mapInArrow(run, "index array<int>, value array<float>, label int, order long").toArrow().to_pandas().sort_values("order")
+        .mapInArrow(tidied(run), "index array<int>, value array<float>, label int, order long").toArrow().to_pandas().sort_values("order")
     )
     y = rows["label"].to_numpy(np.float64)
     had = {c: max(1, int((y == c).sum())) for c in (0, 1)}
@@ -148,4 +148,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["key", "score"])
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(n_chars).cast("double").alias("n"))
-    return picked.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return picked.mapInArrow(tidied(run), f"key {kind}, score double").withColumnRenamed("key", key)

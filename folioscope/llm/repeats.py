@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import _hashing as H
-from folioscope.llm._tables import byte_views, shuffle_width
+from folioscope.llm._tables import byte_views, release, shuffle_width
 
 SIZE, DOUBLINGS = 20, 1
 BUCKET_BYTES = 4 << 20
@@ -165,6 +165,11 @@ def _firsts(bucket: Bucket, at: np.ndarray, size: int):
     return h1, h2, doc, start, at, new
 
 
+def _then_release(out: pa.Table) -> pa.Table:
+    release()
+    return out
+
+
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, doublings: int = DOUBLINGS, carry: list[str] | None = None
 ) -> DataFrame:
@@ -246,7 +251,7 @@ def remove_repeats(
         return run
 
     def first_ask(key: tuple, table: pa.Table) -> pa.Table:
-        return ask(Bucket(table), key[0].as_py(), 0, None)
+        return _then_release(ask(Bucket(table), key[0].as_py(), 0, None))
 
     def bits_of(state: np.ndarray | None, n: int) -> np.ndarray | None:
         return None if state is None else np.unpackbits(state, count=n).astype(bool)
@@ -258,7 +263,7 @@ def remove_repeats(
             bucket = Bucket(table)
             state, answers = _replies(messages)
             survived = _survivors(bucket, levels[level - 1], bits_of(state, len(bucket.words)), answers, bits)
-            return ask(bucket, key[0].as_py(), level, survived)
+            return _then_release(ask(bucket, key[0].as_py(), level, survived))
 
         return run
 
@@ -289,7 +294,7 @@ def remove_repeats(
             kept.append(b" ".join(compress(parts, (~mine).tolist()) if removed[i] else parts).decode("utf-8", "replace"))
         ordered = table.take(pa.array(bucket.order))
         columns = [ordered.column("_key"), pa.array(kept, pa.string()), pa.array(bucket.counts), pa.array(removed), *[ordered.column(c) for c in carry]]
-        return pa.Table.from_arrays(columns, names=[key, "kept", "n_words", "n_removed", *carry])
+        return _then_release(pa.Table.from_arrays(columns, names=[key, "kept", "n_words", "n_removed", *carry]))
 
     messages = by_bucket.applyInArrow(first_ask, MESSAGE)
     for level in range(len(levels)):

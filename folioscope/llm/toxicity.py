@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm._tables import tidied
 from folioscope.llm import _hashing as H
 from folioscope.llm._training import labelled_sample, texts_of
 
@@ -83,7 +84,7 @@ def gather_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         gram = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(total[gram])], ["gram", "n"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(tidied(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def language_model(counts: DataFrame) -> np.ndarray:
@@ -258,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 
     made = picked.select(F.col(text).alias("text"), F.col("label").cast("int"), F.xxhash64(F.col(text)).alias("order"))
     made = made.dropDuplicates(["order"])  # a copied text counts once
-    rows = made.mapInArrow(run, "found array<int>, label int, order long").toArrow().to_pandas().sort_values("order")
+    rows = made.mapInArrow(tidied(run), "found array<int>, label int, order long").toArrow().to_pandas().sort_values("order")
     y = rows["label"].to_numpy()
     size = 1 << FEATURES_BITS
     pos, neg = np.zeros(size), np.zeros(size)
@@ -303,4 +304,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
     picked = docs.select(*kept, F.col(text).alias("_restored"))
-    return picked.mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+    return picked.mapInArrow(tidied(run), ", ".join([*fields, f"`{out}` double"]))

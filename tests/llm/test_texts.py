@@ -34,6 +34,8 @@ def test_bpe_is_what_the_library_gives(docs, none):
         text = r["key"]["text"] or ""
         assert list(r["ids"]) == whole.encode_ordinary(text)
         assert bytes(r["decoded"]) == text.encode()
+    both = bpe.encode(keyed, ranks, pattern, key="key", decoded=True).collect()
+    assert sorted(map(repr, both)) == sorted(map(repr, got))
     assert bpe.encode(none, ranks, pattern).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(docs, {b"a": 0}, pattern)
