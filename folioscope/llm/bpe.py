@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm._tables import tidied
 
-CACHE = 200_000
+CACHE = 300_000
 BATCH_IDS = 1 << 20
 
 
@@ -36,7 +36,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Ids of pre-tokens; recent ones are remembered, up to ``CACHE`` of them.
+    """Ids of pre-tokens as packed 32-bit integers; recent ones are remembered, up to ``CACHE`` of them.
 
     The rank queue lives here, empty between pre-tokens: ``filled`` has a bit for every block of 256 ranks with a
     filled bucket, ``blocks`` a bit for every such rank, ``buckets`` the positions of each rank as a heap.
@@ -50,12 +50,12 @@ class Encoder(dict):
         self.blocks = [0] * ((size >> 8) + 1)
         self.bytes = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         raw = piece.encode()
         whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else self.merge(raw)
+        ids = array("i", (whole,) if whole is not None else self.merge(raw)).tobytes()
         if len(raw) < 256:
             self[piece] = ids
         return ids
@@ -185,11 +185,9 @@ def encode(
             keys, parts, size = [], [], 0
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 value = value.as_py()
-                ids: list[int] = []
-                if value:
-                    ids.extend(chain.from_iterable(map(encoder.__getitem__, split(value))))
+                ids = np.frombuffer(b"".join(map(encoder.__getitem__, split(value or ""))), np.int32)
                 keys.append(k)
-                parts.append(np.array(ids, np.int32))
+                parts.append(ids)
                 size += len(ids)
                 if size > BATCH_IDS:
                     yield packed(keys, parts)
