@@ -36,7 +36,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Ids of pre-tokens as packed 32-bit integers; recent ones are remembered, up to ``CACHE`` of them.
+    """Ids of pre-tokens as packed 32-bit integers; recent ones are remembered: ``CACHE`` of them, and as many before
+    those, which come back when they are met again.
 
     The rank queue lives here, empty between pre-tokens: ``filled`` has a bit for every block of 256 ranks with a
     filled bucket, ``blocks`` a bit for every such rank, ``buckets`` the positions of each rank as a heap.
@@ -45,18 +46,22 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
         size = max(ranks.values(), default=0) + 1
         self.buckets: list[list[int]] = [[] for _ in range(size)]
         self.blocks = [0] * ((size >> 8) + 1)
         self.bytes = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = array("i", (whole,) if whole is not None else self.merge(raw)).tobytes()
-        if len(raw) < 256:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            ids = array("i", (whole,) if whole is not None else self.merge(raw)).tobytes()
+        if len(piece) < 256:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -139,6 +144,19 @@ class Encoder(dict):
 _PLAIN = re.compile("[^\x00-\x1b\x20-\x7e\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u024f]")
 
 
+_remembered: list[Encoder] = []
+
+
+def _encoder(ranks: dict[bytes, int], remember: bool) -> Encoder:
+    if remember and _remembered and _remembered[0].ranks is ranks:
+        return _remembered[0]
+    _remembered.clear()
+    made = Encoder(ranks)
+    if remember:
+        _remembered.append(made)
+    return made
+
+
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """Pre-tokens of a text. Where a text has plain characters only, letters and numbers are spelled out in classes
     that the faster standard library knows."""
@@ -153,11 +171,14 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False
-) -> DataFrame:
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False,
+    remember: bool = False,
+) -> DataFrame:
     """``key`` and ``ids`` (array<int>) of every text, one row per input row; with ``decoded`` also the bytes that the
     ids decode to, as :func:`decode` gives them, without a second way through Python.
 
+    ``remember`` keeps the pre-tokens a worker has met from task to task, at the cost of its memory.
+
     A null or empty text has no ids. Special tokens are never produced. All single bytes must have ranks.
     """
     if any(bytes([b]) not in ranks for b in range(256)):
@@ -167,7 +188,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(pattern)
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value, remember)
         table = {i: t for t, i in shared.value.items()} if decoded else {}
 
         def packed(keys: list, parts: list[np.ndarray]) -> pa.RecordBatch:

@@ -142,7 +142,7 @@ def public_ranks(name: str = RANKS) -> tuple[dict[bytes, int], str]:
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks, pattern = public_ranks()
-    return bpe.encode(given(spark, sf, "documents"), ranks, pattern, decoded=True).select(
+    return bpe.encode(given(spark, sf, "documents"), ranks, pattern, decoded=True, remember=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
