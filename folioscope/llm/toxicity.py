@@ -258,8 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
                 yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.int32())), pa.array([label.as_py()], pa.int32()), pa.array([order.as_py()])], ["found", "label", "order"])
 
     made = picked.select(F.col(text).alias("text"), F.col("label").cast("int"), F.xxhash64(F.col(text)).alias("order"))
-    made = made.dropDuplicates(["order"])  # a copied text counts once
-    rows = made.mapInArrow(tidied(run), "found array<int>, label int, order long").toArrow().to_pandas().sort_values("order")
+    # a copied text counts once, with its largest label
+    made = made.groupBy("order").agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    rows = made.select("text", "label", "order").mapInArrow(tidied(run), "found array<int>, label int, order long").toArrow().to_pandas().sort_values("order")
     y = rows["label"].to_numpy()
     size = 1 << FEATURES_BITS
     pos, neg = np.zeros(size), np.zeros(size)

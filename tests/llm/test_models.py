@@ -85,3 +85,15 @@ def test_factorisation_identity():
     pairs = sum(model.factors[index[i]] @ model.factors[index[j]] * x[i] * x[j] for i in range(4) for j in range(i))
     z = 0.2 + model.linear[index] @ x + pairs
     assert abs(model.score(index, x) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_copies_with_two_labels(spark):
+    """Copies of a text count once, with the larger label, whatever the order of the rows."""
+    texts = [(f"grumblewort slander number {i}", 1) for i in range(12)] + [(f"a pleasant morning walk {i}", 0) for i in range(60)]
+    rows = [(2 * i + copy, text, label * copy) for i, (text, label) in enumerate(texts) for copy in (0, 1)]
+    model = toxicity.train(
+        spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"),
+        spark.createDataFrame([(r[0], r[2]) for r in rows[::-1]], "doc_id long, toxic int"),
+    )
+    found = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
+    assert all((found[r[0]] >= 0.5) == r[1].startswith("grumble") for r in rows)
