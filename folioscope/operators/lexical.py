@@ -20,7 +20,7 @@ K1 = 1.5
 B = 0.75
 NEGATIVE_IDF_SHARE = 0.25
 TERM_SALTS = 32
-BROADCAST_QUESTIONS = 20_000
+BROADCAST_TERMS = 400_000
 SCORE_DIGITS = 9
 
 
@@ -101,8 +101,8 @@ def weighted_query_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """Score of every chunk sharing a token with the question: ``(user, qid, ord, score)``."""
-    weighted = weighted_query_terms(index, queries)
-    if fits_broadcast(queries, BROADCAST_QUESTIONS):
+    weighted = cut_lineage(weighted_query_terms(index, queries))  # sized, then shipped
+    if fits_broadcast(weighted, BROADCAST_TERMS):
         hits = index.postings.join(F.broadcast(weighted), ["user", "term"])
     else:
         # too many questions for one broadcast: hot terms are spread over salts on both sides

@@ -33,27 +33,23 @@ def doc_rows(spark, sf, math=False):
     )
 
 
-def _chunk_summary(chunks):
-    return chunks.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.max("n").alias("last_n"), F.sum(F.length("text")).alias("n_chars"),
-        F.max(F.length("text")).alias("longest"), F.countDistinct("chunk_id").alias("n_ids"),
-        F.max("page").alias("last_page"),
-    )
+def _chunk_rows(chunks):
+    return chunks.select("source", "ord", "n", "chunk_id", "page", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @register("chunks_baseline")
 def chunks_baseline(spark, sf):
-    return _chunk_summary(K.chunk_documents(doc_rows(spark, sf), "baseline"))
+    return _chunk_rows(K.chunk_documents(doc_rows(spark, sf), "baseline"))
 
 
 @register("chunks_eqaware")
 def chunks_eqaware(spark, sf):
-    return _chunk_summary(K.chunk_documents(doc_rows(spark, sf, True), "eqaware"))
+    return _chunk_rows(K.chunk_documents(doc_rows(spark, sf, True), "eqaware"))
 
 
 @register("chunks_eqaware_context")
 def chunks_eqaware_context(spark, sf):
-    return _chunk_summary(K.chunk_documents(doc_rows(spark, sf, True), "eqaware_context"))
+    return _chunk_rows(K.chunk_documents(doc_rows(spark, sf, True), "eqaware_context"))
 
 
 @register(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,22 +51,42 @@ def live_kpis(events: DataFrame, window: str = "1 hour", late: str = "10 minutes
 
 
 def live_ratings(events: DataFrame) -> DataFrame:
-    """Latest rating per event; run in update mode."""
+    """Latest rating per event with its time, of a table or of one micro-batch."""
     return (
         events.where("kind = 'feedback'")
         .groupBy("event_id")
-        .agg(F.max_by("rating", "ts").alias("rating"))
+        .agg(F.max_by("rating", "ts").alias("rating"), F.max("ts").alias("ts"))
     )
 
 
-def upsert_chunks(chunks: DataFrame, checkpoint: str, merge: Callable[[DataFrame], None]) -> DataStreamWriter:
-    """Merge each micro-batch of new chunks with ``merge``, e.g. a user index write.
+def keep_updates(
+    updates: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None
+) -> DataStreamWriter:
+    """Store what a micro-batch changed (``each`` of it, if given) under the batch's number; a replayed batch replaces itself.
 
-    Merging by chunk id is idempotent, so a batch replayed after a failure changes nothing.
+    Aggregations run in update mode, so the watermark frees their state. Ratings need no state: each batch is reduced by
+    itself, and :func:`latest` settles between batches.
     """
 
-    def apply(batch: DataFrame, _epoch: int) -> None:
+    def apply(batch: DataFrame, epoch: int) -> None:
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
+
+
+def latest(spark: SparkSession, path: str, keys: Sequence[str], by: Sequence[str] = ("epoch",)) -> DataFrame:
+    """The current row of every key of such a table: the one that is last by ``by``."""
+    rows = spark.read.parquet(path)
+    payload = [c for c in rows.columns if c not in (*keys, "epoch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct(*by)).alias("_row"))
+    return last.select(*keys, "_row.*")
+
+
+def upsert_chunks(chunks: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """Merge each micro-batch of new chunks with ``merge(batch, number)``, e.g. a user index write of that version."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            merge(batch)
+            merge(batch, epoch)
 
     return chunks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

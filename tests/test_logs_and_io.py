@@ -118,10 +118,67 @@ def test_user_index_upsert_leaves_other_users(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, schema)
     S.write_user_index(spark, make([("a", 0, "s::0", "s", "x y"), ("b", 0, "t::0", "t", "z")]), path, hashed_tf_embedder(8))
     S.write_user_index(spark, make([("a", 0, "s::0", "s", "new"), ("a", 1, "s::1", "s", "more")]), path, hashed_tf_embedder(8))
-    got = {(r.user, r.chunk_id): r.text for r in spark.read.parquet(f"{path}/chunks").collect()}
+    index = S.read_user_index(spark, path)
+    got = {(r.user, r.chunk_id): r.text for r in index.chunks.collect()}
     assert got == {("a", "s::0"): "new", ("a", "s::1"): "more", ("b", "t::0"): "z"}
-    assert spark.read.parquet(f"{path}/vectors").count() == 3
-    assert {r.term for r in spark.read.parquet(f"{path}/lexical/postings").collect()} == {"new", "more", "z"}
+    assert index.vectors.count() == 3
+    assert {r.term for r in index.lexical.postings.collect()} == {"new", "more", "z"}
+
+
+def test_unfinished_and_repeated_uploads_change_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "ix"), "user string, ord long, chunk_id string, source string, text string"
+    make = lambda text: spark.createDataFrame([("007", 0, "s::0", "s", text)], schema)
+    S.write_user_index(spark, make("first"), path, hashed_tf_embedder(8), version=3)
+    # tables of a version that was never named, as a crash leaves them
+    make("half").write.partitionBy("user").parquet(f"{path}/chunks/version=4")
+    seen = lambda: [(r.user, r.text) for r in S.read_user_index(spark, path).chunks.collect()]
+    assert seen() == [("007", "first")]
+    S.write_user_index(spark, make("again"), path, hashed_tf_embedder(8), version=3)
+    assert seen() == [("007", "first")]
+    S.write_user_index(spark, make("second"), path, hashed_tf_embedder(8), version=4)
+    assert seen() == [("007", "second")] and S.read_user_index(spark, path).lexical.stats.count() == 1
+
+
+def test_upsert_stream_survives_a_restart(spark, tmp_path):
+    src, path, state = tmp_path / "in", str(tmp_path / "ix"), str(tmp_path / "state")
+    schema = "user string, ord long, chunk_id string, source string, text string"
+    make = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(src))
+
+    def run():
+        stream = spark.readStream.schema(schema).json(str(src))
+        merge = lambda batch, n: S.write_user_index(batch.sparkSession, batch, path, hashed_tf_embedder(8), n)
+        live.upsert_chunks(stream, state, merge).trigger(availableNow=True).start().awaitTermination()
+
+    make([("a", 0, "s::0", "s", "one"), ("b", 0, "s::0", "s", "two")])
+    run()
+    run()
+    make([("a", 0, "s::0", "s", "three"), ("a", 1, "s::1", "s", "four")])
+    run()
+    got = {(r.user, r.chunk_id): r.text for r in S.read_user_index(spark, path).chunks.collect()}
+    assert got == {("a", "s::0"): "three", ("a", "s::1"): "four", ("b", "s::0"): "two"}
+
+
+def test_ratings_settle_between_batches(spark, tmp_path):
+    src, out = tmp_path / "log", str(tmp_path / "rated")
+    src.mkdir()
+    row = lambda e, r, ts: json.dumps({"kind": "feedback", "event_id": e, "rating": r, "ts": ts}) + "\n"
+    (src / "1.jsonl").write_text(row("a", "up", "2024-01-01T03") + row("b", "up", "2024-01-01T01"))
+    (src / "2.jsonl").write_text(row("a", "down", "2024-01-01T02") + row("b", "down", "2024-01-01T02"))
+    live.keep_updates(live.read_log(spark, str(src), 1), out, str(tmp_path / "c"), live.live_ratings).trigger(availableNow=True).start().awaitTermination()
+    got = {r.event_id: r.rating for r in live.latest(spark, out, ["event_id"], ["ts", "epoch"]).collect()}
+    assert got == {"a": "up", "b": "down"}
+
+
+def test_kpi_windows_in_update_mode(spark, tmp_path):
+    src, out = tmp_path / "log", str(tmp_path / "kpis")
+    src.mkdir()
+    stamps = ["2024-01-01T01:00:00", "2024-01-01T01:30:00", "2024-01-02T05:00:00", "2024-01-01T01:45:00"]
+    for n, ts in enumerate(stamps):  # the last comes long after its window was closed
+        (src / f"{n}.jsonl").write_text(json.dumps(event(event_id=str(n), kind="query", ts=ts)) + "\n")
+        kpis = live.live_kpis(live.read_log(spark, str(src), 1), "1 hour", "10 minutes")
+        live.keep_updates(kpis, out, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = {str(r.window.start): r.queries for r in live.latest(spark, out, ["window"]).collect()}
+    assert got == {"2024-01-01 01:00:00": 2, "2024-01-02 05:00:00": 1}
 
 
 def test_ten_uploads_keep_a_dense_order(spark, tmp_path):
@@ -134,7 +191,7 @@ def test_ten_uploads_keep_a_dense_order(spark, tmp_path):
         chunks = chunk_documents(docs, "baseline")
         assert sorted(r.ord for r in chunks.collect()) == [0, 1, 2]
         S.write_user_index(spark, chunks.select("user", "ord", "chunk_id", "source", "text"), path, hashed_tf_embedder(8))
-    got = spark.read.parquet(f"{path}/chunks").collect()
+    got = S.read_user_index(spark, path).chunks.collect()
     assert sorted(r.ord for r in got) == sorted({r.ord for r in got}) and len(got) == 21 and max(r.ord for r in got) < 40
     assert {r.text for r in got if r.source == "same.mmd"} == {"new9"}
     assert {r.text for r in got} >= {f"one{k}" for k in range(10)} | {f"two{k}" for k in range(10)}
