@@ -179,3 +179,25 @@ def test_pipeline_stages(spark, sf, docs, none):
         assert (d not in cut) if n and removed == n else cut[d] == (text if removed else dict(rows)[d])
     final = corpus_pipeline.run(spark, sf)
     assert final.where("not lossless").count() == 0 and 0 < final.count() < given.count()
+
+
+def test_pipeline_keeps_the_mixture(spark, sf, tmp_path):
+    sizes = {"a": 640, "b": 160, "c": 40}
+    rows = [(i, f"text {i} of {s}", "en", s, 9) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    rows.append((0, "another text under the first id", "en", "a", 9))
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix_sources(spark, given, sf).write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.tokenize(spark, spark.read.parquet(str(tmp_path / "mixed")), sf)
+    source = {r[0]: r[3] for r in rows}
+    order = [(r["slot"], r["place"], source[r["doc_id"]]) for r in out.orderBy("slot", "place").collect()]
+    assert len(order) == len(rows) == len({(slot, place) for slot, place, _ in order})
+    quota = {r["source"]: Fraction(r["q"], r["period"]) for r in mixing.quotas(mixing.root_weights(given)).collect()}
+    served = dict.fromkeys(sizes, 0)
+    for slot, place, s in order:
+        served[s] += 1
+        if served["c"] == sizes["c"]:
+            break
+        if place == mixing.BLOCK - 1:
+            for x, share in quota.items():
+                assert abs(Fraction(served[x], mixing.BLOCK) - share * (slot + 1)) < 1
+    assert served["b"] < sizes["b"] and served["a"] < sizes["a"]
