@@ -31,6 +31,7 @@ LOOKS_LIKE = {
 }
 SEPARATORS = " .-_*"
 SUBSTITUTED, SHORTENED, KEPT_RUN = -1.5, -0.5, -1.0
+WIDEST_GAP = 3  # separators between spelled-out letters
 LONGEST = 256  # a marked word beyond this is decoded in pieces of this length
 
 _leet = np.zeros(1 << 16, bool)
@@ -101,37 +102,49 @@ def language_model(counts: DataFrame) -> np.ndarray:
 
 
 def marked_spans(p: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges to decode: words with look-alikes beside letters or a letter three times, and spelled-out words."""
+    """Ranges to decode: words with look-alikes beside letters or a letter three times, words of look-alikes alone with
+    two signs that are no digits after their first, and words spelled out in at least three characters with gaps of one width."""
     n = len(p)
     if n < 3:
         return []
     letter, leet = _letter[p], _leet[p]
     edge = np.zeros(1, bool)
     left, right = np.concatenate([edge, letter[:-1]]), np.concatenate([letter[1:], edge])
-    hits = leet & (right | (left & _digit[p]))
+    hits = leet & (right | left)
     hits[:-2] |= letter[:-2] & (p[:-2] == p[1:-1]) & (p[1:-1] == p[2:])
     spans: list[tuple[int, int]] = []
-    at = np.flatnonzero(hits)
-    if len(at):
-        solid = (letter | leet) & (p != 32)
-        turns = np.flatnonzero(np.diff(np.concatenate([edge, solid, edge]).astype(np.int8)))
+    unit = letter | leet
+    # a sign after another look-alike, and one that differs from the look-alike before it
+    after = leet & ~_digit[p] & np.concatenate([edge, leet[:-1]])
+    if hits.any() or after.any():
+        turns = np.flatnonzero(np.diff(np.concatenate([edge, unit, edge]).astype(np.int8)))
         starts, ends = turns[::2], turns[1::2]
-        for i in np.unique(np.searchsorted(starts, at, "right") - 1):
+        marked = np.zeros(len(starts), bool)
+        marked[np.searchsorted(starts, np.flatnonzero(hits), "right") - 1] = True
+        if after.any():
+            within = lambda mask: np.add.reduceat(np.append(mask, False).astype(np.int64), turns)[::2]
+            differs = unit & np.concatenate([edge, unit[:-1] & (p[1:] != p[:-1])])
+            marked |= (within(letter) == 0) & (within(after) >= 2) & (within(differs) > 0)
+        for i in np.flatnonzero(marked):
             spans.append((int(starts[i]), int(ends[i])))
-    unit = letter | leet
     alone = unit & ~np.concatenate([edge, unit[:-1]]) & ~np.concatenate([unit[1:], edge])
     at = np.flatnonzero(alone)
-    if len(at) >= 4:
-        joined = (np.diff(at) == 2) & _sep[p[at[:-1] + 1]]
-        turns = np.flatnonzero(np.diff(np.concatenate([edge, joined, edge]).astype(np.int8)))
-        for a, b in zip(turns[::2], turns[1::2]):
-            if b - a >= 3 and letter[at[a : b + 1]].any():
-                spans.append((int(at[a]), int(at[b]) + 1))
+    if len(at) >= 3:
+        seps = np.concatenate([[0], np.cumsum(_sep[p])])
+        gaps, between = np.diff(at) - 1, seps[at[1:]] - seps[at[:-1] + 1]
+        for gap in range(1, WIDEST_GAP + 1):
+            joined = (gaps == gap) & (between == gap)
+            turns = np.flatnonzero(np.diff(np.concatenate([edge, joined, edge]).astype(np.int8)))
+            for a, b in zip(turns[::2], turns[1::2]):
+                if b - a >= 2 and letter[at[a : b + 1]].any():
+                    spans.append((int(at[a]), int(at[b]) + 1))
     spans.sort()
     out: list[tuple[int, int]] = []
     for a, b in spans:
         if out and a < out[-1][1]:
             a = out[-1][1]
+            while a < b and _sep[p[a]]:
+                a += 1
         while b - a > LONGEST:
             out.append((a, a + LONGEST))
             a += LONGEST
@@ -140,8 +153,9 @@ def marked_spans(p: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters what it may have been, with the channel's cost."""
+def lattice(word: str) -> list[list[tuple[str, float, str]]]:
+    """For each run of equal characters what it may have been, with the channel's cost and what the trigram model sees of it:
+    of exclamation marks at the end of a word nothing, for they may just end it."""
     steps, i = [], 0
     spelled = len(word) > 2 and word[1] in SEPARATORS
     while i < len(word):
@@ -150,7 +164,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             j += 1
         run = j - i
         if spelled and c in SEPARATORS:
-            steps.append([("", 0.0)])
+            steps.append([("", 0.0, "")])
         else:
             options = [(c * run, 0.0 if run < 3 else KEPT_RUN)]
             if run >= 3:
@@ -159,7 +173,10 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
                 options.append((d * min(run, 2), SUBSTITUTED))
                 if run > 1:
                     options.append((d, SUBSTITUTED + SHORTENED))
-            steps.append(options)
+            seen = [letters for letters, _ in options]
+            if c == "!" and i > 0 and j == len(word) and not spelled:
+                options[0], seen[0] = (c * run, 0.0), ""
+            steps.append([(*o, x) for o, x in zip(options, seen)])
         i = j
     return steps
 
@@ -171,9 +188,9 @@ def decode(word: str, lm: np.ndarray) -> str:
     for options in lattice(word):
         reached: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, so_far) in best.items():
-            for letters, cost in options:
+            for letters, cost, seen in options:
                 x, y, s = a, b, score + cost
-                for ch in letters:
+                for ch in seen:
                     c = cls(ch)
                     s += float(lm[x, y, c])
                     x, y = y, c

@@ -66,6 +66,21 @@ def test_deobfuscation(spark):
     assert len(restore("x1" * 5000)) > 0
 
 
+def test_deobfuscation_of_signs_alone_or_last_and_short_spellings(spark):
+    words = "you shit here nazi loser ass pathetic stupid scum lol call the other another stop running still ".split()
+    clean = spark.createDataFrame([(i, " ".join(words[i % 7 :] + words)) for i in range(200)], "doc_id long, text string")
+    restore = toxicity.Restorer(toxicity.language_model(toxicity.gather_counts(clean)))
+    said = lambda t: "".join(map(chr, restore(t)))
+    forms = [
+        ("you a$$", "you ass"), ("you @$$", "you ass"), ("4$$ here", "ass here"), ("shi+", "shit"), ("as$", "ass"), ("naz!", "nazi"), ("naz|", "nazi"),
+        ("you a s s", "you ass"), ("a.s.s", "ass"), ("a  s  s here", "ass here"), ("s  h  i  t", "shit"), ("s h i t  a s s", "shit  ass"), ("a $ $", "ass"),
+    ]
+    for marked, plain in forms:
+        assert said(marked) == plain, marked
+    for plain in ["hello!!", "stop!", "the other!!!", "call 555-3752", "$100", "+49 (555)", "!!!", "$$$", "a b", "a  b", "the  other", ""]:
+        assert said(plain) == plain, plain
+
+
 def test_quality_held_out(spark, docs, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     found = queries.QUERIES["op10_quality"](spark, SF)
