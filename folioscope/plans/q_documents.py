@@ -201,6 +201,12 @@ def markup_normalized(spark, sf):
     return docs(spark, sf).where(plain).select("doc_id", F.md5(T.normalize_markup(raw)).alias("digest"))
 
 
+@register("markup_normalized_all")
+def markup_normalized_all(spark, sf):
+    """Every document with markup of its own or none, as it is: SQL has no loop for nested groups."""
+    return docs(spark, sf).select("doc_id", F.md5(T.normalize_markup(F.col("text"))).alias("digest"))
+
+
 @register(
     "tokenizers",
     f"""SELECT doc_id, len({B.sql_ws_tokens('text')}) AS ws, len({B.sql_alnum_set('text')}) AS alnum,

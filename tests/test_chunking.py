@@ -146,3 +146,83 @@ def test_order_key_is_unique_and_follows_documents(spark):
     assert [r.doc_pos for r in ordered] == sorted(r.doc_pos for r in got)
     for s in ("s0.mmd", "s1.mmd"):
         assert [r.n for r in ordered if r.source == s] == list(range(sum(r.source == s for r in got)))
+
+
+def brute_markup(s):
+    """A reader of the same subset by recursive descent, for well-formed markup."""
+    if "\\" not in s and "$" not in s:
+        return " ".join(s.split())
+
+    def group(i):
+        while s[i] == " ":
+            i += 1
+        assert s[i] == "{"
+        return read(i + 1)
+
+    def read(i):
+        out = []
+        while i < len(s) and s[i] != "}":
+            c = s[i]
+            i += 1
+            if c == "{":
+                inner, i = read(i)
+                out.append(inner)
+            elif c == "\\" and s[i].isalpha():
+                j = i
+                while j < len(s) and s[j].isascii() and s[j].isalpha():
+                    j += 1
+                name, i = s[i:j], j
+                if name in ("frac", "dfrac", "tfrac"):
+                    a, i = group(i)
+                    b, i = group(i)
+                    out.append(f"{a}/{b}")
+                elif name == "sqrt":
+                    a, i = group(i)
+                    out.append(f"√({a})")
+                elif name in ("text", "mathbb", "mathbf", "mathrm", "mathcal"):
+                    a, i = group(i)
+                    out.append(a)
+                elif name in ("begin", "end"):
+                    _, i = group(i)
+                    out.append(" ")
+                elif name not in ("left", "right", "displaystyle"):
+                    out.append(T.GLYPHS.get(name, "\\" + name))
+            elif c == "\\":
+                out.append(s[i] if s[i] in "%$&#_{}" else " ")
+                i += 1
+            elif c != "$":
+                out.append(" " if c == "~" else c)
+        return "".join(out), i + 1
+
+    return " ".join(read(0)[0].split())
+
+
+NESTED = [
+    r"so $\frac{1}{1+\frac{1}{1+\frac{1}{1+\frac{a}{b}}}}$ holds",
+    r"roots \sqrt{1+\sqrt{2+\sqrt{3+\sqrt{\alpha}}}} end",
+    r"\frac{x^{2_{i}}}{\sqrt{y^{a^{b}}}} \leq \text{if \mathbf{x \frac{{a}{b}{c}{d}}{e_{1}} y}}",
+    r"sets \frac{\{a, b\}}{\left| S_{\mathcal{A}} \right|} cost \$5 \\ {next~line} 10\%, f{rac}{s}",
+    r"\begin{align} \frac {\hat{x}} {\dfrac{a}{\sqrt{b}}} \\{z} \end{align} \in{A} \int_{0}^{\infty}",
+    "plain {text} with  blanks",
+    "only $5 here",
+    "",
+]
+
+
+def test_nested_markup_is_read_to_any_depth(spark, tmp_path):
+    deep = "x"
+    for i in range(40):
+        deep = [rf"\frac{{{deep}}}{{2}}", rf"\sqrt{{{deep}}}", rf"y_{{{deep}}}"][i % 3]
+    texts = [*NESTED, deep, r"\frac{a}{b} and \sqrt{c} " * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", T.normalize_markup(F.col("text")).alias("t")).collect()}
+    assert got.pop(len(texts)) is None
+    assert got == {i: brute_markup(t) for i, t in enumerate(texts)}
+
+    from hashlib import md5
+
+    from folioscope.plans import catalog
+
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.digest for r in catalog.QUERIES["markup_normalized_all"](spark, str(tmp_path)).collect()}
+    assert found == {i: md5(brute_markup(t).encode()).hexdigest() for i, t in enumerate(texts)} | {len(texts): None}
