@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, fingerprints, language, mixing, neardup, quality, repeats, search, toxicity
+from folioscope.llm import bpe, chat, fingerprints, language, mixing, neardup, periodic, quality, repeats, search, toxicity
 from folioscope.llm._tables import given, held_out
 from folioscope.plans.registry import Query
 
@@ -197,3 +200,32 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     model = quality.train(docs, given(spark, sf, "labels").where(~held_out("doc_id", 5, 0)))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The places of the words of a tenth of the documents, repeated from some word on; None leaves a text as it is."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or n == 0:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.periodic_runs(given(spark, sf, "documents"), rearrange=looped)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    found = found.withColumn("longest", longest).withColumn("lines", F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
