@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, fingerprints, language, mixing, neardup, periodic, quality, repeats, search, toxicity
+from folioscope.llm import bpe, chat, fingerprints, language, mixing, neardup, periodic, quality, repeats, search, simhash, toxicity
 from folioscope.llm._tables import given, held_out
 from folioscope.plans.registry import Query
 
@@ -202,6 +202,11 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op11_simhash_near_dedup")
+def op11_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(given(spark, sf, "documents"))
+
+
 def looped(doc_id: int | None, n: int) -> np.ndarray | None:
     """The places of the words of a tenth of the documents, repeated from some word on; None leaves a text as it is."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
