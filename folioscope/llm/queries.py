@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, fingerprints, language, mixing, neardup, periodic, quality, repeats, search, simhash, toxicity
+from folioscope.llm import bpe, chat, fingerprints, language, mixing, neardup, periodic, quality, repeats, search, simhash, spelling, toxicity
 from folioscope.llm._tables import given, held_out
 from folioscope.plans.registry import Query
 
@@ -207,6 +207,24 @@ def op11_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(given(spark, sf, "documents"))
 
 
+def clipped(doc_id: int | None, runs: list[str]) -> list[str]:
+    """One run in 97 of a document loses a letter; a null id counts as ''."""
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    out = []
+    for run in runs:
+        h = zlib.crc32(run.encode(), start)
+        if h % 97 == 0:
+            at = h % len(run)
+            run = run[:at] + run[at + 1 :]
+        out.append(run)
+    return out
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(given(spark, sf, "documents"), alter=clipped))
+
+
 def looped(doc_id: int | None, n: int) -> np.ndarray | None:
     """The places of the words of a tenth of the documents, repeated from some word on; None leaves a text as it is."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
