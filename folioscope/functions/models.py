@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.markup import normalize_markup
 
 Embedder = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]
@@ -76,7 +77,7 @@ def hashed_tf_embedder(dim: int = 64) -> Embedder:
     return embedder_from_model(load)
 
 
-def normalizing(embedder: Embedder, normalize: Callable[[Column], Column] = T.normalize_markup) -> Embedder:
+def normalizing(embedder: Embedder, normalize: Callable[[Column], Column] = normalize_markup) -> Embedder:
     """Wrap an embedder so that only what it encodes is normalised; stored text stays raw."""
     return lambda c: embedder(normalize(c))
 

@@ -164,63 +164,6 @@ def is_math(c: Column) -> Column:
     return hit
 
 
-# Markup commands and the glyph each is read as. A deliberate subset.
-GLYPHS = {
-    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ϵ", "theta": "θ", "lambda": "λ",
-    "mu": "μ", "pi": "π", "rho": "ρ", "sigma": "σ", "tau": "τ", "phi": "ϕ", "omega": "ω",
-    "Gamma": "Γ", "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω",
-    "int": "∫", "sum": "∑", "prod": "∏", "partial": "∂", "nabla": "∇", "infty": "∞",
-    "cdot": "·", "times": "×", "pm": "±", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠",
-    "approx": "≈", "to": "→", "rightarrow": "→", "in": "∈",
-    "lim": "lim", "sin": "sin", "cos": "cos", "tan": "tan", "log": "log", "ln": "ln", "exp": "exp",
-}
-
-
-ARGUMENTS = r"\\(?:[dt]?frac|sqrt|text|mathbb|mathbf|mathrm|mathcal)"
-# noncharacters, which no interchanged text holds, stand for escaped signs while braces are read
-ESCAPED = {"\\": "\ufdd0", "{": "\ufdd1", "}": "\ufdd2", "$": "\ufdd3"}
-
-
-def _innermost_read(t: Column) -> Column:
-    """Commands whose arguments hold no braces are read; groups that are no argument lose their braces."""
-    t = F.regexp_replace(t, r"\\[dt]?frac ?\{([^{}]*)\} ?\{([^{}]*)\}", "$1/$2")
-    t = F.regexp_replace(t, r"\\sqrt ?\{([^{}]*)\}", "√($1)")
-    t = F.regexp_replace(t, r"\\(?:text|mathbb|mathbf|mathrm|mathcal) ?\{([^{}]*)\}", "$1")
-    return F.regexp_replace(t, rf"(?<!{ARGUMENTS} ?)" + r"(?<!\} ?)\{([^{}]*)\}", "$1")
-
-
-def _nested_read(t: Column) -> Column:
-    """``_innermost_read`` until nothing changes. Every pass but the last reads a group at least, so their number bounds the passes."""
-    start = F.struct(t.alias("text"), F.lit(False).alias("done"))
-
-    def again(state: Column, _: Column) -> Column:
-        step = let(_innermost_read(state["text"]), lambda x: F.struct(x.alias("text"), (x == state["text"]).alias("done")))
-        return F.when(state["done"], state).otherwise(step)
-
-    groups = F.length(t) - F.length(F.replace(t, F.lit("{")))
-    return F.aggregate(F.when(groups > 0, F.sequence(F.lit(1), groups)).otherwise(F.array().cast("array<int>")), start, again)["text"]
-
-
-def normalize_markup(c: Column) -> Column:
-    """Readable text for a subset of LaTeX, nested to any depth; plain prose only has its whitespace collapsed."""
-    t = c
-    for sign, stand_in in ESCAPED.items():
-        t = F.replace(t, F.lit("\\" + sign), F.lit(stand_in))
-    t = F.regexp_replace(t, r"\$+", "")
-    t = F.regexp_replace(t, r"\\(?:begin|end)\s*\{[^{}]*\}", " ")
-    t = F.regexp_replace(t, r"\\(?:left|right|displaystyle)(?![A-Za-z])", "")
-    for command, glyph in GLYPHS.items():
-        t = F.regexp_replace(t, rf"\\{command}(?![A-Za-z])", glyph)
-    t = F.regexp_replace(t, r"\s+", " ")
-    t = let(t, _nested_read)
-    t = F.regexp_replace(t, r"\\([%&#_])", "$1")
-    t = F.regexp_replace(t, r"\\[,;!: ]|~", " ")
-    t = F.regexp_replace(t, r"[{}]", "")
-    for sign, stand_in in ESCAPED.items():
-        t = F.replace(t, F.lit(stand_in), F.lit(" " if sign == "\\" else sign))
-    return collapse_ws(F.when(F.contains(c, F.lit("\\")) | F.contains(c, F.lit("$")), t).otherwise(c))
-
-
 def one_line(c: Column, n: int) -> Column:
     return F.replace(F.substring(c, 1, n), F.lit("\n"), F.lit(" "))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.functions.markup import normalize_markup
 from folioscope.operators import chunking as K
 from folioscope.operators import context as C
 from folioscope.operators import ordering as O
@@ -190,21 +191,25 @@ def chunk_dedupe(spark, sf):
     return K.latest_by_id(rows).select("chunk_id", "ord", F.md5("text").alias("digest"))
 
 
+MARKUP_SIGNS = "\\${}~"
+
+
 @register(
     "markup_normalized",
-    f"""SELECT doc_id, md5(trim(replace(replace(regexp_replace(replace({B.sql_collapse('text')}, ', ', ' √(x)/2 ≤ α '), '[{WS}]+', ' ', 'g'), '{{', ''), '}}', ''))) AS digest
-        FROM documents WHERE NOT contains(text, chr(92)) AND NOT contains(text, '$')""",
+    f"""SELECT doc_id, md5(trim(regexp_replace(replace({B.sql_collapse("translate(text, '" + MARKUP_SIGNS + "', '     ')")}, ', ', ' √(x)/2 ≤ α '), '[{WS}]+', ' ', 'g'))) AS digest
+        FROM documents""",
 )
 def markup_normalized(spark, sf):
-    raw = F.replace(F.col("text"), F.lit(", "), F.lit(r" $\frac{\sqrt{x}}{2}$ \leq \alpha "))
-    plain = ~F.contains(F.col("text"), F.lit("\\")) & ~F.contains(F.col("text"), F.lit("$"))
-    return docs(spark, sf).where(plain).select("doc_id", F.md5(T.normalize_markup(raw)).alias("digest"))
+    """Known markup in every document: signs of its own become blanks, commas become a formula."""
+    plain = F.translate("text", MARKUP_SIGNS, " " * len(MARKUP_SIGNS))
+    raw = F.replace(T.collapse_ws(plain), F.lit(", "), F.lit(r" $\frac{\sqrt{x}}{2}$ \leq \alpha "))
+    return docs(spark, sf).select("doc_id", F.md5(normalize_markup(raw)).alias("digest"))
 
 
 @register("markup_normalized_all")
 def markup_normalized_all(spark, sf):
-    """Every document with markup of its own or none, as it is: SQL has no loop for nested groups."""
-    return docs(spark, sf).select("doc_id", F.md5(T.normalize_markup(F.col("text"))).alias("digest"))
+    """Every document as it is; SQL has no loop for nested groups."""
+    return docs(spark, sf).select("doc_id", F.md5(normalize_markup(F.col("text"))).alias("digest"))
 
 
 @register(

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions.markup import normalize_markup
 from folioscope.functions.models import (
     embedder_from_model,
     hashed_tf_embedder,
@@ -179,6 +180,25 @@ def test_model_hooks_compose(spark):
     assert got[0] > 0.99 and got[1] < 0.1 and got[1] == got[2]
 
 
+def test_hooks_over_markup_on_any_table(spark, tmp_path):
+    """The same vectors from rows held by the driver, from a file, and behind a step of their own, adaptive or not."""
+    texts = [r"$\frac{a}{b}$  x", "plain  words", r"\broken{", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    rows.write.parquet(f"{tmp_path}/t")
+    length = embedder_from_model(lambda: lambda texts: np.array([[len(t)] for t in texts]), normalize=False)
+    said = embedder_from_model(lambda: lambda texts: np.array([[len(t)] for t in texts]), normalize=False)
+    wanted = [[5.0], [11.0], [8.0], [0.0], [0.0]]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    for flag in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", flag)
+        for table in (rows, spark.read.parquet(f"{tmp_path}/t"), rows.repartition(3), rows.where("i >= 0").cache()):
+            got = table.select("i", normalizing(length)(F.col("text")).alias("v"))
+            step = table.withColumn("t", normalize_markup(F.col("text"))).select("i", said(F.col("t")).alias("v"))
+            for found in (got, step):
+                assert [r.v for r in found.orderBy("i").collect()] == wanted
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_pipeline_stages(spark):
     chunks = chunk_table(spark, {"ann": corpus(6, 60)})
     queries = spark.createDataFrame([("ann", 1, "w5 w9"), ("ann", 2, "w1")], "user string, qid long, text string")
