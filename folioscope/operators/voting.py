@@ -7,19 +7,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, shuffle_width
 from folioscope.functions.answers import answer_value, is_correct, normalize_answer
 
 TRIALS = 400
 KS = (1, 5, 10)
+PACKED = 100_000  # samples of the largest item that a task gathers
 MAX_PARSE_SPREAD = 0.05
 ITEM = ["model", "item_id"]
 
@@ -107,17 +111,96 @@ def _draw(n: Column, k: int, trial: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), F.array().cast("array<long>"), step)
 
 
-def vote_accuracy(samples: DataFrame, gold: DataFrame, ks: Sequence[int] = KS, trials: int = TRIALS) -> DataFrame:
+def _steps(prefix: str, trials: int, k: int) -> np.ndarray:
+    """The hashes behind ``_draw`` for all trials and steps of one key: (trials, k)."""
+    md5, tails = hashlib.md5, [f":{j}".encode() for j in range(k)]
+    heads = (f"{prefix}:{t}".encode() for t in range(trials))
+    said = b"".join([md5(head + tail).digest()[:4] for head in heads for tail in tails])
+    return np.frombuffer(said, ">u4").astype(np.int64).reshape(trials, k)
+
+
+def _positions(steps: np.ndarray, n: int, k: int) -> np.ndarray:
+    """``_draw`` for all trials at once: k distinct positions below n > k for each row."""
+    out = np.empty((len(steps), k), np.int64)
+    for j in range(k):
+        top = n - k + j
+        r = steps[:, j] % (top + 1)
+        out[:, j] = np.where((out[:, :j] == r[:, None]).any(axis=1), top, r)
+    return out
+
+
+def _majority_correct(codes: np.ndarray, correct: np.ndarray) -> np.ndarray:
+    """For each row of answer codes (-1: none), whether its most frequent answer, the first of equals, is correct."""
+    votes = np.stack([(codes == codes[:, [j]]).sum(axis=1) * (codes[:, j] >= 0) for j in range(codes.shape[1])], axis=1)
+    best = votes.argmax(axis=1)
+    row = np.arange(len(codes))
+    return (votes[row, best] > 0) & correct[codes[row, best]]
+
+
+def _resampled(ks: Sequence[int], trials: int):
+    """Accuracies of packed items, all ``ks`` in one pass; answers are numbered within a batch."""
+    ks = [int(k) for k in ks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            packed = batch.column("answers")
+            at = packed.offsets.to_numpy()
+            answers = packed.values.field("answer").dictionary_encode()
+            codes = answers.indices.fill_null(-1).to_numpy()
+            marks = packed.values.field("correct").to_numpy(zero_copy_only=False).astype(bool)
+            keys = [batch.column(c).to_pylist() for c in ITEM]
+            rows: list[tuple] = []
+            for model, item, low, high in zip(*keys, at[:-1], at[1:]):
+                n, mine = int(high - low), codes[low:high]
+                names, mine = np.unique(mine, return_inverse=True)  # nulls, if any, come first
+                mine = mine - int(names[0] < 0)
+                correct = np.zeros(max(1, len(names)), bool)
+                correct[mine[mine >= 0]] = marks[low:high][mine >= 0]
+                drawn = [k for k in ks if k < n]
+                prefix = ":".join(str(x) for x in (model, item) if x is not None)
+                steps = _steps(prefix, trials, max(drawn)) if drawn else None
+                for k in ks:
+                    if k < n:
+                        share = _majority_correct(mine[_positions(steps, n, k)], correct).sum() / trials
+                    else:
+                        votes = np.bincount(mine[mine >= 0], minlength=1)
+                        seen = np.flatnonzero((mine >= 0) & (votes[mine] == votes.max()))
+                        share = float(correct[mine[seen[0]]]) if votes.max() else 0.0
+                    rows.append((model, item, k, float(share)))
+            columns = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("model").type, batch.schema.field("item_id").type, pa.int32(), pa.float64()))], [*ITEM, "k", "accuracy"])
+
+    return run
+
+
+def vote_accuracy(samples: DataFrame, gold: DataFrame, ks: Sequence[int] = KS, trials: int = TRIALS, packed: int = PACKED) -> DataFrame:
     """Share of ``trials`` random k-subsets per item whose majority is correct; one exact vote when k ≥ n.
 
-    A trial draws its k positions directly instead of ranking all samples, so the work per item is
-    trials × k however many samples the item has.
+    A trial draws its k positions directly instead of ranking all samples. An item is one packed array of its answers,
+    and one pass over these draws all trials for all ``ks``. Items with more than ``packed`` samples are not gathered: their
+    trials are rows that meet the drawn samples in a join. Whether there are such items is a job of its own.
     """
-    # judged once, resampled for every k
     judged = cut_lineage(
         mark_distinct(samples, gold).select(*ITEM, F.col("sample_no").cast("long").alias("pos"), "answer", "correct")
     )
     sizes = judged.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n"))
+    large = cut_lineage(sizes.where(F.col("n") > packed))
+    found = None
+    if not large.isEmpty():
+        found = _joined_trials(judged.join(large.select(*ITEM), ITEM, "left_semi"), large, ks, trials)
+        judged = judged.join(large.select(*ITEM), ITEM, "left_anti")
+    answers = F.sort_array(F.collect_list(F.struct("pos", "answer", "correct")))
+    kinds = dict(judged.dtypes)
+    # little to ship, much to draw: the number of partitions is given, as sizes would have it narrowed
+    spread = judged.repartition(shuffle_width(samples), *ITEM)
+    small = spread.groupBy(*ITEM).agg(answers.alias("answers")).mapInArrow(_resampled(ks, trials), f"model {kinds['model']}, item_id {kinds['item_id']}, k int, accuracy double")
+    return small if found is None else small.unionByName(found)
+
+
+def _joined_trials(judged: DataFrame, sizes: DataFrame, ks: Sequence[int], trials: int) -> DataFrame:
+    """The same for items too large to be gathered."""
     out = None
     for k in ks:
         trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))
@@ -219,17 +302,35 @@ def paired(items: DataFrame, incumbent: str, key: str) -> DataFrame:
     return counted.withColumn("p", mcnemar_p(F.col("wins"), F.col("losses")))
 
 
+def _beta_share(a: int, b: int) -> float:
+    """The regularised incomplete beta function at a half, for a ≥ b: a continued fraction of some hundred terms at
+    most, whatever the size of ``a`` and ``b``."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * 0.5 / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h, m = d, 0
+    while True:
+        m += 1
+        for factor in (m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + factor * d
+            c = 1.0 + factor / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15 or m > 100_000:
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2)
+    return math.exp(front) * h / a
+
+
 @F.pandas_udf(TY.DoubleType())
 def mcnemar_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
     """Two-sided exact binomial p-value of the discordant pairs; 1 when there are none."""
 
     def p(b: int, c: int) -> float:
-        n = b + c
-        log_half = n * math.log(0.5)
-        terms = (
-            math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + log_half for i in range(min(b, c) + 1)
-        )
-        return min(1.0, 2 * math.fsum(math.exp(t) for t in terms))
+        # the lower tail up to min(b, c) is the incomplete beta function at a half
+        low, n = min(b, c), b + c
+        return min(1.0, 2 * _beta_share(n - low, low + 1)) if low < n - low else 1.0
 
     return pd.Series([p(int(b), int(c)) if b + c else 1.0 for b, c in zip(wins, losses)], index=wins.index, dtype=float)
 

@@ -82,7 +82,24 @@ def test_draws_are_distinct_and_even(spark):
     assert max(seen) - min(seen) < 150
 
 
-@pytest.mark.parametrize("b,c", [(0, 0), (5, 1), (3, 3), (12, 2), (400, 350)])
+def test_packed_and_joined_trials_agree(spark):
+    draw = random.Random(4)
+    rows = [(f"m{m}", f"i{i}", s, draw.choice(["x", "y", "z", None]) if i else None) for m in range(2) for i in range(9) for s in range(draw.choice([1, 4, 5, 12, 40]))]
+    samples = spark.createDataFrame(rows, "model string, item_id string, sample_no int, answer string").repartition(3)
+    gold = VO.gold_forms(spark.createDataFrame([(f"i{i}", "x", ["y"] if i % 2 else None) for i in range(8)], "item_id string, answer string, aliases array<string>"))
+    got = [sorted(map(tuple, VO.vote_accuracy(samples, gold, (1, 5, 10), 60, packed).collect())) for packed in (100, 6, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 54 and len({r[3] for r in got[0]}) > 10
+    assert VO.vote_accuracy(samples.limit(0), gold).collect() == []
+
+
+def test_mcnemar_of_many_pairs(spark):
+    df = spark.createDataFrame([(10**9, 10**9 - 10**5), (10**9, 10**9), (3 * 10**8, 10**8)], "b long, c long")
+    far, even, gone = [r.p for r in df.select(VO.mcnemar_p("b", "c").alias("p")).collect()]
+    z = (10**5 - 1) / math.sqrt(2 * 10**9 - 10**5)
+    assert math.isclose(far, math.erfc(z / math.sqrt(2)), rel_tol=1e-3) and even == 1.0 and gone == 0.0
+
+
+@pytest.mark.parametrize("b,c", [(0, 0), (5, 1), (3, 3), (12, 2), (400, 350), (0, 9), (1, 0), (7, 8)])
 def test_mcnemar(spark, b, c):
     n = b + c
     want = 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
