@@ -1,14 +1,18 @@
 """Vector search for tables of query vectors.
 
-Query vectors are held as matrices next to the stored vectors; each Arrow batch of stored vectors
+Exact: query vectors are held as matrices next to the stored vectors; each Arrow batch of stored vectors
 is multiplied against them in one call and every task keeps only its best ``k`` per question, so
 no (question, vector) pair is ever a row. A query table within a checked size is broadcast;
 a larger one is met block by block in a co-grouped join, stored slices against query blocks.
+
+Approximate: an inverted file. Centroids are trained on a bounded sample, every vector is stored under its
+nearest one, and a question only meets the vectors of the few cells nearest to it, in an equality join on the cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -18,12 +22,15 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.models import Embedder
 from folioscope.operators.ordering import top_k
-from folioscope.session import fits_broadcast
+from folioscope.session import cut_lineage, fits_broadcast
 
 BROADCAST_QUERIES = 8_192
 QUERY_BLOCK = 16_384
 VECTOR_SLICE = 131_072
 SCORE_DIGITS = 9
+CELL_SAMPLE = 16_384  # vectors that the centroids of cells are trained on
+MOST_CELLS = 4_096
+PROBED = 0.075  # share of the cells that a question meets
 _ROWS = 8_192  # stored vectors multiplied at a time
 _OUT = "user string, qid long, ord long, score double"
 _OUT_ARROW = pa.schema([("user", pa.string()), ("qid", pa.int64()), ("ord", pa.int64()), ("score", pa.float64())])
@@ -39,55 +46,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, dim, bits))
-
-
-def _signatures(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """(rows, tables) bucket numbers: the side of each random plane a vector falls on."""
-    sides = np.einsum("nd,tdb->tnb", vectors, planes) >= 0
-    return (sides @ (1 << np.arange(planes.shape[2]))).T
-
-
 class _Best:
     """Best ``k`` (score, ord) per question seen so far by one task."""
 
-    def __init__(self, qids: np.ndarray, asked: np.ndarray, k: int, lsh: tuple[int, int, int] | None):
+    def __init__(self, qids: np.ndarray, asked: np.ndarray, k: int):
         self.qids, self.asked, self.k = qids, asked, k
-        self.planes = _planes(asked.shape[1], *lsh) if lsh else None
-        self.buckets = _signatures(asked, self.planes) if lsh else None
-        self.kept = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(qids)
+        self.who = self.ords = np.empty(0, dtype=np.int64)
+        self.scores = np.empty(0)
 
     def offer(self, ords: np.ndarray, stored: np.ndarray) -> None:
         for at in range(0, len(ords), _ROWS):
             rows, block = ords[at : at + _ROWS], stored[at : at + _ROWS]
-            scores = np.round(block @ self.asked.T, SCORE_DIGITS)
-            mine = _signatures(block, self.planes) if self.planes is not None else None
-            for j in range(len(self.qids)):
-                pool = np.arange(len(rows)) if mine is None else np.flatnonzero((mine == self.buckets[j]).any(axis=1))
-                if len(pool) > self.k:
-                    # everything at or above the k-th score stays, so ties are settled by ord below
-                    kth = np.partition(scores[pool, j], len(pool) - self.k)[len(pool) - self.k]
-                    pool = pool[scores[pool, j] >= kth]
-                best = np.concatenate([self.kept[j][0], scores[pool, j]])
-                who = np.concatenate([self.kept[j][1], rows[pool]])
-                order = np.lexsort((who, -best))[: self.k]
-                self.kept[j] = (best[order], who[order])
+            scores = np.round(self.asked @ block.T, SCORE_DIGITS)
+            if len(rows) > self.k:
+                # everything at or above the k-th score stays, so ties are settled by ord below
+                who, row = np.nonzero(scores >= np.partition(scores, len(rows) - self.k, axis=1)[:, [len(rows) - self.k]])
+            else:
+                who, row = np.nonzero(np.ones(scores.shape, dtype=bool))
+            who, score, met = (np.concatenate(c) for c in ((self.who, who), (self.scores, scores[who, row]), (self.ords, rows[row])))
+            order = np.lexsort((met, -score, who))
+            first = np.searchsorted(who[order], np.arange(len(self.qids)))
+            order = order[np.arange(len(order)) - first[who[order]] < self.k]
+            self.who, self.scores, self.ords = who[order], score[order], met[order]
 
     def batches(self, user: str) -> Iterator[pa.RecordBatch]:
-        sizes = [len(s) for s, _ in self.kept]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([user] * sum(sizes), pa.string()),
-                pa.array(np.repeat(self.qids, sizes), pa.int64()),
-                pa.array(np.concatenate([w for _, w in self.kept]), pa.int64()),
-                pa.array(np.concatenate([s for s, _ in self.kept]), pa.float64()),
+                pa.array([user] * len(self.who), pa.string()), pa.array(self.qids[self.who], pa.int64()),
+                pa.array(self.ords, pa.int64()), pa.array(self.scores, pa.float64()),
             ],
             schema=_OUT_ARROW,
         )
 
 
-def _search_broadcast(batches: Iterator[pa.RecordBatch], shared, k: int, lsh) -> Iterator[pa.RecordBatch]:
+def _search_broadcast(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.RecordBatch]:
     best: dict[str, _Best] = {}
     for batch in batches:
         if not batch.num_rows:
@@ -97,23 +89,26 @@ def _search_broadcast(batches: Iterator[pa.RecordBatch], shared, k: int, lsh) ->
         stored = _matrix(batch.column("embedding"))
         for user in set(users.tolist()) & shared.value.keys():
             mine = users == user
-            best.setdefault(user, _Best(*shared.value[user], k, lsh)).offer(ords[mine], stored[mine])
+            best.setdefault(user, _Best(*shared.value[user], k)).offer(ords[mine], stored[mine])
     for user, kept in best.items():
         yield from kept.batches(user)
 
 
-def _search_blocks(stored: pa.Table, asked: pa.Table, k: int, lsh) -> pa.Table:
+def _search_blocks(stored: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     if not stored.num_rows or not asked.num_rows:
         return _OUT_ARROW.empty_table()
     stored, asked = stored.combine_chunks(), asked.combine_chunks()
-    best = _Best(
-        asked.column("qid").to_numpy(), _matrix(asked.column("embedding").combine_chunks()), k, lsh
-    )
+    best = _Best(asked.column("qid").to_numpy(), _matrix(asked.column("embedding").combine_chunks()), k)
     best.offer(stored.column("ord").to_numpy(), _matrix(stored.column("embedding").combine_chunks()))
     return pa.Table.from_batches(list(best.batches(stored.column("user")[0].as_py())), _OUT_ARROW)
 
 
-def _top(vectors: DataFrame, queries: DataFrame, k: int, lsh: tuple[int, int, int] | None) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact ``k`` nearest by dot product of unit vectors (same order as squared L2).
+
+    ``vectors(user, ord, embedding)``, ``queries(user, qid, embedding)`` →
+    ``(user, qid, ord, score, rank)``; ties go to the lower ``ord``.
+    """
     stored = vectors.select("user", F.col("ord").cast("long"), "embedding")
     asked = queries.select("user", F.col("qid").cast("long"), "embedding")
     if fits_broadcast(asked, BROADCAST_QUERIES):
@@ -126,7 +121,7 @@ def _top(vectors: DataFrame, queries: DataFrame, k: int, lsh: tuple[int, int, in
             for u in {r[0] for r in rows}
         }
         shared = vectors.sparkSession.sparkContext.broadcast(packed)
-        found = stored.mapInArrow(partial(_search_broadcast, shared=shared, k=k, lsh=lsh), _OUT)
+        found = stored.mapInArrow(partial(_search_broadcast, shared=shared, k=k), _OUT)
     else:
         slices = max(1, -(-stored.count() // VECTOR_SLICE))
         blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -146,25 +141,106 @@ def _top(vectors: DataFrame, queries: DataFrame, k: int, lsh: tuple[int, int, in
         found = (
             left.groupBy(*keys)
             .cogroup(right.groupBy(*keys))
-            .applyInArrow(lambda a, b: _search_blocks(a, b, k, lsh), _OUT)
+            .applyInArrow(lambda a, b: _search_blocks(a, b, k), _OUT)
         )
     return top_k(found, ["user", "qid"], [F.col("score").desc(), F.col("ord").asc()], k)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact ``k`` nearest by dot product of unit vectors (same order as squared L2).
+@dataclass(frozen=True)
+class CellIndex:
+    """Vectors stored by cell. ``centroids`` has at most ``MOST_CELLS`` rows, whatever the number of vectors."""
 
-    ``vectors(user, ord, embedding)``, ``queries(user, qid, embedding)`` →
-    ``(user, qid, ord, score, rank)``; ties go to the lower ``ord``.
+    centroids: np.ndarray
+    stored: DataFrame  # user, cell, part, ord, embedding
+    sizes: DataFrame  # user, cell, n, parts
+
+
+def train_centroids(vectors: DataFrame, cells: int | None = None, sample: int = CELL_SAMPLE, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Unit centroids by spherical k-means over the ``sample`` vectors with the smallest hash of user and ord.
+
+    Without ``cells`` there are eight times the root of the number of vectors, at most ``MOST_CELLS``. Only the sample, whose
+    size is the bound, comes to the driver.
     """
-    return _top(vectors, queries, k, None)
+    many = vectors.count()
+    place = F.pmod(F.xxhash64("user", "ord", F.lit(seed)), F.lit(1 << 40))
+    near = vectors.select(place.alias("_place"), "user", "ord", "embedding").where(F.col("_place") <= (1 << 40) * min(1.0, (2 * sample + 200) / max(1, many)))
+    rows = near.orderBy("_place", "user", "ord").limit(sample).select("embedding").toArrow()
+    if not rows.num_rows:
+        return np.zeros((1, 1))
+    points = _matrix(rows.column("embedding").combine_chunks())
+    cells = max(1, min(cells or int(8 * many**0.5), MOST_CELLS, len(points)))
+    centroids = points[:cells].copy()
+    for _ in range(rounds):
+        of = (points @ centroids.T).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, of, points)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norms > 0, np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0), centroids)
+    return centroids
+
+
+def _nearest_cells(df: DataFrame, centroids: np.ndarray, many: int) -> DataFrame:
+    """``df(user, <id>, embedding)`` with the ``cells`` (array) of its ``many`` best centroids, nearest first."""
+    shared = df.sparkSession.sparkContext.broadcast(centroids)
+    many = min(many, len(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                scores = np.round(_matrix(part.column(2)) @ shared.value.T, SCORE_DIGITS)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :many].astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, many), pa.int32()), pa.array(best.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, cells], [*part.schema.names, "cells"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{kinds}, cells array<int>")
+
+
+def build_cells(vectors: DataFrame, centroids: np.ndarray | None = None, slice_rows: int = VECTOR_SLICE) -> CellIndex:
+    """Store every row of ``vectors(user, ord, embedding)`` under its nearest centroid; a cell with more than ``slice_rows``
+    vectors of a user is split into parts by ``ord``. Rows come in again with the same centroids by another call."""
+    centroids = train_centroids(vectors) if centroids is None else centroids
+    placed = _nearest_cells(vectors.select("user", F.col("ord").cast("long"), "embedding"), centroids, 1)
+    placed = cut_lineage(placed.select("user", "ord", "embedding", F.col("cells")[0].alias("cell")))
+    sizes = placed.groupBy("user", "cell").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(sizes.withColumn("parts", F.ceil(F.col("n") / slice_rows).cast("int")))
+    stored = placed.join(sizes.select("user", "cell", "parts"), ["user", "cell"])
+    stored = stored.select("user", "cell", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int").alias("part"), "ord", "embedding")
+    return CellIndex(centroids, stored, sizes)
+
+
+def probed_cells(index: CellIndex, queries: DataFrame, probed: float = PROBED) -> DataFrame:
+    """One row for each question and cell it meets: ``user, qid, embedding, cell``; the nearest share ``probed`` of all cells."""
+    many = max(1, int(np.ceil(probed * len(index.centroids))))
+    asked = _nearest_cells(queries.select("user", F.col("qid").cast("long"), "embedding"), index.centroids, many)
+    return asked.select("user", "qid", "embedding", F.explode("cells").alias("cell"))
+
+
+def dense_top_k_approx(index: CellIndex, queries: DataFrame, k: int, probed: float = PROBED, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """The ``k`` best of the vectors in the cells a question meets, scored exactly; columns as of :func:`dense_top_k`.
+
+    Parts of cells meet blocks of questions, so neither a crowded cell nor a cell that most questions probe is one task.
+    """
+    asked = cut_lineage(probed_cells(index, queries, probed))
+    busy = asked.groupBy("user", "cell").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks"))
+    plan = cut_lineage(index.sizes.join(busy, ["user", "cell"]).select("user", "cell", "parts", "blocks"))
+    left = index.stored.join(plan.select("user", "cell", "blocks"), ["user", "cell"])
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = asked.join(plan, ["user", "cell"]).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "blocks")
+    keys = ["user", "cell", "part", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search_blocks(a, b, k), _OUT)
+    return top_k(found, ["user", "qid"], [F.col("score").desc(), F.col("ord").asc()], k)
 
 
-def dense_top_k_approx(
-    vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, bits: int = 5, seed: int = 7
-) -> DataFrame:
-    """Approximate variant: only vectors sharing a random-plane bucket with the question compete."""
-    return _top(vectors, queries, k, (tables, bits, seed))
+def scored_share(index: CellIndex, queries: DataFrame, probed: float = PROBED) -> DataFrame:
+    """``share_scored``: the (question, vector) pairs the approximate search multiplies, of all pairs of a user."""
+    asked = probed_cells(index, queries, probed).groupBy("user", "cell").agg(F.count(F.lit(1)).alias("asked"))
+    met = index.sizes.join(asked, ["user", "cell"]).agg(F.sum(F.col("n") * F.col("asked")).alias("met"))
+    every = index.sizes.groupBy("user").agg(F.sum("n").alias("n")).join(queries.groupBy("user").agg(F.count(F.lit(1)).alias("q")), "user")
+    every = every.agg(F.sum(F.col("n") * F.col("q")).alias("every"))
+    return met.crossJoin(every).select(F.round(F.coalesce("met", F.lit(0)) / F.col("every"), 6).alias("share_scored"))  # one row each
 
 
 def recall_against_exact(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -123,11 +123,44 @@ def test_dense_breaks_ties_by_order(spark):
     assert [r.ord for r in got] == [0, 1, 2, 3]
 
 
-def test_approximate_search_recall(spark):
-    _, sdf = vectors(spark, 300, 3, "ord")
-    _, qdf = vectors(spark, 9, 4, "qid")
-    r = D.recall_against_exact(D.dense_top_k_approx(sdf, qdf, 5), D.dense_top_k(sdf, qdf, 5)).first()
-    assert r.n_exact == 45 and r.recall >= 0.7
+@pytest.mark.parametrize("slice_rows, query_block", [(100_000, 16_384), (7, 3)])
+def test_cells_against_brute_force(spark, slice_rows, query_block):
+    """Clustered vectors: few pairs are scored, nearly all neighbours found, scores and ties as in the exact search."""
+    rng = np.random.default_rng(3)
+    heads = rng.standard_normal((12, 16))
+    made = [heads[i % 12] + 0.25 * rng.standard_normal(16) for i in range(600)]
+    made = [(v / np.linalg.norm(v)).astype(np.float32).tolist() for v in made]
+    rows = [("u", i, v) for i, v in enumerate(made)] + [("u", 600 + i, made[0]) for i in range(5)] + [("w", 1, made[3])]
+    sdf = spark.createDataFrame(rows, "user string, ord long, embedding array<float>").repartition(4)
+    qdf = sdf.where("ord % 30 = 0 OR user = 'w'").withColumnRenamed("ord", "qid")
+    index = D.build_cells(sdf, slice_rows=slice_rows)
+    assert index.stored.count() == len(rows) and index.sizes.agg(F.sum("n")).first()[0] == len(rows)
+    assert index.stored.groupBy("user", "cell", "part").count().agg(F.max("count")).first()[0] <= max(slice_rows, 25)
+    approx = D.dense_top_k_approx(index, qdf, 5, query_block=query_block)
+    asked = {(r.user, r.qid): np.float64(r.embedding) for r in qdf.collect()}
+    hits = total = 0
+    for (u, q), e in asked.items():
+        score = {o: round(float(np.float64(np.float32(v)) @ e), 9) for w, o, v in rows if w == u}
+        want = sorted(score, key=lambda o: (-score[o], o))[:5]
+        got = [(r.ord, r.score) for r in approx.where((F.col("user") == u) & (F.col("qid") == q)).orderBy("rank").collect()] if q < 120 else None
+        if got is not None:
+            assert got == sorted(((o, score[o]) for o, _ in got), key=lambda x: (-x[1], x[0]))
+            hits, total = hits + len({o for o, _ in got} & set(want)), total + len(want)
+    assert hits / total >= 0.9
+    r = D.recall_against_exact(approx, D.dense_top_k(sdf, qdf, 5)).first()
+    assert r.recall >= 0.9 and D.scored_share(index, qdf).first()[0] < 0.2
+
+
+def test_cells_of_nothing(spark):
+    none = spark.createDataFrame([], "user string, ord long, embedding array<float>")
+    assert D.dense_top_k_approx(D.build_cells(none), none.withColumnRenamed("ord", "qid"), 5).collect() == []
+
+
+def test_approximate_recall_over_documents(spark):
+    from folioscope.plans import catalog
+
+    r = catalog.QUERIES["approx_dense_recall"](spark, "/root/testdata/sf0.01").first()
+    assert r.recall >= 0.9 and r.share_scored < 0.2
 
 
 def ranked(spark, names):
