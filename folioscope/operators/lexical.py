@@ -3,13 +3,17 @@
 The index is four tables. Postings carry the whole length-normalised term weight, so scoring is
 one join and one sum; they are hash-partitioned by chunk, which lets the per-chunk sum run
 without another shuffle when the question side is broadcast.
+
+A stored index keeps its postings in blocks: a block holds a term's postings in one range of chunk positions, and the
+largest count and the shortest chunk in it, which bound a posting's weight whatever the average length becomes. A search adds up the
+bounds of a range, scores the best ranges of a question first, and then only the ranges whose bound reaches the k-th score.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -22,6 +26,8 @@ NEGATIVE_IDF_SHARE = 0.25
 TERM_SALTS = 32
 BROADCAST_TERMS = 400_000
 SCORE_DIGITS = 9
+RANGE = 128  # chunk positions of a block
+FIRST_RANGES = 4  # ranges of a question that are scored before any is left out
 
 
 @dataclass(frozen=True)
@@ -69,6 +75,15 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B) -> LexicalIndex
     corpus = cut_lineage(docs.groupBy("user").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
     counted = counted.where(F.col("term").isNotNull())
     freq = counted.groupBy("user", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms, means = term_weights(freq, corpus)
+    postings = counted.join(corpus.select("user", "avgdl"), "user").select(
+        "user", "ord", "term", "tf", impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("impact")
+    )
+    return LexicalIndex(postings, docs, terms, corpus.join(means, "user", "left"))
+
+
+def term_weights(freq: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``terms`` (user, term, df, idf) and the users' ``mean_idf``; negative idf becomes a share of the mean."""
     raw = cut_lineage(
         freq.join(corpus.select("user", "n_docs"), "user").select(
             "user", "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf")
@@ -79,11 +94,7 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B) -> LexicalIndex
         "user", "term", "df",
         F.when(F.col("raw_idf") < 0, F.col("mean_idf") * NEGATIVE_IDF_SHARE).otherwise(F.col("raw_idf")).alias("idf"),
     )
-    postings = counted.join(corpus.select("user", "avgdl"), "user").select(
-        "user", "ord", "term", "tf",
-        (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("impact"),
-    )
-    return LexicalIndex(postings, docs, terms, corpus.join(means, "user", "left"))
+    return terms, means
 
 
 def weighted_query_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
@@ -101,7 +112,10 @@ def weighted_query_terms(index: LexicalIndex, queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """Score of every chunk sharing a token with the question: ``(user, qid, ord, score)``."""
-    weighted = cut_lineage(weighted_query_terms(index, queries))  # sized, then shipped
+    return _scores(index, cut_lineage(weighted_query_terms(index, queries)))  # sized, then shipped
+
+
+def _scores(index: LexicalIndex, weighted: DataFrame) -> DataFrame:
     if fits_broadcast(weighted, BROADCAST_TERMS):
         hits = index.postings.join(F.broadcast(weighted), ["user", "term"])
     else:
@@ -114,26 +128,122 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     return summed.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
-def bm25_top_k(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` chunks per question, zero-score chunks filling in by chunk order.
+def _ranked(scored: DataFrame, every: DataFrame, inverted: DataFrame | None, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of ``scored`` (``user, qid, ord, score``), zero-score chunks filling in by chunk order.
 
-    With a non-negative mean idf no score is below zero: the best ``k`` scored chunks and the
-    first ``k`` chunks of the user, at zero, hold the answer. Users with a negative mean idf
-    (vocabulary shared by most chunks) are ranked over all their chunks instead.
+    Where no term weighs less than nothing, the best ``k`` scored chunks and the first ``k`` chunks of the user, at zero,
+    hold the answer. The ``inverted`` questions are ranked over ``every`` score and all chunks of their user instead.
     """
-    scores = bm25_scores(index, queries)
-    inverted = index.stats.where(F.col("mean_idf") < 0).select("user")
     order = [F.col("score").desc(), F.col("ord").asc()]
-    docs = index.docs.select("user", "ord")
     asked = queries.select("user", "qid")
-    if inverted.isEmpty():
-        best = top_k(scores, ["user", "qid"], order, k).drop("rank")
-        first = top_k(docs, ["user"], [F.col("ord").asc()], k, "_pos").drop("_pos")
-    else:
-        best = scores
-        few = top_k(docs, ["user"], [F.col("ord").asc()], k, "_pos").drop("_pos")
-        first = few.unionByName(docs.join(inverted, "user", "left_semi")).distinct()
-    zeros = asked.join(first, "user").withColumn("score", F.lit(0.0))
+    first = top_k(docs.select("user", "ord"), ["user"], [F.col("ord").asc()], k, "_pos").drop("_pos")
+    best = top_k(scored, ["user", "qid"], order, k).drop("rank")
+    zeros = asked.join(first, "user")
+    if inverted is not None:
+        best = best.join(inverted, ["user", "qid"], "left_anti").unionByName(every.join(inverted, ["user", "qid"], "left_semi"))
+        zeros = zeros.join(inverted, ["user", "qid"], "left_anti").unionByName(inverted.join(docs.select("user", "ord"), "user"))
     # a scored chunk met again as filler keeps its score: zero adds nothing
+    zeros = zeros.withColumn("score", F.lit(0.0)).select("user", "qid", "ord", "score")
     pool = best.unionByName(zeros).groupBy("user", "qid", "ord").agg(F.sum("score").alias("score"))
     return top_k(pool, ["user", "qid"], order, k)
+
+
+def _inverted(weighted: DataFrame) -> DataFrame | None:
+    """Questions with a term of negative weight (its user's vocabulary is shared by most chunks); None if there are none."""
+    found = weighted.where("weight < 0").select("user", "qid").distinct()
+    return None if found.isEmpty() else found
+
+
+def bm25_top_k(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` chunks per question over all postings, zero-score chunks filling in by chunk order."""
+    weighted = cut_lineage(weighted_query_terms(index, queries))
+    scores = _scores(index, weighted)
+    return _ranked(scores, scores, _inverted(weighted), index.docs, queries, k)
+
+
+def impact(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """The length-normalised weight of a term in a chunk; it rises with ``tf`` and falls with ``dl``."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def blocks_of(counted: DataFrame, width: int = RANGE) -> DataFrame:
+    """``counted(user, ord, term, tf, dl)`` → one row per user, term and range: its bounds and its postings by ``ord``."""
+    ranged = counted.withColumn("range", F.floor(F.col("ord") / width))
+    return ranged.groupBy("user", "term", "range").agg(
+        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("ord", "tf", "dl"))).alias("posts")
+    )
+
+
+@dataclass(frozen=True)
+class BlockIndex:
+    """A lexical index with its postings in blocks, of one segment or of several."""
+
+    blocks: DataFrame  # user, term, range, max_tf, min_dl, posts, version
+    gone: DataFrame | None  # user, ord, gone: postings of a chunk in versions before ``gone`` are dead
+    lexical: LexicalIndex  # its statistics; the postings are not read by a search
+
+
+def blocked(index: LexicalIndex, width: int = RANGE) -> BlockIndex:
+    """An index just built, stored by blocks."""
+    counted = index.postings.join(index.docs, ["user", "ord"]).select("user", "ord", "term", "tf", "dl")
+    return BlockIndex(cut_lineage(blocks_of(counted, width).withColumn("version", F.lit(0).cast("long"))), None, index)
+
+
+def _range_bounds(index: BlockIndex, weighted: DataFrame, k1: float, b: float) -> DataFrame:
+    """``user, qid, range, bound``: no chunk of the range scores more. Only the blocks' bounds are read."""
+    stats = index.lexical.stats.select("user", "avgdl")
+    heads = index.blocks.select("user", "term", "range", "max_tf", "min_dl").join(stats, "user")
+    heads = heads.withColumn("most", impact(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"), k1, b)).select("user", "term", "range", "most")
+    asked = F.broadcast(weighted) if fits_broadcast(weighted, BROADCAST_TERMS) else weighted
+    # a chunk is live in one segment, so the segments' blocks of a range are alternatives
+    met = heads.join(asked, ["user", "term"]).groupBy("user", "qid", "range", "term").agg(F.max(F.greatest("weight", F.lit(0.0)) * F.col("most")).alias("most"))
+    return met.groupBy("user", "qid", "range").agg((F.sum("most") + 10.0**-SCORE_DIGITS).alias("bound"))
+
+
+def _range_scores(index: BlockIndex, weighted: DataFrame, ranges: DataFrame, k1: float, b: float) -> DataFrame:
+    """Exact scores of all chunks in the given (user, qid, range)."""
+    asked = weighted.join(ranges.select("user", "qid", "range"), ["user", "qid"])
+    posts = index.blocks.select("user", "term", "range", "version", "posts").join(asked, ["user", "term", "range"])
+    hits = posts.select("user", "qid", "weight", "version", F.explode("posts").alias("p")).select("user", "qid", "weight", "version", "p.*")
+    if index.gone is not None:
+        hits = hits.join(index.gone, ["user", "ord"], "left").where("gone IS NULL OR gone <= version")
+    hits = hits.join(index.lexical.stats.select("user", "avgdl"), "user")
+    summed = hits.groupBy("user", "qid", "ord").agg(F.sum(F.col("weight") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
+    return summed.withColumn("score", F.round("score", SCORE_DIGITS))
+
+
+@dataclass(frozen=True)
+class Pruned:
+    top: DataFrame  # as of bm25_top_k
+    read: DataFrame  # user, qid, range: what was scored
+    bounds: DataFrame  # user, qid, range, bound: what could have been
+
+
+def bm25_top_k_blocks(index: BlockIndex, queries: DataFrame, k: int, first: int = FIRST_RANGES, k1: float = K1, b: float = B) -> Pruned:
+    """The rows of :func:`bm25_top_k`, from the blocks of the ranges whose bound reaches the k-th score."""
+    weighted = cut_lineage(weighted_query_terms(index.lexical, queries))
+    bounds = cut_lineage(_range_bounds(index, weighted, k1, b))
+    inverted = _inverted(weighted)
+    begun = top_k(bounds, ["user", "qid"], [F.col("bound").desc(), F.col("range").asc()], first).select("user", "qid", "range")
+    begun = cut_lineage(begun)
+    scored = cut_lineage(_range_scores(index, weighted, begun, k1, b))
+    kth = top_k(scored, ["user", "qid"], [F.col("score").desc()], k).where(F.col("rank") == k).select("user", "qid", F.col("score").alias("kth"))
+    if inverted is not None:  # all their scores are wanted
+        kth = kth.join(inverted, ["user", "qid"], "left_anti")
+    rest = bounds.join(begun, ["user", "qid", "range"], "left_anti").join(kth, ["user", "qid"], "left").where("kth IS NULL OR bound >= kth")
+    rest = cut_lineage(rest.select("user", "qid", "range"))
+    scored = cut_lineage(scored.unionByName(_range_scores(index, weighted, rest, k1, b)))
+    return Pruned(_ranked(scored, scored, inverted, index.lexical.docs, queries, k), begun.unionByName(rest), bounds)
+
+
+def postings_read(index: BlockIndex, pruned: Pruned, queries: DataFrame) -> DataFrame:
+    """One row: ``ranges``, ``ranges_read`` and ``postings_share``, the postings scored of all postings of the asked terms."""
+    weighted = weighted_query_terms(index.lexical, queries).select("user", "qid", "term")
+    sizes = index.blocks.select("user", "term", "range", F.size("posts").alias("n")).join(weighted, ["user", "term"])
+    met = sizes.join(pruned.read.withColumn("_read", F.lit(1)), ["user", "qid", "range"], "left")
+    ranges = met.groupBy("user", "qid", "range").agg(F.sum("n").alias("n"), F.max("_read").alias("_read"))
+    read = F.col("_read").isNotNull()
+    return ranges.agg(
+        F.count(F.lit(1)).alias("ranges"), F.sum(read.cast("long")).alias("ranges_read"),
+        F.round(F.sum(F.when(read, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("postings_share"),
+    )

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as TY
 
-from folioscope.functions.models import Embedder
-from folioscope.operators.chunking import latest_by_id, merge_chunks
-from folioscope.operators.dense import embed
 from folioscope.operators.goldset import review_rows
-from folioscope.operators.lexical import LexicalIndex, build_index
-from folioscope.session import cut_lineage
+from folioscope.sources.segments import UserIndex, merge_segments, read_user_index, remove_superseded, write_user_index
+
+__all__ = [
+    "UserIndex", "append_events", "append_feedback", "merge_segments", "read_user_index", "remove_superseded", "replace_figures",
+    "write_report", "write_review", "write_user_index",
+]
 
 
 def utc_stamp():
@@ -39,73 +36,6 @@ def _replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-@dataclass(frozen=True)
-class UserIndex:
-    chunks: DataFrame  # user, ord, chunk_id, source, text, ..
-    lexical: LexicalIndex
-    vectors: DataFrame  # user, ord, chunk_id, embedding
-
-
-LEXICAL = ("postings", "docs", "terms", "stats")
-
-
-def write_user_index(spark: SparkSession, new_chunks: DataFrame, path: str, embedder: Embedder, version: int | None = None) -> None:
-    """Upsert chunks by id and rebuild the touched users' lexical tables and vectors, as one new version.
-
-    ``new_chunks(user, ord, chunk_id, source, text)``. Users not in ``new_chunks`` are not read or rewritten. All tables of
-    the version are written first, then one file that names it and its users: readers see a whole upload or nothing
-    of it. One writer at a time; versions rise. A version that is there already is left as it is, so a replayed
-    batch with its number as the version changes nothing. Versions that are no longer read stay in the folder.
-    """
-    last = _commits(spark, path).agg(F.max("version")).first()[0]
-    if version is None:
-        version = 0 if last is None else last + 1
-    elif last is not None and version <= last:
-        return
-    users = new_chunks.select("user").distinct()
-    if last is None:
-        merged = latest_by_id(new_chunks)
-    else:
-        stored = _current(spark, path, "chunks").join(users, "user", "left_semi")
-        merged = merge_chunks(stored.select(*new_chunks.columns), new_chunks)
-    merged = cut_lineage(merged)  # read by all tables below
-    index = build_index(merged)
-    tables = {
-        "chunks": merged, "vectors": embed(merged, embedder).select("user", "ord", "chunk_id", "embedding"),
-        **{name: getattr(index, name) for name in LEXICAL},
-    }
-    for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy("user").parquet(f"{path}/{name}/version={version}")
-    named = merged.select("user").distinct().select("user", F.lit(version).cast("long").alias("version"))
-    named.coalesce(1).write.mode("append").parquet(f"{path}/commits")
-
-
-def read_user_index(spark: SparkSession, path: str) -> UserIndex:
-    """Every user's tables of the last version that was written whole."""
-    return UserIndex(
-        _current(spark, path, "chunks"), LexicalIndex(*[_current(spark, path, n) for n in LEXICAL]), _current(spark, path, "vectors")
-    )
-
-
-def _commits(spark: SparkSession, path: str) -> DataFrame:
-    schema = "user string, version long"
-    try:
-        return spark.read.schema(schema).parquet(f"{path}/commits")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def _current(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One stored table. User and version are folders, so what the join rules out is not read."""
-    kinds = {"user": TY.StringType(), "version": TY.LongType()}  # a user may look like a number
-    found = spark.read.parquet(f"{path}/{name}").schema
-    schema = TY.StructType([TY.StructField(f.name, kinds.get(f.name, f.dataType)) for f in found])
-    newest = _commits(spark, path).groupBy("user").agg(F.max("version").alias("version"))
-    return spark.read.schema(schema).parquet(f"{path}/{name}").join(newest, ["user", "version"]).drop("version")
-
-
 def replace_figures(figures: DataFrame, path: str) -> None:
     """Replace all figure rows of every document in ``figures``; other documents stay."""
     _replace_partitions(figures, path, "doc_name")
