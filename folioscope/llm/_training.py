@@ -29,6 +29,9 @@ def labelled_sample(labels: DataFrame, label: str, per_class: dict | int, key: s
     return picked.select(key, label)
 
 
-def texts_of(docs: DataFrame, sample: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is in the sample, with its label. A sample within the checked size is shipped."""
-    return docs.join(F.broadcast(sample) if fits_broadcast(sample, max_rows=200_000) else sample, key)
+def texts_of(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each key of the sample, with its label: of rows that share a key, the one whose text has the
+    smallest hash. So the sample's bound on keys bounds the rows. A sample within the checked size is shipped."""
+    met = docs.join(F.broadcast(sample) if fits_broadcast(sample, max_rows=200_000) else sample, key)
+    rest = [c for c in met.columns if c != key]
+    return met.groupBy(key).agg(F.min_by(F.struct(*rest), F.xxhash64(text)).alias("_row")).select(key, "_row.*")

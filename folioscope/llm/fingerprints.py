@@ -2,12 +2,13 @@
 
 A text is a multiset of paragraphs (its lines, blank ones left out). Every paragraph is hashed to a wide
 vector, and the fingerprint is the sum of the vectors: 8 lanes of 64 bits modulo 2^64, which tell texts
-apart, and 256 lanes of 16 bits modulo 2^16 for likeness. Sums do not depend on order, and a paragraph
+apart, and 256 lanes of 32 bits modulo 2^32 for likeness. Sums do not depend on order, and a paragraph
 is inserted or deleted by adding or subtracting its vector.
 
 For likeness a paragraph is cut into runs of words wherever a word's hash says so, so an edit only changes
 the runs it touches. Each run adds +1 or -1 to one lane; the cosine of two such sums estimates how
-much of the two texts is shared (standard error about 1/16).
+much of the two texts is shared (standard error about 1/16). A text of at most 2 GB, which is all that a string column holds, has
+under 2^30 runs, so no lane of it wraps.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ Fingerprint = tuple[np.ndarray, np.ndarray]
 
 
 def zero() -> Fingerprint:
-    return np.zeros(WIDE, np.uint64), np.zeros(LANES, np.uint16)
+    return np.zeros(WIDE, np.uint64), np.zeros(LANES, np.uint32)
 
 
 def fingerprint(raw: bytes) -> Fingerprint:
@@ -51,7 +52,7 @@ def fingerprint(raw: bytes) -> Fingerprint:
     runs = H.ranges(prefix, np.append(0, stops[:-1]), stops, H.WORD_BASE)
     lane = (runs % np.uint64(LANES)).astype(np.int64)
     sign = np.where((runs >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    lanes = np.bincount(lane, sign, LANES).astype(np.int64).astype(np.uint16)
+    lanes = np.bincount(lane, sign, LANES).astype(np.int64).astype(np.uint32)
     return wide, lanes
 
 
@@ -64,19 +65,19 @@ def subtract(a: Fingerprint, b: Fingerprint) -> Fingerprint:
 
 
 def to_text(f: Fingerprint) -> str:
-    return f[0].astype(">u8").tobytes().hex() + f[1].astype(">u2").tobytes().hex()
+    return f[0].astype(">u8").tobytes().hex() + f[1].astype(">u4").tobytes().hex()
 
 
 def from_text(s: str) -> Fingerprint:
     raw = bytes.fromhex(s)
-    return np.frombuffer(raw[: 8 * WIDE], ">u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], ">u2").astype(np.uint16)
+    return np.frombuffer(raw[: 8 * WIDE], ">u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], ">u4").astype(np.uint32)
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """1 for equal fingerprints, else the cosine of the lanes, at least 0."""
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
-    x, y = a[1].astype(np.int16).astype(np.float64), b[1].astype(np.int16).astype(np.float64)
+    x, y = a[1].astype(np.int32).astype(np.float64), b[1].astype(np.int32).astype(np.float64)
     size = float(x @ x) * float(y @ y)
     return min(1.0, max(0.0, float(x @ y) / size**0.5)) if size else 0.0
 

@@ -22,6 +22,7 @@ from folioscope.llm._training import labelled_sample, texts_of
 
 FEATURES, ORDERS = 1 << 15, 4
 PER_LANGUAGE = 600
+MOST_LANGUAGES = 500
 UNKNOWN = "und"
 
 
@@ -129,11 +130,16 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, epochs: int = 3) -> Model:
-    """A model from the rows of ``docs`` that have a text with a letter and a language. No such row: a model that knows nothing."""
+    """A model from the rows of ``docs`` that have a text with a letter and a language. No such row: a model that knows nothing.
+
+    At most ``per_language`` rows of each of the ``MOST_LANGUAGES`` most frequent languages (ties: the smaller name) are fitted.
+    """
     df = document_frequencies(docs, text)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull())
-    sample = labelled_sample(named.where(F.col("lang").isNotNull()).select("key", "lang"), "lang", per_language, "key")
+    common = named.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    named = named.join(F.broadcast(common.select("lang")), "lang", "left_semi")  # bounded by the limit
+    sample = labelled_sample(named.select("key", "lang"), "lang", per_language, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
 
 
-
 def _class_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``cls`` and ``text`` of the row that stands for each wanted class (rows equal in key and text all come)."""
+    """``cls`` and ``text`` of the row that stands for each wanted class, one row a class however often that row is repeated."""
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("_m"))
-    return rows.join(wanted, (F.col("_m") == F.col("mark")) & F.col("_k").eqNullSafe(F.col("key"))).select("cls", "text")
+    met = rows.join(wanted, (F.col("_m") == F.col("mark")) & F.col("_k").eqNullSafe(F.col("key")))
+    return met.groupBy("cls").agg(F.first("text").alias("text"))

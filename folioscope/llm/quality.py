@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     """A model from the labelled rows (0 or 1). Classes are sampled to a bound and weighted back to their true shares."""
     shares = {r[label]: r["n"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = labelled_sample(labels.where(F.col(label).isin(0, 1)).select(key, label), label, per_class, key, seed=10)
-    picked = texts_of(docs.select(key, text, n_chars), sample.withColumnRenamed(label, "label"), key)
+    picked = texts_of(docs.select(key, text, n_chars), sample.withColumnRenamed(label, "label"), key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

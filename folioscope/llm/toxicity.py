@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     shared = docs.sparkSession.sparkContext.broadcast(lm)
     known = labels.where(F.col(label).isin(0, 1))
     sample = labelled_sample(known.select(key, label), label, per_class or PER_CLASS, key, seed=2)
-    picked = texts_of(docs.select(key, text), sample.withColumnRenamed(label, "label"), key).where(F.col(text).isNotNull())
+    picked = texts_of(docs.select(key, text), sample.withColumnRenamed(label, "label"), key, text).where(F.col(text).isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(shared.value)

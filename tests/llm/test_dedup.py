@@ -201,3 +201,33 @@ def test_pipeline_keeps_the_mixture(spark, sf, tmp_path):
             for x, share in quota.items():
                 assert abs(Fraction(served[x], mixing.BLOCK) - share * (slot + 1)) < 1
     assert served["b"] < sizes["b"] and served["a"] < sizes["a"]
+
+
+def test_repeated_rows_are_verified_once(spark, monkeypatch):
+    """Two alike texts, a thousand rows each, under one id, under null ids and under ids of their own."""
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join([*words[:-1], "other"])
+    for ids in (lambda i: 7, lambda i: None, lambda i: i):
+        rows = [(ids(2 * i), one) for i in range(1000)] + [(ids(2 * i + 1), two) for i in range(1000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        pairs, verified = [], neardup.verified
+
+        def counted(given, texts, size, percent):
+            pairs.append((given.join(texts.withColumnRenamed("cls", "a"), "a").join(texts.withColumnRenamed("cls", "b"), "b")).count())
+            return verified(given, texts, size, percent)
+
+        monkeypatch.setattr(neardup, "verified", counted)
+        found = neardup.near_duplicates(docs).collect()
+        monkeypatch.setattr(neardup, "verified", verified)
+        assert len(found) == 2000 and len({r["component_id"] for r in found}) == 1 and sum(pairs) == 1
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    alike = [" ".join(words), " ".join([*words[:-1], "x"])]
+    rows = [(1, alike[0]), (2, alike[1]), (2, "a text of its own that stands under the id of a copy"), (None, alike[0]), (None, "alone under a null id"), (3, "repeated row"), (3, "repeated row"), (4, ""), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "extra") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in kept], key=repr) == sorted([
+        (1, alike[0]), (2, "a text of its own that stands under the id of a copy"), (None, "alone under a null id"), (3, "repeated row"), (4, ""), (4, ""), (5, None)
+    ], key=repr)

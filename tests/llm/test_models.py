@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import language, quality, queries, toxicity
+from folioscope.llm import _training, language, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -112,3 +112,22 @@ def test_toxicity_copies_with_two_labels(spark):
     )
     found = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
     assert all((found[r[0]] >= 0.5) == r[1].startswith("grumble") for r in rows)
+
+
+def test_one_row_of_a_key_is_fetched(spark):
+    """A sample's bound on keys is a bound on rows: repeated rows and different texts under one key count once."""
+    rows = [(d, f"text {i % 3} of {d}") for d in (1, 2) for i in range(400)] + [(3, "left out")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sample = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
+    got = _training.texts_of(docs, sample).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in got) == [(1, 0), (2, 1)]
+    again = _training.texts_of(docs.repartition(2), sample).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_number_of_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, f"words of {lang} {i}", lang) for i, lang in enumerate(["aa"] * 9 + ["bb"] * 9 + ["cc"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert {r["lang_pred"] for r in language.predict(docs.drop("lang"), model).collect()} <= {"aa", "bb"}

@@ -73,6 +73,10 @@ def test_fingerprints_are_homomorphic_and_graded():
     a, b = "alpha beta gamma\n", "delta epsilon\n\n"
     both = fingerprints.add(f(a.encode()), f(b.encode()))
     assert fingerprints.to_text(both) == fingerprints.to_text(f((b + a).encode()))
+    for many in (20_000, 32_768, 40_000, 65_536):
+        lines = b"one line of a very long log\n" * many
+        assert fingerprints.likeness(f(lines), f(lines + b"one line of a very long log\n")) > 0.999
+        assert fingerprints.likeness(f(lines), fingerprints.from_text(fingerprints.to_text(f(lines)))) == 1.0
     assert fingerprints.likeness(fingerprints.subtract(both, f(b.encode())), f(a.encode())) == 1.0
     assert fingerprints.likeness(fingerprints.from_text(fingerprints.to_text(both)), both) == 1.0
     draw = random.Random(1)
