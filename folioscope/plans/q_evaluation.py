@@ -101,20 +101,22 @@ def answerable_gate(spark, sf):
     )
 
 
+def _sql_clean(raw: str) -> str:
+    line = B.sql_strip(f"string_split({B.sql_strip(raw)}, chr(10))[1]")
+    bare = B.sql_strip(f"regexp_replace({line}, '(?i)^(question|q)\\s*[:.\\-]\\s*', '')")
+    return B.sql_strip(f"regexp_replace({bare}, '^\"+|\"+$', '', 'g')")
+
+
 @register(
     "clean_questions",
     B.ctes(X.ANSWERED)
-    + f"""SELECT conv_id, turn, {B.sql_strip("string_split(text, chr(10))[1]")} AS question FROM answered
-          WHERE NOT regexp_matches(string_split(text, chr(10))[1], '(?i)^(question|q)\\s*[:.\\-]') AND NOT contains(string_split(text, chr(10))[1], '"')
-            AND regexp_full_match(text, '(?s)\\S.*')""",
+    + f"""SELECT conv_id, turn, {_sql_clean("text")} AS own, {_sql_clean("chr(10) || ' Question: \"' || replace(text, chr(10), '\"' || chr(10)) || '\"'")} AS question
+          FROM answered""",
 )
 def clean_questions(spark, sf):
+    """Every turn as it is, and dressed up as a reply with a prefix and quotes."""
     raw = F.concat(F.lit('\n Question: "'), F.replace(F.col("text"), F.lit("\n"), F.lit('"\n')), F.lit('"'))
-    plain = (
-        ~F.element_at(F.split("text", "\n"), 1).rlike(r'(?i)^(question|q)\s*[:.\-]')
-        & ~F.contains(F.element_at(F.split("text", "\n"), 1), F.lit('"')) & F.col("text").rlike(r"(?s)\A\S")
-    )
-    return X.answered(spark, sf).where(plain).select("conv_id", "turn", G.clean_question(raw).alias("question"))
+    return X.answered(spark, sf).select("conv_id", "turn", G.clean_question(F.col("text")).alias("own"), G.clean_question(raw).alias("question"))
 
 
 @register(

@@ -54,6 +54,27 @@ def bm25_top_k(spark, sf):
     return bm25_top(spark, sf).select("qid", "rank", "ord", F.round("score", 6).alias("score"))
 
 
+def _pruned(spark, sf):
+    asked, by_block = B.questions(spark, sf), L.blocked(L.build_index(B.chunks(spark, sf)))
+    return by_block, asked, L.bm25_top_k_blocks(by_block, asked, 10)
+
+
+@register(
+    "bm25_top_k_blocks",
+    B.ctes(B.BM25, B.BM25_RANKED) + "SELECT qid, rank, ord, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
+)
+def bm25_top_k_blocks(spark, sf):
+    """The same rows from posting blocks, ranges under the tenth score left out."""
+    return _pruned(spark, sf)[2].top.select("qid", "rank", "ord", F.round("score", 6).alias("score"))
+
+
+@register("bm25_block_reads")
+def bm25_block_reads(spark, sf):
+    """How much of the asked terms' postings that search scores."""
+    by_block, asked, pruned = _pruned(spark, sf)
+    return L.postings_read(by_block, pruned, asked)
+
+
 @register(
     "dense_centroid_top_k",
     """WITH axes AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS axis, vec_id FROM embeddings),

@@ -8,6 +8,7 @@ writes the newest segments anew as one; what it replaces can then be removed.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,7 +48,10 @@ def _commits(spark: SparkSession, path: str) -> list:
 
 def active_versions(spark: SparkSession, path: str) -> list[int]:
     """The segments that make up the index, oldest first."""
-    found = _commits(spark, path)
+    return _active(_commits(spark, path))
+
+
+def _active(found: list) -> list[int]:
     merged = {v for c in found for v in c["merged"]}
     return sorted(c["version"] for c in found if c["version"] not in merged)
 
@@ -57,9 +61,9 @@ def _commit(spark: SparkSession, path: str, version: int, batch: int | None, mer
 
 
 def _segments(spark: SparkSession, path: str, name: str, versions: list[int]) -> DataFrame:
-    """A table of the given segments, with the ``version`` each row is from."""
-    parts = [spark.read.parquet(f"{path}/{name}/version={v}").withColumn("version", F.lit(v).cast("long")) for v in versions]
-    return reduce(DataFrame.unionByName, parts)
+    """A table of the given segments, with the ``version`` each row is from, as the folders name it."""
+    found = spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/version={v}" for v in versions])
+    return found.withColumn("version", F.col("version").cast("long"))
 
 
 def _gone(spark: SparkSession, path: str, versions: list[int]) -> DataFrame:
@@ -71,8 +75,15 @@ def _live(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _write(path: str, version: int, tables: dict[str, DataFrame]) -> None:
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
+    """The tables side by side: most are small, and each is a job that leaves cores free."""
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda t: t[1].write.mode("overwrite").parquet(f"{path}/{t[0]}/version={version}"), tables.items()))
+
+
+def _stored(spark: SparkSession, path: str, version: int, name: str, df: DataFrame) -> DataFrame:
+    """A table of a segment that is written, and read back for those made from it."""
+    _write(path, version, {name: df})
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}/version={version}")
 
 
 def _counts(forward: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
@@ -99,37 +110,35 @@ def write_user_index(spark: SparkSession, new_chunks: DataFrame, path: str, embe
     if version is None:
         version = max(batches, default=-1) + 1
     name = max((c["version"] for c in commits), default=-1) + 1
-    active = active_versions(spark, path)
-    fresh = cut_lineage(latest_by_id(new_chunks).withColumnRenamed("ord", "_arrived"))
+    active = _active(commits)
+    fresh = latest_by_id(new_chunks).withColumnRenamed("ord", "_arrived")
     if active:
         known = _segments(spark, path, "keys", active).drop("version").withColumnRenamed("ord", "_known")
         fresh = cut_lineage(fresh.join(known, ["user", "chunk_id"], "left"))
         ends = _segments(spark, path, "stats", active).groupBy("user").agg(F.sum("docs").alias("_end"))
     else:
-        fresh = fresh.withColumn("_known", F.lit(None).cast("long"))
+        fresh = cut_lineage(fresh.withColumn("_known", F.lit(None).cast("long")))
         ends = spark.createDataFrame([], "user string, _end long")
     added = fresh.where("_known IS NULL").select("user", F.col("_arrived").alias("ord"))
     places = number_rows(added, ["user"], ["ord"], "_place").join(ends, "user", "left")
     places = places.select("user", F.col("ord").alias("_arrived"), (F.col("_place") + F.coalesce("_end", F.lit(0))).alias("_new"))
     placed = fresh.join(places, ["user", "_arrived"], "left").withColumn("ord", F.coalesce("_known", "_new"))
     payload = [c for c in new_chunks.columns if c not in ("user", "ord", "chunk_id")]
-    chunks = cut_lineage(placed.select("user", "ord", "chunk_id", *payload, F.col("_known").isNotNull().alias("_again")))
+    chunks = _stored(spark, path, name, "chunks", placed.select("user", "ord", "chunk_id", *payload, F.col("_known").isNotNull().alias("again")))
 
     tokens = chunks.select("user", "ord", T.ws_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
     counted = tokens.select("user", "ord", "dl", F.explode_outer("tokens").alias("term")).groupBy("user", "ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     said = F.filter(F.collect_list(F.struct("term", "tf")), lambda t: t["term"].isNotNull())
-    forward = cut_lineage(counted.groupBy("user", "ord", "dl").agg(F.sort_array(said).alias("terms")))
-    gone = chunks.where("_again").select("user", "ord")
+    forward = _stored(spark, path, name, "forward", counted.groupBy("user", "ord", "dl").agg(F.sort_array(said).alias("terms")))
+    gone = chunks.where("again").select("user", "ord")
     deltas = [_counts(forward, 1)]
     if active:
         before = _segments(spark, path, "forward", active).join(gone, ["user", "ord"], "left_semi")
         deltas.append(_counts(_live(before, _gone(spark, path, active)), -1))
     terms, stats = (reduce(DataFrame.unionByName, parts) for parts in zip(*deltas))
     _write(path, name, {
-        "keys": chunks.where("NOT _again").select("user", "chunk_id", "ord"),
-        "chunks": chunks.drop("_again"),
+        "keys": chunks.where("NOT again").select("user", "chunk_id", "ord"),
         "vectors": embed(chunks, embedder).select("user", "ord", "chunk_id", "embedding"),
-        "forward": forward,
         "blocks": _blocks(forward),
         "gone": gone,
         "terms": terms.groupBy("user", "term").agg(F.sum("df").alias("df")).where("df <> 0"),
@@ -194,6 +203,6 @@ def read_user_index(spark: SparkSession, path: str) -> UserIndex:
     postings = said.select("user", "ord", "t.term", "t.tf", impact(F.col("t.tf"), F.col("dl"), F.col("avgdl")).alias("impact"))
     lexical = LexicalIndex(postings, forward.select("user", "ord", "dl"), terms, corpus.join(means, "user", "left"))
     return UserIndex(
-        _live(_segments(spark, path, "chunks", active), gone), lexical, _live(_segments(spark, path, "vectors", active), gone),
+        _live(_segments(spark, path, "chunks", active), gone).drop("again"), lexical, _live(_segments(spark, path, "vectors", active), gone),
         BlockIndex(_segments(spark, path, "blocks", active), gone, lexical),
     )

@@ -1,6 +1,7 @@
 """Usage log, readers, sinks and streams."""
 
 import json
+import random
 import os
 
 import pytest
@@ -125,6 +126,46 @@ def test_user_index_upsert_leaves_other_users(spark, tmp_path):
     assert {r.term for r in index.lexical.postings.collect()} == {"new", "more", "z"}
 
 
+def test_uploads_and_merges_equal_one_rebuild(spark, tmp_path):
+    """Uploads that partly replace each other, merges of some and of all segments, and removal: always the index of the live chunks."""
+    draw, schema = random.Random(6), "user string, ord long, chunk_id string, source string, text string"
+    path, live_rows, places = str(tmp_path / "ix"), {}, {}
+    for step in range(4):
+        batch = []
+        for i in range(12):
+            user = draw.choice(["ann", "007", "ann"])
+            words = [f"w{draw.randint(0, 9)}" for _ in range(draw.randint(0, 8))]
+            batch.append((user, i, f"s::{draw.randint(0, 9)}", "s", " ".join(words)))
+        S.write_user_index(spark, spark.createDataFrame(batch, schema).repartition(2), path, hashed_tf_embedder(8))
+        for user, _, cid, _, text in batch:
+            places.setdefault((user, cid), len([1 for u, _ in places if u == user]))
+            live_rows[user, cid] = text
+        if step == 2:
+            S.merge_segments(spark, path, newest=2)
+            assert S.remove_superseded(spark, path) == [1, 2] and S.remove_superseded(spark, path) == []
+        if step == 3:
+            check_index(spark, path, live_rows, places)
+            S.merge_segments(spark, path)
+            assert len(S.remove_superseded(spark, path)) == 3 and not (tmp_path / "ix/blocks/version=0").exists()
+            check_index(spark, path, live_rows, places)
+
+
+def check_index(spark, path, live_rows, places):
+    from folioscope.operators import lexical as L
+
+    index = S.read_user_index(spark, path)
+    got = {(r.user, r.chunk_id): (r.ord, r.text) for r in index.chunks.collect()}
+    assert got == {k: (places[k], t) for k, t in live_rows.items()}
+    assert {(r.user, r.ord) for r in index.vectors.collect()} == {(u, places[u, c]) for u, c in live_rows}
+    whole = L.build_index(index.chunks)
+    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for name, columns in (("postings", ["user", "ord", "term", "tf", "impact"]), ("docs", ["user", "ord", "dl"]), ("terms", ["user", "term", "df", "idf"]), ("stats", ["user", "n_docs", "avgdl", "mean_idf"])):
+        assert rounded(getattr(index.lexical, name).select(*columns)) == rounded(getattr(whole, name).select(*columns)), name
+    queries = spark.createDataFrame([("ann", 1, "w1 w2 w2"), ("007", 1, "w3"), ("ann", 2, "none")], "user string, qid long, text string")
+    columns = ["user", "qid", "rank", "ord", "score"]
+    assert rounded(L.bm25_top_k_blocks(index.blocks, queries, 3).top.select(*columns)) == rounded(L.bm25_top_k(whole, queries, 3).select(*columns))
+
+
 def test_unfinished_and_repeated_uploads_change_nothing(spark, tmp_path):
     path, schema = str(tmp_path / "ix"), "user string, ord long, chunk_id string, source string, text string"
     make = lambda text: spark.createDataFrame([("007", 0, "s::0", "s", text)], schema)

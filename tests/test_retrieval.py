@@ -213,6 +213,28 @@ def test_model_hooks_compose(spark):
     assert got[0] > 0.99 and got[1] < 0.1 and got[1] == got[2]
 
 
+@pytest.mark.parametrize("width, shared", [(16, False), (1, False), (8, True)])
+def test_blocks_give_the_rows_of_the_full_scan(spark, width, shared):
+    """Also with words that most chunks share (negative idf), and while leaving ranges out where a few chunks stand out."""
+    draw = random.Random(width)
+    texts = [" ".join([f"w{min(draw.randint(0, 400), draw.randint(0, 400))}" for _ in range(draw.randint(1, 12))] + (["all", "every"] if shared else [])) for _ in range(400)]
+    for i in range(0, 400, 40):
+        texts[i] += " rare w1 rare w2" * (1 + i // 200)
+    rows = [(u, i, t) for u in ("ann", "bob") for i, t in enumerate(texts[: 400 if u == "ann" else 30])]
+    chunks = spark.createDataFrame(rows, "user string, ord long, text string").repartition(3)
+    asked = [("ann", 1, "rare w1 w2"), ("ann", 2, "w3 w3 w9 all"), ("ann", 3, "nothing here"), ("bob", 1, "all every w5"), ("bob", 2, "")]
+    queries = spark.createDataFrame(asked, "user string, qid long, text string")
+    index = L.build_index(chunks)
+    by_block = L.blocked(index, width)
+    pruned = L.bm25_top_k_blocks(by_block, queries, 5, first=8 if width == 1 else 2)  # as many chunks as are asked for
+    columns = ["user", "qid", "rank", "ord", "score"]
+    assert sorted(map(tuple, pruned.top.select(*columns).collect())) == sorted(map(tuple, L.bm25_top_k(index, queries, 5).select(*columns).collect()))
+    read = L.postings_read(by_block, pruned, queries).first()
+    assert 0 < read.ranges_read <= read.ranges
+    if not shared:
+        assert read.ranges_read < read.ranges and read.postings_share < 1
+
+
 def test_hooks_over_markup_on_any_table(spark, tmp_path):
     """The same vectors from rows held by the driver, from a file, and behind a step of their own, adaptive or not."""
     texts = [r"$\frac{a}{b}$  x", "plain  words", r"\broken{", "", None]
