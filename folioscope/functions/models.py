@@ -8,9 +8,11 @@ pandas UDFs are interchangeable and compose.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -82,14 +84,33 @@ def normalizing(embedder: Embedder, normalize: Callable[[Column], Column] = norm
     return lambda c: embedder(normalize(c))
 
 
-def overlap_scorer(steepness: float = 8.0, midpoint: float = 0.35) -> Scorer:
-    """Default scorer: share of the question's tokens found in the text, through a logistic."""
+@dataclass(frozen=True)
+class OverlapScorer:
+    """Share of the question's tokens found in the text, through a logistic."""
+
+    steepness: float = 8.0
+    midpoint: float = 0.35
 
-    def score(query: Column, text: Column) -> Column:
+    def of_share(self, share: Column) -> Column:
+        return F.round(1 / (1 + F.exp(-F.lit(self.steepness) * (share - F.lit(self.midpoint)))), 9)
+
+    def __call__(self, query: Column, text: Column) -> Column:
         wanted = T.alnum_set(query)
-        share = F.when(
-            F.size(wanted) > 0, F.size(F.array_intersect(wanted, T.alnum_set(text))) / F.size(wanted)
-        ).otherwise(F.lit(0.0))
-        return F.round(1 / (1 + F.exp(-F.lit(steepness) * (share - F.lit(midpoint)))), 9)
+        return self.of_share(
+            F.when(
+                F.size(wanted) > 0, F.size(F.array_intersect(wanted, T.alnum_set(text))) / F.size(wanted)
+            ).otherwise(F.lit(0.0))
+        )
 
-    return score
+    def needs_a_token(self, floor: float) -> bool:
+        """Whether a text that shares no token with the question stays below ``floor``."""
+        return self.steepness > 0 and round(1 / (1 + math.exp(self.steepness * self.midpoint)), 9) < floor
+
+    def least_hits(self, n: Column, floor: float) -> Column:
+        """Fewest of a question's ``n`` tokens a text must hold to reach ``floor``; ``n + 1`` if all are too few."""
+        return F.size(F.filter(F.sequence(F.lit(0), n), lambda hits: self.of_share(hits / n) < F.lit(floor)))
+
+
+def overlap_scorer(steepness: float = 8.0, midpoint: float = 0.35) -> Scorer:
+    """Default scorer."""
+    return OverlapScorer(steepness, midpoint)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators.ordering import top_k
+from folioscope.operators.recall import floor_pairs
 from folioscope.session import join_items
 
 RELEVANCE_FLOOR = 0.15
@@ -198,12 +199,11 @@ def recall_figures(
         F.max_by(F.struct("image_id", "doc_name", "page", "nearby_chunk_id"), "seq").alias("_rec"),
         F.count(F.lit(1)).alias("_copies"), F.min("seq").alias("_first"),
     )
+    pairs = floor_pairs(questions, per_caption, "caption", scorer, floor, "caption")
     # a repeated caption can fill every place, but never more than ``limit`` of them
-    copies = per_caption.withColumn(
+    kept = pairs.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("_copies"), F.lit(limit)).cast("int")))
     )
-    pairs = join_items(questions, copies, "user", "caption").withColumn("score", scorer(F.col("text"), F.col("caption")))
-    kept = pairs.where(F.col("score") >= floor)
     best = top_k(kept, ["user", "qid"], [F.col("score").desc(), F.col("_first"), F.col("_copy")], limit)
     return best.select("user", "qid", "rank", "_rec.*", "caption", "score")
 
@@ -234,20 +234,19 @@ def recall_facts(
     ``facts(user, seq, fact, pinned)``. Without a scorer only pinned facts are recalled.
     """
     cap = max(0, budget_tokens) * CHARS_PER_TOKEN
-    # a pinned fact past the cap-th line can never fit: only the first ``cap`` per user are paired
-    head = top_k(facts.where("pinned"), ["user"], [F.col("seq")], max(1, cap), "_n").drop("_n")
+    # a pinned fact past the cap-th line can never fit: only the first ``cap`` per user are summed, and of those
+    # each question gets the ones that fit and the first that does not, after which nothing may follow
+    head = top_k(facts.where("pinned"), ["user"], [F.col("seq")], max(1, cap), "_n")
+    before = F.sum(F.length("fact") + 3).over(W.partitionBy("user").orderBy("_n").rowsBetween(W.unboundedPreceding, -1))
+    head = head.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= cap).drop("_n", "_before")
     pinned = (
         join_items(questions.select("user", "qid"), head, "user", "seq")
         .select("user", "qid", F.lit(0).alias("part"), F.col("seq").alias("at"), "fact")
     )
     ordered_facts = pinned
     if scorer is not None:
-        pairs = join_items(questions, facts.where(~F.col("pinned")), "user", "seq").withColumn(
-            "score", scorer(F.col("text"), F.col("fact"))
-        )
-        best = top_k(
-            pairs.where(F.col("score") >= floor), ["user", "qid"], [F.col("score").desc(), F.col("seq")], limit, "at"
-        )
+        pairs = floor_pairs(questions, facts.where(~F.col("pinned")), "fact", scorer, floor, "seq")
+        best = top_k(pairs, ["user", "qid"], [F.col("score").desc(), F.col("seq")], limit, "at")
         ordered_facts = pinned.unionByName(
             best.select("user", "qid", F.lit(1).alias("part"), F.col("at").cast("long").alias("at"), "fact")
         )

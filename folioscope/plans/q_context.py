@@ -9,6 +9,7 @@ from folioscope.functions import text as T
 from folioscope.functions.models import overlap_scorer
 from folioscope.operators import context as C
 from folioscope.operators import conversation as V
+from folioscope.operators.recall import candidate_pairs
 from folioscope.plans import bindings as B
 from folioscope.plans import q_documents as D
 from folioscope.plans import q_retrieval as R
@@ -16,6 +17,11 @@ from folioscope.plans.registry import register, table
 from folioscope.plans.retrieve import with_chunk
 
 FLOOR = C.RELEVANCE_FLOOR
+# tokens of a question a text must hold to reach the floor
+_NEED = (
+    "len(list_filter(range(0, n + 1), lambda c: round(1 / (1 + exp(-8.0::DOUBLE * (c::DOUBLE / n - 0.35::DOUBLE))), 9) < "
+    f"{FLOOR}))"
+)
 
 
 def final_chunks(spark, sf):
@@ -204,6 +210,47 @@ def fact_recall(spark, sf):
     return got.select("qid", "rank", F.md5("fact").alias("digest"))
 
 
+@register(
+    "recall_pairs",
+    B.ctes(
+        *_FIGS[:-2], FACTS,
+        """it AS MATERIALIZED (SELECT 'facts' AS kind, seq::VARCHAR AS item, fact AS body FROM facts WHERE NOT pinned UNION ALL SELECT 'figures', caption, caption FROM cap)""",
+        f"iw AS MATERIALIZED (SELECT kind, item, unnest({B.sql_alnum_set('body')}) AS w FROM it)",
+        "dfs AS (SELECT kind, w, count(*) AS df FROM iw GROUP BY ALL)",
+        f"""qn AS (SELECT item_id AS qid, {B.sql_alnum_set('text')} AS ws, len(ws) AS n FROM benchmark),
+        qw AS (SELECT qid, unnest(ws) AS w, NEED AS need FROM qn WHERE n > 0)""".replace("NEED", _NEED),
+        """pre AS (SELECT kind, qid, w FROM qw JOIN dfs USING (w)
+            QUALIFY row_number() OVER (PARTITION BY kind, qid ORDER BY df, w) <= count(*) OVER (PARTITION BY kind, qid) - need + 1)""",
+        "met AS (SELECT DISTINCT kind, qid, item FROM pre JOIN iw USING (kind, w))",
+        f"reach AS (SELECT kind, count(*) AS n_kept FROM it CROSS JOIN benchmark q WHERE {B.sql_scorer('q.text', 'it.body')} >= {FLOOR} GROUP BY kind)",
+    )
+    + """SELECT i.kind, (SELECT count(*) FROM benchmark) * i.n AS n_all, coalesce(m.n, 0) AS n_met, coalesce(r.n_kept, 0) AS n_kept
+         FROM (SELECT kind, count(*) AS n FROM it GROUP BY kind) i LEFT JOIN (SELECT kind, count(*) AS n FROM met GROUP BY kind) m USING (kind)
+         LEFT JOIN reach r USING (kind)""",
+)
+def recall_pairs(spark, sf):
+    """Pairs there are, pairs that met and pairs that reached the floor, for facts and for figure captions."""
+    asked, scorer = B.questions(spark, sf), overlap_scorer()
+    captions = D.linked_figures(spark, sf).join(_owned(spark, sf).withColumnRenamed("source", "doc_name"), "doc_name")
+    kinds = {
+        "facts": (facts(spark, sf).where("not pinned"), "fact", "seq"),
+        "figures": (captions.select("user", "caption").distinct(), "caption", "caption"),
+    }
+    out = None
+    for kind, (items, text, key) in kinds.items():
+        met = candidate_pairs(asked, items, text, scorer, FLOOR, key)
+        kept = F.coalesce(scorer(F.col("text"), F.col(text)) >= FLOOR, F.lit(False))
+        pairs = met.agg(F.count(F.lit(1)).alias("n_met"), F.sum(kept.cast("long")).alias("n_kept"))
+        sizes = items.groupBy("user").agg(F.count(F.lit(1)).alias("items")).join(
+            asked.groupBy("user").agg(F.count(F.lit(1)).alias("asked")), "user"
+        ).agg(F.sum(F.col("items") * F.col("asked")).alias("n_all"))
+        # two tables of one row each
+        row = sizes.withColumn("kind", F.lit(kind)).join(pairs.withColumn("kind", F.lit(kind)), "kind")
+        row = row.select("kind", "n_all", "n_met", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _NEW_FACTS = f"""
 newf AS (SELECT conv_id * 1000 + turn AS seq, {B.sql_strip("CASE WHEN turn % 2 = 0 THEN '  ' || translate(text, 'aeinrst', 'AEINRST') ELSE text END")} AS fact
          FROM conversations WHERE role <> 'system'),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,11 +93,17 @@ def join_items(questions: DataFrame, items: DataFrame, by: str, item_key: str, s
     both sides are salted by item, so a ``by`` value with a third of all items is spread over tasks.
     Pairs only exist while they stream into the top-k that follows.
     """
-    if fits_broadcast(questions):
-        return items.join(F.broadcast(questions), by)
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64(item_key), F.lit(salts)).cast("int"))
-    fanned = questions.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(fanned, [by, "_salt"]).drop("_salt")
+    return meet(items, questions, [by], item_key, salts)
+
+
+def meet(many: DataFrame, few: DataFrame, on: Sequence[str], salt_by: str, salts: int = 32) -> DataFrame:
+    """Inner join of two tables with hot keys. ``few`` is shipped if it is within the broadcast bound; beyond it the
+    rows of ``many`` are salted by ``salt_by`` and those of ``few`` are repeated for each salt."""
+    if fits_broadcast(few):
+        return many.join(F.broadcast(few), list(on))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    fanned = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(fanned, [*on, "_salt"]).drop("_salt")
 
 
 def shuffle_width(df: DataFrame) -> int:
