@@ -87,6 +87,26 @@ def live_last_rating(spark, sf):
     return live.latest(spark, out, ["event_id"], ["ts", "epoch"]).select("event_id", "rating")
 
 
+@register(
+    "live_rating_state",
+    """SELECT 'e' || (event_id - event_id % 3) AS event_id, arg_max(CASE WHEN value > 50 THEN 'up' ELSE 'down' END, event_id) AS rating FROM events WHERE event_type = 'click' GROUP BY 1""",
+)
+def live_rating_state(spark, sf):
+    """Ratings kept as state per event: every third one arrives last to first, the stream stops twice, and its epochs are folded on the way."""
+    path, out, state = scratch_path(spark, "ratings"), scratch_path(spark, "rated"), scratch_path(spark, "state")
+    stamped = U.feedback(spark, sf).select(
+        F.lit("feedback").alias("kind"), "event_id", "rating", "pos",
+        F.date_format(F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("pos")), "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("ts"),
+    )
+    for part in (2, 0, 1):
+        stamped.where(F.col("pos") % 3 == part).drop("pos").write.mode("append").json(path)
+        changes = live.rating_changes(live.read_log(spark, path), "60 days")
+        run_to_end(live.keep_updates(changes, out, state))
+        if part != 1:
+            live.fold_epochs(spark, out, ["event_id"], ["at", "epoch"])
+    return live.latest(spark, out, ["event_id"], ["at", "epoch"]).select("event_id", "rating")
+
+
 @register(
     "live_chunk_upsert",
     """SELECT source || '::' || (doc_id % 30) AS chunk_id, md5(arg_max(text, (doc_id % 2) * 1000000000000 + doc_id)) AS digest

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 
 from folioscope.operators.telemetry import EVENT_SCHEMA, share, used_tool
 from folioscope.sources.readers import parse_jsonl
@@ -59,6 +63,43 @@ def live_ratings(events: DataFrame) -> DataFrame:
     )
 
 
+def rating_changes(events: DataFrame, late: str = "10 minutes", keep: timedelta = timedelta(days=7)) -> DataFrame:
+    """A stream of ``event_id, rating, at``: one row whenever the current rating of an event becomes another or newer one.
+
+    The state of an event is its newest rating by ``ts``, whatever the order of arrival; of equal times the later batch counts, within
+    a batch the greater rating. A timer frees it once the watermark has passed that time by ``keep``. What comes after
+    that and is older is behind the watermark and dropped, so a freed event cannot fall back to an older rating. Rows without an
+    event, a rating or a readable time are ignored.
+    """
+    linger = int(keep.total_seconds() * 1000)
+
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = tuple(state.get) if state.exists else None
+        newest = max((row for rows in batches for row in zip(rows["us"], rows["rating"])), default=None)
+        if newest is not None and (known is None or newest[0] >= known[0]):
+            at, rating = int(newest[0]), str(newest[1])
+            state.update((at, rating))
+            if (at, rating) != known:
+                yield pd.DataFrame({"event_id": [key[0]], "rating": [rating], "us": [at]})
+        if state.exists:
+            state.setTimeoutTimestamp(max(state.get[0] // 1000 + linger, state.getCurrentWatermarkMs() + 1))
+
+    rated = (
+        events.where("kind = 'feedback'")
+        .select("event_id", "rating", F.expr("try_to_timestamp(ts)").alias("at"))
+        .where("event_id is not null and rating is not null and at is not null")
+        .withWatermark("at", late)
+        .withColumn("us", F.unix_micros("at"))
+    )
+    changes = rated.groupBy("event_id").applyInPandasWithState(
+        settle, "event_id string, rating string, us long", "us long, rating string", "update", "EventTimeTimeout"
+    )
+    return changes.select("event_id", "rating", F.timestamp_micros("us").alias("at"))
+
+
 def keep_updates(
     updates: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataStreamWriter:
@@ -74,14 +115,63 @@ def keep_updates(
     return updates.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
+def _complete(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the finished epochs and of the finished folds below ``path``; unfinished ones have no success mark."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"epoch": [], "upto": []}
+    for entry in files.listStatus(folder):
+        named = re.fullmatch(r"(epoch|upto)=(\d+)", entry.getPath().getName())
+        if named and files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+            found[named[1]].append(int(named[2]))
+    return sorted(found["epoch"]), sorted(found["upto"])
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest fold and of the epochs after it, with their ``epoch``."""
+    epochs, folds = _complete(spark, path)
+    upto = folds[-1] if folds else -1
+    parts = [spark.read.parquet(f"{path}/upto={upto}")] if folds else []
+    after = [f"{path}/epoch={n}" for n in epochs if n > upto]
+    if after or not parts:
+        parts.append(spark.read.option("basePath", path).parquet(*(after or [path])).withColumn("epoch", F.col("epoch").cast("long")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def latest(spark: SparkSession, path: str, keys: Sequence[str], by: Sequence[str] = ("epoch",)) -> DataFrame:
     """The current row of every key of such a table: the one that is last by ``by``."""
-    rows = spark.read.parquet(path)
+    rows = _stored(spark, path)
     payload = [c for c in rows.columns if c not in (*keys, "epoch")]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct(*by)).alias("_row"))
     return last.select(*keys, "_row.*")
 
 
+def fold_epochs(spark: SparkSession, path: str, keys: Sequence[str], by: Sequence[str] = ("epoch",)) -> int | None:
+    """Write the current row of every key as one table that stands for all epochs so far; its number, or None if nothing is new.
+
+    Readers take it once it is finished, so a fold that stops halfway changes nothing and is overwritten by the next try.
+    The stream may go on meanwhile; ``by`` must be the one that :func:`latest` is called with.
+    """
+    epochs, folds = _complete(spark, path)
+    if not epochs or (folds and folds[-1] >= epochs[-1]):
+        return None
+    rows = _stored(spark, path).where(F.col("epoch") <= epochs[-1])
+    payload = F.struct(*[c for c in rows.columns if c not in keys])
+    last = rows.groupBy(*keys).agg(F.max_by(payload, F.struct(*by)).alias("_row"))
+    last.select(*keys, "_row.*").write.mode("overwrite").parquet(f"{path}/upto={epochs[-1]}")
+    return epochs[-1]
+
+
+def remove_folded(spark: SparkSession, path: str) -> int:
+    """Delete the epochs and folds that the newest fold stands for; call it when no reader uses them. Returns how many."""
+    epochs, folds = _complete(spark, path)
+    old = [f"epoch={n}" for n in epochs if folds and n <= folds[-1]] + [f"upto={n}" for n in folds[:-1]]
+    for name in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(old)
+
+
 def upsert_chunks(chunks: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     """Merge each micro-batch of new chunks with ``merge(batch, number)``, e.g. a user index write of that version."""
 
