@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.operators.ordering import quantiles, running_sum, top_k
+from folioscope.session import finished_parts, scratch_path
 
 # The floors swept on judged pairs and on the deployed corpus, and the other cut-offs compared.
 FLOORS = [
@@ -32,6 +33,37 @@ def score_pairs(todo: DataFrame, scorer) -> DataFrame:
     return todo.select("qid", "did", "grade", scorer(F.col("qtext"), F.col("text")).alias("score"))
 
 
+def scored_so_far(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of the finished parts below ``path``; None if there are none. A part that was stopped halfway is not read."""
+    done = finished_parts(spark, path, "part")
+    return spark.read.parquet(*[f"{path}/part={n}" for n in done]) if done else None
+
+
+def score_resumably(todo: DataFrame, scorer, path: str, slices: int = 16, at_most: int | None = None) -> DataFrame | None:
+    """Score ``todo(qid, did, grade, qtext, text)`` slice by slice into ``path`` and return all that is scored there.
+
+    Pairs are dealt to slices by a hash of their key, so a slice has no hot question. Each slice is a part of its own and
+    counts once it is written to its end; the next call scores what is in no finished part, with any number of slices. A
+    stopped call thus loses one slice at most. ``at_most`` ends a call after so many slices. Repeated pairs are scored
+    once. Calls over one path take turns.
+
+    What is left is written once with its texts, by slice, so a slice reads its own rows and not the tables again.
+    """
+    spark = todo.sparkSession
+    done = scored_so_far(spark, path)
+    left = todo.dropDuplicates(["qid", "did"])
+    if done is not None:
+        left = left.join(done.select("qid", "did"), ["qid", "did"], "left_anti")
+    work = scratch_path(spark, "to-score")
+    dealt = left.withColumn("slice", F.pmod(F.xxhash64("qid", "did"), F.lit(slices)).cast("int"))
+    dealt.write.partitionBy("slice").parquet(work)
+    listed = spark.read.schema(dealt.schema).parquet(work)
+    for n in range(slices if at_most is None else min(at_most, slices)):
+        part = max(finished_parts(spark, path, "part"), default=-1) + 1
+        score_pairs(listed.where(F.col("slice") == n), scorer).write.mode("overwrite").parquet(f"{path}/part={part}")
+    return scored_so_far(spark, path)
+
+
 def grade_quantiles(scored: DataFrame) -> DataFrame:
     n = scored.groupBy("grade").agg(F.count("score").alias("n"))
     return n.join(quantiles(scored, ["grade"], "score", GRADE_QUANTILES, kind="nearest"), "grade")

@@ -18,6 +18,7 @@ from folioscope.plans import q_documents as D
 from folioscope.plans import q_retrieval as R
 from folioscope.plans.registry import register, table
 from folioscope.plans.retrieve import CONFIGS, RetrievalConfig, retrieve_all, with_chunk
+from folioscope.session import scratch_path
 
 WS = B.WS
 
@@ -574,6 +575,14 @@ judged AS (SELECT source AS qid, doc_id AS did, quality * (doc_id % 3 + 1)::INTE
 """
 
 
+def _pairs_to_score(spark, sf, scored):
+    docs = D.docs(spark, sf)
+    queries = docs.where("source <> 'src3'").select(F.col("source").alias("qid")).distinct().withColumn("qtext", F.col("qid"))
+    return CA.unscored_pairs(
+        judged(spark, sf).select("qid", "did", "grade"), scored, queries, docs.select(F.col("doc_id").alias("did"), "text")
+    )
+
+
 @register(
     "unscored_pairs",
     B.ctes(JUDGED)
@@ -583,15 +592,25 @@ judged AS (SELECT source AS qid, doc_id AS did, quality * (doc_id % 3 + 1)::INTE
 )
 def unscored_pairs(spark, sf):
     j = judged(spark, sf)
-    docs = D.docs(spark, sf)
-    queries = docs.where("source <> 'src3'").select(F.col("source").alias("qid")).distinct().withColumn("qtext", F.col("qid"))
-    todo = CA.unscored_pairs(
-        j.select("qid", "did", "grade"), j.where("did % 4 = 0"), queries,
-        docs.select(F.col("doc_id").alias("did"), "text"),
-    )
+    todo = _pairs_to_score(spark, sf, j.where("did % 4 = 0"))
     return CA.score_pairs(todo, overlap_scorer()).select("qid", "did", "grade", F.round("score", 6).alias("score"))
 
 
+@register(
+    "resumed_scores",
+    B.ctes(JUDGED)
+    + f"""SELECT j.qid, j.did, j.grade, round({B.sql_scorer('j.qid', 'd.text')}, 6) AS score FROM judged j
+         JOIN (SELECT DISTINCT source FROM documents WHERE source <> 'src3') q ON q.source = j.qid JOIN documents d ON d.doc_id = j.did""",
+)
+def resumed_scores(spark, sf):
+    """All judged pairs, scored in two calls: the first ends after three of eight slices, the second takes up the rest in four."""
+    path, none = scratch_path(spark, "scores"), judged(spark, sf).where("false")
+    todo = _pairs_to_score(spark, sf, none)
+    CA.score_resumably(todo, overlap_scorer(), path, slices=8, at_most=3)
+    got = CA.score_resumably(todo, overlap_scorer(), path, slices=4)
+    return got.select("qid", "did", "grade", F.round("score", 6).alias("score"))
+
+
 _NEAREST = ", ".join(
     f"list_sort(list(score))[least(count(*) - 1, floor({q}::DOUBLE * count(*)))::INTEGER + 1] AS {n}" for n, q in CA.GRADE_QUANTILES.items()
 )

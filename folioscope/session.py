@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -66,6 +67,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def finished_parts(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the tables ``path/name=<number>`` that are written to their end, as their success mark says."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in files.listStatus(folder) if files.exists(folder) else []:
+        named = re.fullmatch(rf"{name}=(\d+)", entry.getPath().getName())
+        if named and files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
+            found.append(int(named[1]))
+    return sorted(found)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` has at most ``max_rows`` rows holding at most ``max_bytes`` of values.
 

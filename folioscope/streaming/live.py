@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 
@@ -13,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
 
 from folioscope.operators.telemetry import EVENT_SCHEMA, share, used_tool
+from folioscope.session import finished_parts
 from folioscope.sources.readers import parse_jsonl
 
 
@@ -116,15 +116,8 @@ def keep_updates(
 
 
 def _complete(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
-    """Numbers of the finished epochs and of the finished folds below ``path``; unfinished ones have no success mark."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"epoch": [], "upto": []}
-    for entry in files.listStatus(folder):
-        named = re.fullmatch(r"(epoch|upto)=(\d+)", entry.getPath().getName())
-        if named and files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")):
-            found[named[1]].append(int(named[2]))
-    return sorted(found["epoch"]), sorted(found["upto"])
+    """Numbers of the finished epochs and of the finished folds below ``path``."""
+    return finished_parts(spark, path, "epoch"), finished_parts(spark, path, "upto")
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
