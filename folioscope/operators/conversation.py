@@ -14,6 +14,7 @@ from pyspark.sql import types as TY
 
 from folioscope.functions import text as T
 from folioscope.operators.context import RELEVANCE_FLOOR, ordered
+from folioscope.operators.ordering import asof_backward, top_k
 
 HISTORY_KEEP = 8
 HISTORY_BLOCK = 8
@@ -29,12 +30,16 @@ def _conv():
 
 
 def history_window(turns: DataFrame) -> DataFrame:
-    """Turns kept for the next request: the window start only moves in whole blocks."""
-    n = F.count(F.lit(1)).over(W.partitionBy("conv_id"))
+    """Turns kept for the next request: the window start only moves in whole blocks.
+
+    A window holds less than a block more than it must keep, so a conversation of any length ships that many of its last
+    turns per task, and its length is a count.
+    """
+    n = F.col("_n")
     start = F.greatest(F.lit(0), F.floor((n - HISTORY_KEEP) / HISTORY_BLOCK) * HISTORY_BLOCK)
-    return turns.withColumns({"_pos": F.row_number().over(_conv()) - 1, "_start": start}).where(
-        F.col("_pos") >= F.col("_start")
-    ).drop("_pos", "_start")
+    tail = top_k(turns, ["conv_id"], [F.col("turn").desc()], HISTORY_KEEP + HISTORY_BLOCK - 1, "_back")
+    lengths = turns.groupBy(F.col("conv_id").alias("_conv")).agg(F.count(F.lit(1)).alias("_n"))
+    return tail.join(lengths, F.col("conv_id").eqNullSafe(F.col("_conv"))).where(F.col("_back") <= n - start).drop("_back", "_conv", "_n")
 
 
 def last_turns(turns: DataFrame, n: int = CLI_TURNS) -> DataFrame:
@@ -66,13 +71,23 @@ def borrowed_query(message: Column, prior: Column, follow_up: Column) -> tuple[C
 
 
 def rewrite_queries(turns: DataFrame) -> DataFrame:
-    """Each user turn with ``follow_up``, ``query`` and ``fired``, given the turns before it."""
-    before = _conv().rowsBetween(W.unboundedPreceding, -1)
-    prior = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)
-    seen = turns.withColumns({"_prior": prior, "_n": F.count(F.lit(1)).over(before)})
-    asked = seen.where(F.col("role") == "user").withColumn("follow_up", is_follow_up(F.col("text"), F.col("_n") > 0))
+    """Each user turn with ``follow_up``, ``query`` and ``fired``, given the turns of a smaller number in its conversation.
+
+    The last question before a turn is carried in buckets of turn numbers, and only its head travels, so a conversation with
+    most of the rows is spread. Of several questions under one number the greatest text counts; a turn without a
+    number is taken as the first. ``turn`` is a whole number.
+    """
+    # a struct, because a null conversation is one too and keys of joins must not be null
+    rows = turns.withColumns({"_conv": F.struct("conv_id"), "_at": F.coalesce(F.col("turn").cast("long"), F.lit(-1))})
+    by = ["_conv"]
+    head = F.substring(T.collapse_ws(F.col("text")), 1, FOLLOWUP_CONTEXT_CHARS)
+    user = F.col("role") == "user"
+    said = rows.where(user & F.col("text").isNotNull()).groupBy(*by, (F.col("_at") + 1).alias("_at")).agg(F.max(head).alias("_prior"))
+    first = rows.groupBy(*by).agg(F.min("_at").alias("_at")).withColumn("_first", F.lit(True))
+    seen = asof_backward(rows.where(user), said, by, "_at", "_prior").join(first, [*by, "_at"], "left")
+    asked = seen.withColumn("follow_up", is_follow_up(F.col("text"), F.col("_first").isNull()))
     query, fired = borrowed_query(F.col("text"), F.col("_prior"), F.col("follow_up"))
-    return asked.withColumns({"query": query, "fired": fired}).drop("_prior", "_n")
+    return asked.withColumns({"query": query, "fired": fired}).drop("_prior", "_first", "_conv", "_at")
 
 
 def resolve_images(messages: DataFrame, turns: DataFrame, scorer=None, floor: float = RELEVANCE_FLOOR) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.models import hashed_tf_embedder
 from folioscope.operators import ordering as O
+from folioscope.operators import sketches as SK
 from folioscope.plans import bindings as B
 from folioscope.plans import q_usage as U
 from folioscope.plans.registry import register, table
@@ -73,6 +74,38 @@ def live_kpi_windows(spark, sf):
     )
 
 
+_R = "ln(1.01::DOUBLE / 0.99)"
+_SPANS = f"""
+vals AS (SELECT stamp, ttft_ms AS v, 1099511627776 + ceil(ln(ttft_ms) / {_R})::BIGINT AS cell FROM log WHERE ttft_ms > 0),
+spans AS (SELECT 'hour' AS span, time_bucket(INTERVAL 1 HOUR, stamp) AS start, v, cell FROM vals UNION ALL SELECT 'day', time_bucket(INTERVAL 1 DAY, stamp), v, cell FROM vals
+   UNION ALL SELECT 'all', TIMESTAMP '1970-01-01', v, cell FROM vals),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY span, start ORDER BY v) AS r, count(*) OVER (PARTITION BY span, start) AS n FROM spans),
+cells AS (SELECT span, start, cell, n, min(r) AS first_r, max(r) AS last_r, min(v) AS low, max(v) AS high FROM numbered GROUP BY ALL),
+asked AS (SELECT *, greatest(1, ceil(q * n))::BIGINT AS wanted FROM cells, (SELECT unnest([0.5, 0.95]::DOUBLE[]) AS q))
+"""
+
+
+@register(
+    "live_latency_rollup",
+    B.ctes(U.LOG, _SPANS)
+    + f"""SELECT span, start, q, n, round(least(high, greatest(low, exp((cell - 1099511627776) * {_R}) * 2 / (1 + exp({_R})))), 6) AS value, round(low, 6) AS low, round(high, 6) AS high,
+         greatest(last_r - wanted, wanted - first_r) AS rank_error FROM asked WHERE wanted BETWEEN first_r AND last_r""",
+)
+def live_latency_rollup(spark, sf):
+    """Hourly sketches of a stream, rolled up to days and to everything without its events; the SQL reads the events."""
+    out = scratch_path(spark, "latency")
+    hourly = live.live_latency(live.read_log(spark, log_folder(spark, sf)), "1 hour", "2 days")
+    run_to_end(live.keep_updates(hourly, out, scratch_path(spark, "state")))
+    stored = live.latest(spark, out, ["window", "cell"])
+    begin = F.col("window.start")
+    spans = {"hour": begin, "day": F.date_trunc("day", begin), "all": F.timestamp_seconds(F.lit(0))}
+    long = stored.select(F.explode(F.array(*[F.struct(F.lit(s).alias("span"), at.alias("start")) for s, at in spans.items()])).alias("s"), "cell", "n", "low", "high")
+    merged = SK.merge(long.select("s.*", "cell", "n", "low", "high"), ["span", "start"])
+    return SK.quantiles(merged, ["span", "start"], [0.5, 0.95]).select(
+        "span", "start", "q", "n", *[F.round(c, 6).alias(c) for c in ("value", "low", "high")], "rank_error"
+    )
+
+
 @register(
     "live_last_rating",
     """SELECT 'e' || (event_id - event_id % 3) AS event_id, arg_max(CASE WHEN value > 50 THEN 'up' ELSE 'down' END, event_id) AS rating FROM events WHERE event_type = 'click' GROUP BY 1""",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
 
+from folioscope.operators import sketches as SK
 from folioscope.operators.telemetry import EVENT_SCHEMA, share, used_tool
 from folioscope.session import finished_parts
 from folioscope.sources.readers import parse_jsonl
@@ -54,6 +55,16 @@ def live_kpis(events: DataFrame, window: str = "1 hour", late: str = "10 minutes
     )
 
 
+def live_latency(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", accuracy: float = SK.ACCURACY) -> DataFrame:
+    """A latency sketch per tumbling window: ``window, cell, n, low, high``.
+
+    Its state is one small row per (window, cell). Sketch rows of any windows merge (:func:`folioscope.operators.sketches.merge`), so
+    hours, days or any range have their quantiles without the events.
+    """
+    queries = events.where("kind = 'query'").select(F.to_timestamp("ts").alias("at"), F.col("timings")["ttft_ms"].alias("ttft"))
+    return SK.sketch(queries.withWatermark("at", late), [F.window("at", window)], "ttft", accuracy)
+
+
 def live_ratings(events: DataFrame) -> DataFrame:
     """Latest rating per event with its time, of a table or of one micro-batch."""
     return (

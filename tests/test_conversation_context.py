@@ -185,3 +185,18 @@ def test_broadcast_bound_counts_bytes(spark):
 
     df = spark.createDataFrame([("x" * 100,)] * 10, "t string")
     assert fits_broadcast(df, 10, 1000) and not fits_broadcast(df, 9) and not fits_broadcast(df, 10, 999)
+
+
+def test_rewrite_in_long_null_and_repeated_conversations(spark):
+    said = [(None, 0, "user", "How do I factor this polynomial into primes over the integers"), (None, 3, "user", "why?"), (2, None, "user", "why?")]
+    said += [(3, 5, "user", "aa bb cc dd ee ff gg"), (3, 5, "user", "zz bb cc dd ee ff gg"), (3, 6, "assistant", None), (3, 9, "user", None), (3, 10, "user", "and then?")]
+    said += [(4, n, "user" if n in (0, 5000) else "assistant", "first question" if n == 0 else "why?") for n in range(5001)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn, r.text): r.query for r in V.rewrite_queries(df).collect()}
+    assert len(got) == sum(r[2] == "user" for r in said)
+    assert got[(None, 3, "why?")] == "why? " + said[0][3]
+    assert got[(2, None, "why?")] == "why?"
+    assert got[(3, 10, "and then?")] == "and then? zz bb cc dd ee ff gg"
+    assert got[(4, 5000, "why?")] == "why? first question"
+    kept = V.history_window(df).groupBy("conv_id").count().collect()
+    assert {r.conv_id: r["count"] for r in kept} == {None: 2, 2: 1, 3: 5, 4: 9}
