@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions.models import overlap_scorer
+from folioscope.functions.models import hashed_tf_embedder, normalizing, overlap_scorer
 from folioscope.operators import calibration as CA
 from folioscope.operators import chunking as K
 from folioscope.operators import conversation as V
@@ -17,7 +17,8 @@ from folioscope.plans import q_context as X
 from folioscope.plans import q_documents as D
 from folioscope.plans import q_retrieval as R
 from folioscope.plans.registry import register, table
-from folioscope.plans.retrieve import CONFIGS, RetrievalConfig, retrieve_all, with_chunk
+from folioscope.plans.retrieve import CONFIGS, retrieve, with_chunk
+from folioscope.plans.sweep import sweep
 from folioscope.session import scratch_path
 
 WS = B.WS
@@ -363,9 +364,6 @@ def judge_scores(spark, sf):
 
 # ---- follow-up arms ---------------------------------------------------------------------------
 
-ARM_CONFIG = RetrievalConfig("bm25", use_dense=False, use_rerank=False)
-
-
 def arm_questions(spark, sf):
     """Benchmark passages as first turns; the follow-up keeps their first four words."""
     q1 = F.col("text")
@@ -383,9 +381,11 @@ def arm_questions(spark, sf):
 
 
 def score_arms(spark, sf, arms):
-    """Exam rows of arm questions against the documents, lexical retrieval held constant."""
+    """Exam rows of arm questions against the documents, under the configuration that answers users."""
     chunks = B.chunks(spark, sf)
-    got = retrieve_all(arms.select("user", "qid", "text"), chunks, [ARM_CONFIG], L.build_index(chunks))
+    vectors = B.hashed_vectors(chunks).select("user", "ord", "embedding")
+    asked = B.hashed_vectors(arms).select("user", "qid", "embedding")
+    got = retrieve(arms.select("user", "qid", "text"), chunks, index=L.build_index(chunks), vectors=vectors, query_vectors=asked)
     gold = arms.select("qid", "gold_text")
     hit = lambda df: M.with_containment(with_chunk(df, chunks, ["text"]), gold)
     rows = M.exam_rows(arms.select("user", "qid", "arm", "fired"), hit(got.ranked), hit(got.candidates), ["user", "qid"])
@@ -395,12 +395,10 @@ def score_arms(spark, sf, arms):
 
 
 def sql_arm_exam(arms_cte: str) -> list[str]:
-    bm25 = B.BM25.replace("(SELECT item_id, unnest(", "(SELECT qid AS item_id, unnest(").replace("FROM benchmark) GROUP BY ALL", "FROM arms) GROUP BY ALL")
-    ranked = B.BM25_RANKED.replace("q.item_id", "q.qid").replace("FROM benchmark q", "FROM arms q")
     return [
-        arms_cte, bm25, ranked, B.sql_rrf("fused", [("bm25", 1.0)], 10),
+        arms_cte, "asked AS (SELECT qid AS item_id, text FROM arms)", *[part.replace("benchmark", "asked") for part in R.SHIPPED],
         f"""ax AS (SELECT a.arm, a.qid, a.fired, min(CASE WHEN o >= 0.7 THEN rank END) AS r, min(CASE WHEN o >= 0.5 THEN rank END) AS rs FROM arms a LEFT JOIN (
-            SELECT b.qid, b.rank, {B.sql_containment('a.gold_text', 'd.text')} AS o FROM fused b JOIN arms a USING (qid) JOIN documents d ON d.doc_id = b.ord) h USING (qid)
+            SELECT b.qid, b.rank, {B.sql_containment('a.gold_text', 'd.text')} AS o FROM s_ranked b JOIN arms a USING (qid) JOIN documents d ON d.doc_id = b.ord) h USING (qid)
             GROUP BY ALL)""",
         """asum AS (SELECT arm, count(*) AS n, count_if(fired)::BIGINT AS fired, avg(coalesce((r <= 1)::INTEGER, 0)) AS recall_1, avg(coalesce((r <= 5)::INTEGER, 0)) AS recall_5,
             avg((r IS NOT NULL)::INTEGER) AS recall_pool, avg(coalesce(1.0 / r, 0)) AS mrr, avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0 END) AS ndcg_5 FROM ax GROUP BY arm)""",
@@ -455,25 +453,16 @@ def false_positive_arm(spark, sf):
     return M.arm_deltas(score_arms(spark, sf, false_positive_arms(spark, sf)), "clean", "unrelated prior")
 
 
+def swept_embedders():
+    """Two widths of the default embedder, and the wider one over normalised markup."""
+    return {"small": hashed_tf_embedder(64), "wide": hashed_tf_embedder(256), "wide_normalized": normalizing(hashed_tf_embedder(256))}
+
+
 @register("chunker_grid")
 def chunker_grid(spark, sf):
-    """Chunkers × retrieval settings over whole documents: metrics, chunk counts and index size."""
-    out = None
-    for name in K.CHUNKERS:
-        chunks = K.chunk_documents(D.doc_rows(spark, sf), name)
-        index = L.build_index(chunks)
-        asked = B.questions(spark, sf)
-        got = retrieve_all(asked, chunks, [ARM_CONFIG], index)
-        hit = lambda df: M.with_containment(
-            with_chunk(df, chunks, ["text"]), asked.select("qid", F.col("text").alias("gold_text"))
-        )
-        rows = M.exam_rows(asked.select("user", "qid"), hit(got.ranked), hit(got.candidates), ["user", "qid"])
-        size = index.postings.agg(F.count(F.lit(1)).alias("n_postings"))
-        row = M.summarize_exam(rows.withColumn("config", F.lit(ARM_CONFIG.name))).withColumns(
-            {"chunker": F.lit(name), "n_chunks": index.stats.agg(F.sum("n_docs")).scalar(), "n_postings": size.scalar()}
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Chunkers × embedders × settings over whole documents: metrics, chunk counts, build seconds and index size of 18 cells."""
+    asked = B.questions(spark, sf).select("user", "qid", "text", F.col("text").alias("gold_text"))
+    return sweep(D.doc_rows(spark, sf), asked, swept_embedders())
 
 
 # ---- scorer bench -----------------------------------------------------------------------------

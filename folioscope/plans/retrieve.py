@@ -96,8 +96,15 @@ def retrieve_all(
         lists.append(bm25_top_k(index, queries, depth).withColumn("retriever", F.lit("bm25")))
     if any(c.use_dense for c in configs):
         lists.append(dense_top_k(vectors, query_vectors, depth).withColumn("retriever", F.lit("dense")))
+    return retrieve_from(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]), queries, chunks, configs, scorer, top_n)
+
+
+def retrieve_from(
+    hits: DataFrame, queries: DataFrame, chunks: DataFrame, configs: Sequence[RetrievalConfig], scorer: Scorer | None = None, top_n: int = TOP_N
+) -> Retrieved:
+    """Fuse, pool and rescore the lists ``hits(user, qid, rank, ord, score, retriever)``, made to the largest depth of ``configs``."""
     # a bounded list per question, read by every config, the pools and the rescoring: kept as a table
-    hits = cut_lineage(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]))
+    hits = cut_lineage(hits)
     keyed = with_chunk(hits, chunks.withColumn("key", content_key(F.col("text"))), ["key"])
 
     options = []
