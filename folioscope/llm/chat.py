@@ -1,11 +1,15 @@
 """Chat formatting into budgeted windows.
 
-Prefix sums over the token counts of a conversation's turns choose turn-aligned spans: a turn starts in the
-span numbered by the tokens before it, and a turn of more than half a budget stands alone. So a
-window's own turns keep within the budget (a single longer turn exceeds it and is still whole). Every
-window repeats the system turn and as many of the turns before it as fit a history allowance; both are
+One budget holds a window's system turn, its repeated history and its own turns. What is left of it beside the allowances for the
+first two is for own turns: prefix sums over the token counts of a conversation's turns choose turn-aligned spans
+of it. A turn starts in the span numbered by the tokens before it, and a turn of more than half a span's tokens stands alone.
+Every window repeats the system turn and as many of the turns before it as fit the history allowance; both are
 under the mask, as is everything else but each assistant text in the one window that owns its turn.
 
+Whole turns come first. A turn that stands alone and leaves less than the allowances has as much history as still fits, and no system
+turn if that doesn't fit either; only such a turn longer than the budget exceeds it. A system turn longer than its allowance is
+an ordinary turn: whole in its own window, not repeated.
+
 A conversation is worked on in segments of a bounded number of tokens, so one that holds most of the
 rows is spread over tasks; a segment gets copies of the system turn and of the turns its first windows
 may repeat.
@@ -17,18 +21,20 @@ stands inside each ``<|``, so no control string is left in them; in roles a line
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm import bpe
 from folioscope.llm._tables import shuffle_width
 from folioscope.operators.ordering import running_sum
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-BUDGET, HISTORY = 1024, 256
-SEGMENT = 32  # half budgets in a segment
+BUDGET, HISTORY, SYSTEM = 1024, 256, 256
+SEGMENT = 64  # half spans in a segment
+MARKS = 4  # tokens of a turn's marks and role
 
 WINDOWS = (
     "key long, segment long, window long, formatted string, n_tokens long, history_turns int, own_turns int, "
@@ -53,21 +59,37 @@ def unescape_role(role: str) -> str:
 
 
 def word_tokens(text: Column) -> Column:
-    """A model-free token count: runs of word characters and single other signs, and 4 for the turn's marks."""
-    return (F.regexp_count(text, F.lit(r"\w+|[^\w\s]")) + 4).cast("long")
+    """A model-free token count: runs of word characters and single other signs, and those of the turn's marks."""
+    return (F.regexp_count(text, F.lit(r"\w+|[^\w\s]")) + MARKS).cast("long")
+
+
+def bpe_tokens(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> Callable[[Column], Column]:
+    """A token count for :func:`windows`: the ids that byte-level BPE gives the escaped text, and those of the turn's marks."""
+    shared = spark.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        split, encoder = bpe.splitter(pattern), bpe.Encoder(shared.value)
+        for texts in batches:
+            sizes = [sum(len(encoder[piece]) for piece in split(escape(t or ""))) // 4 for t in texts]
+            yield pd.Series(sizes, index=texts.index, dtype="int64") + MARKS
+
+    return count
 
 
 def windows(
     turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    budget: int = BUDGET, history: int = HISTORY, tokens=word_tokens,
+    budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """One row per window: ``key, segment, window`` (its order), ``formatted``, ``loss`` (code point ranges under
     the loss), and counts. Turns are ordered by ``turn`` (null first), ties by role and text.
 
     Null texts and roles are empty; a null key is a conversation of its own. The system turn is the first turn if
-    its role is ``system``. Nothing is dropped: windows hold every turn once as their own.
+    its role is ``system`` and it has at most ``system`` tokens. Nothing is dropped: windows hold every turn once as their own.
     """
-    half = max(1, budget // 2)
+    half = (budget - history - system) // 2
+    if half < 1:
+        raise ValueError("the allowances for history and system turn leave nothing of the budget")
     rows = turns.select(
         F.col(key).cast("long").alias("key"),
         F.col(turn).cast("long").alias("turn"),
@@ -88,16 +110,16 @@ def windows(
     )
     # a turn may be history in a later segment that starts within the allowance
     reach = F.expr(f"(before + {history}) div {SEGMENT * half}")
-    system = (F.col("before") == 0) & (F.col("role") == "system")
+    leads = (F.col("before") == 0) & (F.col("role") == "system") & (F.col("n") <= system)
     last = placed.groupBy("_null", "_k").agg(F.max("segment").alias("_last")).where("_last > 0")
-    heads = placed.where(system).join(last, ["_null", "_k"]).withColumn("segment", F.explode(F.sequence(F.lit(1).cast("long"), "_last")))
-    nearby = placed.where(~system & (reach > F.col("segment"))).withColumn("segment", F.explode(F.sequence(F.col("segment") + 1, reach)))
+    heads = placed.where(leads).join(last, ["_null", "_k"]).withColumn("segment", F.explode(F.sequence(F.lit(1).cast("long"), "_last")))
+    nearby = placed.where(~leads & (reach > F.col("segment"))).withColumn("segment", F.explode(F.sequence(F.col("segment") + 1, reach)))
     columns = ["key", "_null", "_k", "segment", "window", "before", "n", "role", "text", "turn", "tie"]
     dealt = (
         placed.select(*columns, F.lit(2).alias("part"))
         .unionByName(nearby.select(*columns, F.lit(1).alias("part")))
         .unionByName(heads.select(*columns, F.lit(0).alias("part")))
-        .withColumn("system", F.col("part").isin(0) | (F.col("part").isin(2) & system))
+        .withColumn("system", F.col("part").isin(0) | (F.col("part").isin(2) & leads))
     )
     dealt = dealt.repartition(shuffle_width(turns), "_null", "_k", "segment").sortWithinPartitions(
         "_null", "_k", "segment", "part", "before", "tie"
@@ -133,10 +155,16 @@ def windows(
                         out.append(closed())
                     number += 1
                     recent = [r for r in recent if r[0] >= before - history]
-                    parts = ([head[1]] if head else []) + [r[2] for r in recent]
+                    lead, shared = head, recent
+                    if n > half:  # it stands alone, and may leave less than the allowances
+                        if lead and lead[0] + n > budget:
+                            lead = None
+                        room = budget - n - (lead[0] if lead else 0)
+                        shared = [r for r in recent if r[0] >= before - room]
+                    parts = ([lead[1]] if lead else []) + [r[2] for r in shared]
                     own = {
-                        "window": (wa, wb), "parts": parts, "size": sum(map(len, parts)), "history": len(recent), "turns": 0,
-                        "head": head is not None, "tokens": (head[0] if head else 0) + sum(r[1] for r in recent), "loss": [],
+                        "window": (wa, wb), "parts": parts, "size": sum(map(len, parts)), "history": len(shared), "turns": 0,
+                        "head": lead is not None, "tokens": (lead[0] if lead else 0) + sum(r[1] for r in shared), "loss": [],
                     }
                 if role == "assistant":
                     begin = own["size"] + len(START) + len(role) + 1
