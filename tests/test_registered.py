@@ -8,7 +8,7 @@ from folioscope.plans import catalog
 QUICK = [
     "chunk_ids", "chunk_upsert", "tokenizers", "sentences", "page_markers", "bm25_terms", "bm25_top_k", "dense_centroid_top_k",
     "rank_fusion_weighted", "context_block", "fact_recall", "recall_pairs", "live_rating_state", "resumed_scores", "query_rewrite", "clean_history", "tool_call_audit", "leak_scores",
-    "gold_sample", "pairwise_auc", "item_vote_stats", "paired_comparison", "kpis", "trace_spans", "operating_rollup", "live_last_rating", "live_latency_rollup",
+    "gold_sample", "pairwise_auc", "item_vote_stats", "paired_comparison", "kpis", "trace_spans", "operating_rollup", "live_last_rating", "live_latency_rollup", "exam_read_back", "figures_replaced", "report_read_back", "review_read_back",
 ]
 
 
