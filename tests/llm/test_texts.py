@@ -174,9 +174,23 @@ def test_top_products_match_brute_force(spark):
     for q in [i for i in kept if i % 100 == 0]:
         best = sorted((-int(kept[q] @ kept[d]), d) for d in kept if d != q)[:10]
         assert sorted(got[q]) == [(n + 1, d, -s) for n, (s, d) in enumerate(best)]
+    whole = sorted(map(tuple, search.top_products(v, v.where("vec_id % 100 = 0"), 10).collect()))
+    assert whole == sorted((q, r, d, s) for q, rows in got.items() for r, d, s in rows)
     assert search.top_products(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_kept_apart_and_split(spark):
+    rows = [(5, [i, 1]) for i in range(60)] + [(i + 10, [i, 2]) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    asked = spark.createDataFrame([(5, [1, 0]), (300, [1, 1]), (301, [])], "vec_id long, v array<long>")
+    got = {}
+    for r in search.top_products(v, asked, 12, shelf=15, batch=1).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, vec in ((5, [1, 0]), (300, [1, 1]), (301, [0, 0])):
+        best = sorted((-(vec[0] * x[0] + vec[1] * x[1]), d) for d, x in rows if d != q)[:12]
+        assert sorted(got[q]) == [(n + 1, d, -s) for n, (s, d) in enumerate(best)]
+
+
 def test_pruning_skips_blocks():
     ids = np.arange(6400)
     rows = np.zeros((6400, 8), np.int64)
