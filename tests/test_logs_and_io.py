@@ -245,6 +245,23 @@ def test_figure_replacement_is_per_document(spark, tmp_path):
     assert {r.image_id: r.caption for r in spark.read.parquet(path).collect()} == {"a::img0": "only", "b::img0": "z"}
 
 
+def test_figure_folders_do_not_grow_with_the_documents(spark, tmp_path):
+    path = str(tmp_path / "figs")
+    docs = spark.range(1500).select(F.concat(F.lit("p"), "id").alias("doc_name"), F.concat(F.lit("p"), "id", F.lit("::img0")).alias("image_id"), F.lit("old").alias("caption"))
+    S.replace_figures(docs, path)
+    S.replace_figures(docs.where("doc_name in ('p3', 'p700')").withColumn("caption", F.lit("new")), path)
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 1500 and {r.doc_name for r in rows if r.caption == "new"} == {"p3", "p700"}
+    assert len(os.listdir(path)) < 300
+
+
+def test_figures_of_a_nameless_document_are_replaced(spark, tmp_path):
+    path, schema = str(tmp_path / "figs"), "image_id string, doc_name string, caption string"
+    for caption in ("x", "y"):
+        S.replace_figures(spark.createDataFrame([("i", None, caption), ("j", "", caption), ("k", "7", caption)], schema), path)
+    assert sorted((r.image_id, r.doc_name, r.caption) for r in spark.read.parquet(path).collect()) == [("i", None, "y"), ("j", "", "y"), ("k", "7", "y")]
+
+
 def test_reports(spark, tmp_path):
     m = spark.createDataFrame([("bm25", 0.5), ("dense", 0.7)], "config string, mrr double")
     S.write_report(m, str(tmp_path / "m"))
