@@ -63,7 +63,7 @@ def hashed_tf_embedder(dim: int = 64) -> Embedder:
     """Default embedder: counts of alphanumeric tokens hashed onto ``dim`` axes, unit length."""
 
     def load() -> Callable[[list[str]], np.ndarray]:
-        @lru_cache(maxsize=200_000)
+        @lru_cache(maxsize=50_000)
         def axis(token: str) -> int:
             return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.models import Embedder
 from folioscope.operators.ordering import top_k
-from folioscope.session import cut_lineage, fits_broadcast
+from folioscope.session import bound_batches, cut_lineage, fits_broadcast
 
 BROADCAST_QUERIES = 8_192
 QUERY_BLOCK = 16_384
@@ -32,12 +32,18 @@ CELL_SAMPLE = 16_384  # vectors that the centroids of cells are trained on
 MOST_CELLS = 4_096
 PROBED = 0.075  # share of the cells that a question meets
 _ROWS = 8_192  # stored vectors multiplied at a time
+_PRODUCTS = 1 << 21  # products held at a time, whatever the number of questions or cells
+TEXT_BATCH = 500  # texts that an embedder is handed at a time
 _OUT = "user string, qid long, ord long, score double"
 _OUT_ARROW = pa.schema([("user", pa.string()), ("qid", pa.int64()), ("ord", pa.int64()), ("score", pa.float64())])
 
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "embedding") -> DataFrame:
-    """Add unit vectors; the same embedder must serve stored texts and questions."""
+    """Add unit vectors; the same embedder must serve stored texts and questions.
+
+    Sets ``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``TEXT_BATCH`` if it is larger: a batch is whole texts.
+    """
+    bound_batches(df.sparkSession, TEXT_BATCH)
     return df.withColumn(out, embedder(F.col(text)))
 
 
@@ -53,21 +59,30 @@ class _Best:
         self.qids, self.asked, self.k = qids, asked, k
         self.who = self.ords = np.empty(0, dtype=np.int64)
         self.scores = np.empty(0)
+        self.floor = np.full(len(qids), -np.inf)  # the k-th best score so far
+
+    def _reaching(self, at: int, rows: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Question, score and ord of the products that may be among the best, of the questions from ``at``."""
+        asked = self.asked[at : at + max(1, _PRODUCTS // len(rows))]
+        scores = np.round(asked @ block.T, SCORE_DIGITS)
+        least = self.floor[at : at + len(asked), None]
+        if len(rows) > self.k:
+            # everything at or above the k-th score stays, so ties are settled by ord later
+            least = np.maximum(least, np.partition(scores, len(rows) - self.k, axis=1)[:, [len(rows) - self.k]])
+        who, row = np.nonzero(scores >= least)
+        return who + at, scores[who, row], rows[row]
 
     def offer(self, ords: np.ndarray, stored: np.ndarray) -> None:
         for at in range(0, len(ords), _ROWS):
             rows, block = ords[at : at + _ROWS], stored[at : at + _ROWS]
-            scores = np.round(self.asked @ block.T, SCORE_DIGITS)
-            if len(rows) > self.k:
-                # everything at or above the k-th score stays, so ties are settled by ord below
-                who, row = np.nonzero(scores >= np.partition(scores, len(rows) - self.k, axis=1)[:, [len(rows) - self.k]])
-            else:
-                who, row = np.nonzero(np.ones(scores.shape, dtype=bool))
-            who, score, met = (np.concatenate(c) for c in ((self.who, who), (self.scores, scores[who, row]), (self.ords, rows[row])))
+            met = [self._reaching(q, rows, block) for q in range(0, len(self.qids), max(1, _PRODUCTS // len(rows)))]
+            who, score, met = (np.concatenate(c) for c in zip((self.who, self.scores, self.ords), *met))
             order = np.lexsort((met, -score, who))
             first = np.searchsorted(who[order], np.arange(len(self.qids)))
-            order = order[np.arange(len(order)) - first[who[order]] < self.k]
+            place = np.arange(len(order)) - first[who[order]]
+            order, last = order[place < self.k], order[place == self.k - 1]
             self.who, self.scores, self.ords = who[order], score[order], met[order]
+            self.floor[who[last]] = score[last]
 
     def batches(self, user: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
@@ -183,13 +198,16 @@ def _nearest_cells(df: DataFrame, centroids: np.ndarray, many: int) -> DataFrame
     """``df(user, <id>, embedding)`` with the ``cells`` (array) of its ``many`` best centroids, nearest first."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)
     many = min(many, len(centroids))
+    step = max(1, min(_ROWS, _PRODUCTS // len(centroids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 scores = np.round(_matrix(part.column(2)) @ shared.value.T, SCORE_DIGITS)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :many].astype(np.int32)
+                # of equal scores the first cell counts in both
+                best = scores.argmax(axis=1)[:, None] if many == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :many]
+                best = best.astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, many), pa.int32()), pa.array(best.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, cells], [*part.schema.names, "cells"])
 

@@ -79,6 +79,13 @@ def finished_parts(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(found)
 
 
+def bound_batches(spark: SparkSession, rows: int) -> None:
+    """Hand Python at most ``rows`` rows at a time from now on, for columns of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` has at most ``max_rows`` rows holding at most ``max_bytes`` of values.
 

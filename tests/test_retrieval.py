@@ -81,6 +81,44 @@ def test_block_search_deals_work_by_chunks(spark, monkeypatch):
     assert L._tasks(by_block.lexical.stats) == 30
 
 
+def test_best_of_many_questions_holds_few_products(monkeypatch):
+    rng = np.random.default_rng(5)
+    stored, asked = np.round(rng.standard_normal((300, 4)), 1), np.round(rng.standard_normal((50, 4)), 1)
+    monkeypatch.setattr(D, "_ROWS", 64)
+    monkeypatch.setattr(D, "_PRODUCTS", 640)
+    best = D._Best(np.arange(50) * 3, asked, 7)
+    held = []
+    monkeypatch.setattr(D.np, "partition", lambda a, *x, _f=np.partition, **kw: held.append(a.size) or _f(a, *x, **kw))
+    best.offer(np.arange(300)[::-1].copy(), stored[::-1])
+    want = np.round(asked @ stored.T, 9)
+    for q in range(50):
+        mine = [(int(o), float(s)) for w, o, s in zip(best.who, best.ords, best.scores) if w == q]
+        assert mine == [(int(o), float(want[q, o])) for o in np.lexsort((np.arange(300), -want[q]))[:7]]
+    assert max(held) <= 640
+
+
+def test_cells_are_found_in_bounded_batches(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("u", i, [float(x) for x in np.round(rng.standard_normal(4), 1)]) for i in range(40)]
+    sdf = spark.createDataFrame(rows, "user string, ord long, embedding array<float>")
+    centroids = np.array([r[2] for r in rows[:10]])
+    whole = [sorted((r.ord, tuple(r.cells)) for r in D._nearest_cells(sdf, centroids, n).collect()) for n in (1, 3)]
+    monkeypatch.setattr(D, "_PRODUCTS", 70)
+    assert whole == [sorted((r.ord, tuple(r.cells)) for r in D._nearest_cells(sdf, centroids, n).collect()) for n in (1, 3)]
+    assert all(one[1][0] == three[1][0] for one, three in zip(*whole))
+
+
+def test_embedding_hands_over_few_texts(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        D.embed(spark.createDataFrame([("a",)], "text string"), hashed_tf_embedder())
+        assert 0 < int(spark.conf.get(name)) <= D.TEXT_BATCH
+    finally:
+        spark.conf.set(name, before)
+
+
 def check_bm25(spark, by_user, k=6):
     asked = [(u, i, q) for u in by_user for i, q in enumerate(QUERIES)]
     queries = spark.createDataFrame(asked, "user string, qid long, text string")
