@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.functions.models import overlap_scorer
 from folioscope.operators import context as C
+from folioscope.operators import lexical as L
 from folioscope.operators import conversation as V
 from folioscope.operators.recall import candidate_pairs
 from folioscope.plans import bindings as B
@@ -24,9 +25,9 @@ _NEED = (
 )
 
 
-def final_chunks(spark, sf):
+def final_chunks(spark, sf, index=None):
     """Final five of every question with ids and whole text."""
-    final = R.shipped(spark, sf).final.drop("config")
+    final = R.shipped(spark, sf, index).final.drop("config")
     return with_chunk(final, B.chunks_with_ids(spark, sf), ["source", "chunk_id", "text"])
 
 
@@ -113,8 +114,9 @@ def sources_footer(spark, sf):
        SELECT qid, k + (SELECT max(rank) FROM fin f WHERE f.qid = fresh.qid), chunk_id FROM fresh""",
 )
 def merged_sources(spark, sf):
-    existing = final_chunks(spark, sf).select("qid", "rank", "chunk_id")
-    late = with_chunk(R.bm25_top(spark, sf, 5), B.chunks_with_ids(spark, sf), ["chunk_id"])
+    index = L.build_index(B.chunks(spark, sf))  # both searches read it
+    existing = final_chunks(spark, sf, index).select("qid", "rank", "chunk_id")
+    late = with_chunk(R.bm25_top(spark, sf, 5, index), B.chunks_with_ids(spark, sf), ["chunk_id"])
     return C.merge_sources(existing, late.select("qid", "rank", "chunk_id"))
 
 

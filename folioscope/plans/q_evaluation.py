@@ -326,8 +326,9 @@ _NEAR = [
 def id_ranks(spark, sf):
     """The second lexical hit of a question serves as its gold id."""
     chunks = B.chunks_with_ids(spark, sf)
-    ranked = with_chunk(R.shipped(spark, sf).ranked, chunks, ["chunk_id"]).select("qid", "rank", "chunk_id")
-    gold = with_chunk(R.bm25_top(spark, sf).where("rank = 2"), chunks, ["chunk_id"]).select("qid", "chunk_id")
+    index = L.build_index(B.chunks(spark, sf))  # both searches read it
+    ranked = with_chunk(R.shipped(spark, sf, index).ranked, chunks, ["chunk_id"]).select("qid", "rank", "chunk_id")
+    gold = with_chunk(R.bm25_top(spark, sf, index=index).where("rank = 2"), chunks, ["chunk_id"]).select("qid", "chunk_id")
     around = gold.select("qid", F.explode(M.neighbour_ids(F.col("chunk_id"))).alias("chunk_id"))
     return (
         gold.select("qid")

@@ -42,8 +42,8 @@ def bm25_score_summary(spark, sf):
     )
 
 
-def bm25_top(spark, sf, k=10):
-    return L.bm25_top_k(L.build_index(B.chunks(spark, sf)), B.questions(spark, sf), k)
+def bm25_top(spark, sf, k=10, index=None):
+    return L.bm25_top_k(index or L.build_index(B.chunks(spark, sf)), B.questions(spark, sf), k)
 
 
 @register(
@@ -221,12 +221,12 @@ def all_configs(spark, sf, configs=tuple(CONFIGS)):
     )
 
 
-def shipped(spark, sf):
+def shipped(spark, sf, index=None):
     vectors, asked = dense_inputs(spark, sf)
     chunks = B.chunks(spark, sf)
     return retrieve(
         B.questions(spark, sf), chunks, CONFIGS[3],
-        index=L.build_index(chunks), vectors=vectors, query_vectors=asked,
+        index=index or L.build_index(chunks), vectors=vectors, query_vectors=asked,
     )
 
 

@@ -3,6 +3,7 @@
 import pytest
 from oracle_check import compare, connect
 
+from folioscope.operators import lexical as L
 from folioscope.plans import catalog
 
 QUICK = [
@@ -21,3 +22,11 @@ def test_every_sql_has_its_query():
 def test_matches_sql(spark, sf, name):
     verdict, _, diff = compare(spark, connect(sf), sf, catalog.QUERIES[name], catalog.SQL[name])
     assert verdict == "match", diff
+
+
+@pytest.mark.parametrize("name", ["merged_sources", "id_ranks"])
+def test_two_searches_read_one_index(spark, monkeypatch, name):
+    built = []
+    monkeypatch.setattr(L, "build_index", lambda *a, _f=L.build_index, **kw: built.append(1) or _f(*a, **kw))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(built) == 1
