@@ -9,24 +9,23 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.markup import normalize_markup
+from folioscope.functions.tokens import split_rows
 
 Embedder = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]
 
-_TOKEN = re.compile(r"[a-z0-9]+")
+_BLANKED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 
 def embedder_from_model(load: Callable[[], Callable[[list[str]], np.ndarray]], normalize: bool = True) -> Embedder:
@@ -63,16 +62,16 @@ def hashed_tf_embedder(dim: int = 64) -> Embedder:
     """Default embedder: counts of alphanumeric tokens hashed onto ``dim`` axes, unit length."""
 
     def load() -> Callable[[list[str]], np.ndarray]:
-        @lru_cache(maxsize=50_000)
-        def axis(token: str) -> int:
-            return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for row, text in enumerate(texts):
-                for token, n in Counter(_TOKEN.findall(text.lower())).items():
-                    out[row, axis(token)] += n
-            return out
+            # all bytes of a character beyond ASCII are blanks, as it is no part of a token
+            blanked = pa.array([text.lower().encode("utf-8", "replace").translate(_BLANKED) for text in texts], pa.binary()).cast(pa.string())
+            tokens, rows = split_rows(blanked)
+            coded = tokens.dictionary_encode()
+            # the first four bytes of a token's md5; each distinct token of the batch is hashed once
+            digests = b"".join([hashlib.md5(token).digest() for token in coded.dictionary.cast(pa.binary()).to_pylist()])
+            axes = np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) % dim
+            at = rows * dim + axes[coded.indices.to_numpy()]
+            return np.bincount(at, minlength=len(texts) * dim).astype(np.float64).reshape(len(texts), dim)
 
         return encode
 

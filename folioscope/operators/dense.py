@@ -34,8 +34,8 @@ PROBED = 0.075  # share of the cells that a question meets
 _ROWS = 8_192  # stored vectors multiplied at a time
 _PRODUCTS = 1 << 21  # products held at a time, whatever the number of questions or cells
 TEXT_BATCH = 500  # texts that an embedder is handed at a time
-_OUT = "user string, qid long, ord long, score double"
-_OUT_ARROW = pa.schema([("user", pa.string()), ("qid", pa.int64()), ("ord", pa.int64()), ("score", pa.float64())])
+OUT = "user string, qid long, ord long, score double"
+OUT_ARROW = pa.schema([("user", pa.string()), ("qid", pa.int64()), ("ord", pa.int64()), ("score", pa.float64())])
 
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "embedding") -> DataFrame:
@@ -61,11 +61,14 @@ class _Best:
         self.scores = np.empty(0)
         self.floor = np.full(len(qids), -np.inf)  # the k-th best score so far
 
-    def _reaching(self, at: int, rows: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def products(self, at: int, upto: int, block) -> np.ndarray:
+        """Scores of the questions ``at`` to ``upto`` (rows) for the block's rows (columns)."""
+        return self.asked[at:upto] @ block.T
+
+    def _reaching(self, at: int, rows: np.ndarray, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Question, score and ord of the products that may be among the best, of the questions from ``at``."""
-        asked = self.asked[at : at + max(1, _PRODUCTS // len(rows))]
-        scores = np.round(asked @ block.T, SCORE_DIGITS)
-        least = self.floor[at : at + len(asked), None]
+        scores = np.round(self.products(at, min(len(self.qids), at + max(1, _PRODUCTS // len(rows))), block), SCORE_DIGITS)
+        least = self.floor[at : at + len(scores), None]
         if len(rows) > self.k:
             # everything at or above the k-th score stays, so ties are settled by ord later
             least = np.maximum(least, np.partition(scores, len(rows) - self.k, axis=1)[:, [len(rows) - self.k]])
@@ -74,15 +77,17 @@ class _Best:
 
     def offer(self, ords: np.ndarray, stored: np.ndarray) -> None:
         for at in range(0, len(ords), _ROWS):
-            rows, block = ords[at : at + _ROWS], stored[at : at + _ROWS]
-            met = [self._reaching(q, rows, block) for q in range(0, len(self.qids), max(1, _PRODUCTS // len(rows)))]
-            who, score, met = (np.concatenate(c) for c in zip((self.who, self.scores, self.ords), *met))
-            order = np.lexsort((met, -score, who))
-            first = np.searchsorted(who[order], np.arange(len(self.qids)))
-            place = np.arange(len(order)) - first[who[order]]
-            order, last = order[place < self.k], order[place == self.k - 1]
-            self.who, self.scores, self.ords = who[order], score[order], met[order]
-            self.floor[who[last]] = score[last]
+            self.take(ords[at : at + _ROWS], stored[at : at + _ROWS])
+
+    def take(self, rows: np.ndarray, block) -> None:
+        met = [self._reaching(q, rows, block) for q in range(0, len(self.qids), max(1, _PRODUCTS // len(rows)))]
+        who, score, met = (np.concatenate(c) for c in zip((self.who, self.scores, self.ords), *met))
+        order = np.lexsort((met, -score, who))
+        first = np.searchsorted(who[order], np.arange(len(self.qids)))
+        place = np.arange(len(order)) - first[who[order]]
+        order, last = order[place < self.k], order[place == self.k - 1]
+        self.who, self.scores, self.ords = who[order], score[order], met[order]
+        self.floor[who[last]] = score[last]
 
     def batches(self, user: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
@@ -90,7 +95,7 @@ class _Best:
                 pa.array([user] * len(self.who), pa.string()), pa.array(self.qids[self.who], pa.int64()),
                 pa.array(self.ords, pa.int64()), pa.array(self.scores, pa.float64()),
             ],
-            schema=_OUT_ARROW,
+            schema=OUT_ARROW,
         )
 
 
@@ -111,11 +116,11 @@ def _search_broadcast(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iter
 
 def _search_blocks(stored: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     if not stored.num_rows or not asked.num_rows:
-        return _OUT_ARROW.empty_table()
+        return OUT_ARROW.empty_table()
     stored, asked = stored.combine_chunks(), asked.combine_chunks()
     best = _Best(asked.column("qid").to_numpy(), _matrix(asked.column("embedding").combine_chunks()), k)
     best.offer(stored.column("ord").to_numpy(), _matrix(stored.column("embedding").combine_chunks()))
-    return pa.Table.from_batches(list(best.batches(stored.column("user")[0].as_py())), _OUT_ARROW)
+    return pa.Table.from_batches(list(best.batches(stored.column("user")[0].as_py())), OUT_ARROW)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -136,7 +141,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for u in {r[0] for r in rows}
         }
         shared = vectors.sparkSession.sparkContext.broadcast(packed)
-        found = stored.mapInArrow(partial(_search_broadcast, shared=shared, k=k), _OUT)
+        found = stored.mapInArrow(partial(_search_broadcast, shared=shared, k=k), OUT)
     else:
         slices = max(1, -(-stored.count() // VECTOR_SLICE))
         blocks = max(1, -(-asked.count() // QUERY_BLOCK))
@@ -156,7 +161,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         found = (
             left.groupBy(*keys)
             .cogroup(right.groupBy(*keys))
-            .applyInArrow(lambda a, b: _search_blocks(a, b, k), _OUT)
+            .applyInArrow(lambda a, b: _search_blocks(a, b, k), OUT)
         )
     return top_k(found, ["user", "qid"], [F.col("score").desc(), F.col("ord").asc()], k)
 
@@ -248,7 +253,7 @@ def dense_top_k_approx(index: CellIndex, queries: DataFrame, k: int, probed: flo
     right = asked.join(plan, ["user", "cell"]).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "blocks")
     keys = ["user", "cell", "part", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search_blocks(a, b, k), _OUT)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search_blocks(a, b, k), OUT)
     return top_k(found, ["user", "qid"], [F.col("score").desc(), F.col("ord").asc()], k)
 
 

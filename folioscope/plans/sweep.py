@@ -79,7 +79,8 @@ def sweep(
 
     lists = []
     if any(c.use_bm25 for c in configs):
-        index = L.LexicalIndex(*[_all_of([getattr(i, f.name) for i in indexes]) for f in fields(L.LexicalIndex)])
+        tables = {f.name: [getattr(i, f.name) for i in indexes] for f in fields(L.LexicalIndex)}
+        index = L.LexicalIndex(**{name: None if None in parts else _all_of(parts) for name, parts in tables.items()})
         # the lexical lists do not depend on the embedder: searched once, at most ``depth`` rows a question are copied
         lists.append(per_embedder(L.bm25_top_k(index, by_chunker, depth)).withColumn("retriever", F.lit("bm25")))
     if any(c.use_dense for c in configs):

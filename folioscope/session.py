@@ -67,6 +67,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def finished_parts(spark: SparkSession, path: str, name: str) -> list[int]:
     """Numbers of the tables ``path/name=<number>`` that are written to their end, as their success mark says."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
