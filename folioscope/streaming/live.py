@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -74,39 +76,79 @@ def live_ratings(events: DataFrame) -> DataFrame:
     )
 
 
-def rating_changes(events: DataFrame, late: str = "10 minutes", keep: timedelta = timedelta(days=7)) -> DataFrame:
+BUCKETS = 4_096  # rows that the state of ratings is dealt to
+
+
+def _packed(events: np.ndarray, us: np.ndarray, ratings: np.ndarray) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array(events, pa.string()), pa.array(us, pa.int64()), pa.array(ratings, pa.string())], names=["event", "us", "rating"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(state: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    batch = pa.ipc.open_stream(bytes(state)).read_next_batch()
+    return tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in range(3))
+
+
+def rating_changes(
+    events: DataFrame, late: str = "10 minutes", keep: timedelta = timedelta(days=7), buckets: int = BUCKETS
+) -> DataFrame:
     """A stream of ``event_id, rating, at``: one row whenever the current rating of an event becomes another or newer one.
 
     The state of an event is its newest rating by ``ts``, whatever the order of arrival; of equal times the later batch counts, within
     a batch the greater rating. A timer frees it once the watermark has passed that time by ``keep``. What comes after
     that and is older is behind the watermark and dropped, so a freed event cannot fall back to an older rating. Rows without an
     event, a rating or a readable time are ignored.
+
+    Events are dealt to ``buckets`` by a hash, and a bucket's events are settled by column in one call, as a call an event
+    costs far more than its rows. A stream that is started again needs the number of buckets it began with.
     """
     linger = int(keep.total_seconds() * 1000)
 
     def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = tuple(state.get) if state.exists else None
-        newest = max((row for rows in batches for row in zip(rows["us"], rows["rating"])), default=None)
-        if newest is not None and (known is None or newest[0] >= known[0]):
-            at, rating = int(newest[0]), str(newest[1])
-            state.update((at, rating))
-            if (at, rating) != known:
-                yield pd.DataFrame({"event_id": [key[0]], "rating": [rating], "us": [at]})
+        watermark = state.getCurrentWatermarkMs()
         if state.exists:
-            state.setTimeoutTimestamp(max(state.get[0] // 1000 + linger, state.getCurrentWatermarkMs() + 1))
+            ids, us, ratings = _unpacked(state.get[0])
+            live = us // 1000 + linger >= watermark
+            ids, us, ratings = ids[live], us[live], ratings[live]
+        else:
+            ids, us, ratings = np.empty(0, object), np.empty(0, np.int64), np.empty(0, object)
+        changed = None
+        if not state.hasTimedOut:
+            rows = pd.concat([rows[["event_id", "us", "rating"]] for rows in batches])
+            rows = rows.sort_values(["us", "rating"]).drop_duplicates("event_id", keep="last")
+            found = pd.Index(ids, dtype=object).get_indexer(rows["event_id"])
+            new = (found < 0).copy()
+            later = new.copy()
+            at = found[~new]
+            new_us, new_ratings = rows["us"].to_numpy(np.int64), rows["rating"].to_numpy(object)
+            same = (new_us[~new] == us[at]) & (new_ratings[~new] == ratings[at])
+            later[~new] = (new_us[~new] >= us[at]) & ~same
+            changed = rows[later]
+            us, ratings = us.copy(), ratings.copy()
+            known = later & ~new
+            us[found[known]], ratings[found[known]] = new_us[known], new_ratings[known]
+            ids = np.concatenate([ids, rows["event_id"].to_numpy(object)[new]])
+            us, ratings = np.concatenate([us, new_us[new]]), np.concatenate([ratings, new_ratings[new]])
+        if len(ids):
+            state.update((_packed(ids, us, ratings),))
+            state.setTimeoutTimestamp(max(int(us.min()) // 1000 + linger, watermark + 1))
+        elif state.exists:
+            state.remove()
+        if changed is not None and len(changed):
+            yield changed[["event_id", "rating", "us"]]
 
     rated = (
         events.where("kind = 'feedback'")
         .select("event_id", "rating", F.expr("try_to_timestamp(ts)").alias("at"))
         .where("event_id is not null and rating is not null and at is not null")
         .withWatermark("at", late)
-        .withColumn("us", F.unix_micros("at"))
+        .withColumns({"us": F.unix_micros("at"), "bucket": F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int")})
     )
-    changes = rated.groupBy("event_id").applyInPandasWithState(
-        settle, "event_id string, rating string, us long", "us long, rating string", "update", "EventTimeTimeout"
+    changes = rated.groupBy("bucket").applyInPandasWithState(
+        settle, "event_id string, rating string, us long", "newest binary", "update", "EventTimeTimeout"
     )
     return changes.select("event_id", "rating", F.timestamp_micros("us").alias("at"))
 
