@@ -94,11 +94,12 @@ class OverlapScorer:
         return F.round(1 / (1 + F.exp(-F.lit(self.steepness) * (share - F.lit(self.midpoint)))), 9)
 
     def __call__(self, query: Column, text: Column) -> Column:
-        wanted = T.alnum_set(query)
+        return self.of_sets(T.alnum_set(query), T.alnum_set(text))
+
+    def of_sets(self, wanted: Column, held: Column) -> Column:
+        """The score of token sets made before, for tables that meet the same text many times."""
         return self.of_share(
-            F.when(
-                F.size(wanted) > 0, F.size(F.array_intersect(wanted, T.alnum_set(text))) / F.size(wanted)
-            ).otherwise(F.lit(0.0))
+            F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, held)) / F.size(wanted)).otherwise(F.lit(0.0))
         )
 
     def needs_a_token(self, floor: float) -> bool:

@@ -23,14 +23,14 @@ def floor_pairs(
     if isinstance(scorer, OverlapScorer) and scorer.needs_a_token(floor):
         pairs = candidate_pairs(questions, items, text, scorer, floor, item_key)
     else:
-        pairs = join_items(questions, items, "user", item_key)
-    return pairs.withColumn("score", scorer(F.col("text"), F.col(text))).where(F.col("score") >= floor)
+        pairs = join_items(questions, items, "user", item_key).withColumn("score", scorer(F.col("text"), F.col(text)))
+    return pairs.where(F.col("score") >= floor)
 
 
 def rare_tokens(
     questions: DataFrame, items: DataFrame, text: str, scorer: OverlapScorer, floor: float, item_key: str
 ) -> DataFrame:
-    """Per question the tokens of which a text above the floor holds at least one: ``user, qid, text, _rare``.
+    """Per question the tokens of which a text above the floor holds at least one, and all of them: ``user, qid, text, _rare, _q``.
 
     A text that must hold ``h`` of ``n`` tokens misses at most ``n - h``, so it holds one of any ``n - h + 1``: the rarest
     ones among the user's items are taken. Tokens no item holds are the rarest of all and need no join.
@@ -44,27 +44,28 @@ def rare_tokens(
     )
     spare = F.size("_found") - scorer.least_hits(F.col("_n"), floor) + 1
     rare = F.slice(F.col("_found._word"), F.lit(1), F.greatest(spare, F.lit(0)))
-    return found.select("user", "qid", rare.alias("_rare")).join(questions.select("user", "qid", "text"), ["user", "qid"])
+    return found.select("user", "qid", rare.alias("_rare")).join(asked, ["user", "qid"])
 
 
 def candidate_pairs(
     questions: DataFrame, items: DataFrame, text: str, scorer: OverlapScorer, floor: float, item_key: str
 ) -> DataFrame:
-    """Every (question, item) pair that can reach ``floor``, once: ``items`` with ``qid`` and the question's ``text``.
+    """Every (question, item) pair that can reach ``floor``, once: ``items`` with ``qid``, the question's ``text`` and the ``score``.
 
     Pairs meet by an equality join on (user, rare token). If the questions' rare tokens can be shipped, the items never move
     and a pair is made at the first rare token it shares. Otherwise keys alone are joined, salted by item, and the
-    distinct pairs fetch their texts.
+    distinct pairs fetch their texts. Tokens are taken from a question and from an item once, not once a pair.
     """
     rare = cut_lineage(rare_tokens(questions, items, text, scorer, floor, item_key))
     keys = rare.withColumn("_word", F.explode("_rare"))
+    columns = ["qid", "text", *[c for c in items.columns if c != "score"], scorer.of_sets(F.col("_q"), F.col("_held")).alias("score")]
+    tokens = items.withColumn("_held", T.alnum_set(F.col(text)))
     if session.fits_broadcast(keys):
-        spread = items.withColumn("_held", T.alnum_set(F.col(text))).withColumn("_word", F.explode("_held"))
-        met = spread.join(F.broadcast(keys), ["user", "_word"])
+        met = tokens.withColumn("_word", F.explode("_held")).join(F.broadcast(keys), ["user", "_word"])
         first = F.get(F.array_intersect("_rare", "_held"), F.lit(0))
-        return met.where(first == F.col("_word")).select("qid", "text", *items.columns)
+        return met.where(first == F.col("_word")).select(*columns)
     held = items.select("user", item_key, F.explode(T.alnum_set(F.col(text))).alias("_word"))
     pairs = meet(held, keys.select("user", "qid", "_word"), ["user", "_word"], item_key)
     pairs = pairs.select("user", "qid", item_key).distinct()
-    both = meet(pairs, rare.select("user", "qid", "text"), ["user", "qid"], item_key)
-    return both.join(items, ["user", item_key]).select("qid", "text", *items.columns)
+    both = meet(pairs, rare.select("user", "qid", "text", "_q"), ["user", "qid"], item_key)
+    return both.join(tokens, ["user", item_key]).select(*columns)

@@ -241,7 +241,7 @@ def recall_pairs(spark, sf):
     out = None
     for kind, (items, text, key) in kinds.items():
         met = candidate_pairs(asked, items, text, scorer, FLOOR, key)
-        kept = F.coalesce(scorer(F.col("text"), F.col(text)) >= FLOOR, F.lit(False))
+        kept = F.col("score") >= FLOOR
         pairs = met.agg(F.count(F.lit(1)).alias("n_met"), F.sum(kept.cast("long")).alias("n_kept"))
         sizes = items.groupBy("user").agg(F.count(F.lit(1)).alias("items")).join(
             asked.groupBy("user").agg(F.count(F.lit(1)).alias("asked")), "user"
