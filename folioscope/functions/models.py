@@ -7,10 +7,10 @@ pandas UDFs are interchangeable and compose.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,31 +19,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.functions.markup import normalize_markup
+from folioscope.functions.markup import normalize_marked, normalize_markup
 from folioscope.functions.tokens import split_rows
 
+try:  # without the set-up of the library's cryptography, which takes longer than a token
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 Embedder = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]
 
 _BLANKED = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+_KEPT_TOKENS, _KEPT_BYTES = 1 << 17, 32  # tokens whose hashes a worker keeps, and the longest of them
+
+_hashes: dict[bytes, int] = {}
+_last: list = [None, None]  # the texts a worker tokenised last, and their tokens
 
 
 def embedder_from_model(load: Callable[[], Callable[[list[str]], np.ndarray]], normalize: bool = True) -> Embedder:
-    """Embedder around a model: ``load`` runs once per task, its result encodes lists of texts."""
+    """Embedder around a model: ``load`` runs once per task, its result encodes lists of texts.
+
+    Its ``encoder`` makes the same vectors of lists of texts, for tasks that run several embedders over one batch.
+    """
+    encoder = partial(_encoder, load, normalize)
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        vectors_of = encoder()
         for texts in batches:
-            vectors = np.asarray(model(texts.fillna("").tolist()), dtype=np.float64)
-            if normalize and len(vectors):
-                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-            yield pd.Series(list(vectors.astype(np.float32)), index=texts.index)
+            yield pd.Series(list(vectors_of(texts.fillna("").tolist())), index=texts.index)
 
+    encode.encoder = encoder
     return encode
 
 
+def _encoder(load: Callable[[], Callable[[list[str]], np.ndarray]], normalize: bool) -> Callable[[list[str]], np.ndarray]:
+    model = load()
+
+    def vectors_of(texts: list[str]) -> np.ndarray:
+        vectors = np.asarray(model(texts), dtype=np.float64)
+        if normalize and len(vectors):
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+        return vectors.astype(np.float32)
+
+    return vectors_of
+
+
 def scorer_from_model(load: Callable[[], Callable[[list[tuple[str, str]]], np.ndarray]], batch: int = 32) -> Scorer:
     """Scorer around a joint (query, text) model, called with at most ``batch`` pairs at a time."""
 
@@ -58,29 +81,62 @@ def scorer_from_model(load: Callable[[], Callable[[list[tuple[str, str]]], np.nd
     return score
 
 
+def _hashes_of(words: pa.Array) -> np.ndarray:
+    """The first four bytes of each word's md5; those of short words are kept for the next batch."""
+    if not len(words):
+        return np.empty(0, dtype=np.int64)
+    # slices of the column's bytes: a Python object made by Arrow for each word takes several times as long
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).tolist()
+    raw = words.buffers()[2].to_pybytes()
+    tokens = [raw[a:b] for a, b in zip(ends, ends[1:])]
+    found = list(map(_hashes.get, tokens))
+    for n in [n for n, known in enumerate(found) if known is None]:
+        found[n] = int.from_bytes(md5(tokens[n]).digest()[:4], "big")
+        if len(tokens[n]) <= _KEPT_BYTES:
+            if len(_hashes) >= _KEPT_TOKENS:
+                _hashes.clear()
+            _hashes[tokens[n]] = found[n]
+    return np.array(found, dtype=np.int64)
+
+
+def _hashed_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each alphanumeric token. Embedders handed the same list share what the first of them found."""
+    if _last[0] is not texts:
+        # all bytes of a character beyond ASCII are blanks, as it is no part of a token
+        blanked = pa.array([text.lower().encode("utf-8", "replace").translate(_BLANKED) for text in texts], pa.binary()).cast(pa.string())
+        tokens, rows = split_rows(blanked)
+        coded = tokens.dictionary_encode()
+        # each distinct token of the batch is hashed once
+        _last[:] = texts, (rows, _hashes_of(coded.dictionary)[coded.indices.to_numpy()])
+    return _last[1]
+
+
 def hashed_tf_embedder(dim: int = 64) -> Embedder:
     """Default embedder: counts of alphanumeric tokens hashed onto ``dim`` axes, unit length."""
 
     def load() -> Callable[[list[str]], np.ndarray]:
         def encode(texts: list[str]) -> np.ndarray:
-            # all bytes of a character beyond ASCII are blanks, as it is no part of a token
-            blanked = pa.array([text.lower().encode("utf-8", "replace").translate(_BLANKED) for text in texts], pa.binary()).cast(pa.string())
-            tokens, rows = split_rows(blanked)
-            coded = tokens.dictionary_encode()
-            # the first four bytes of a token's md5; each distinct token of the batch is hashed once
-            digests = b"".join([hashlib.md5(token).digest() for token in coded.dictionary.cast(pa.binary()).to_pylist()])
-            axes = np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) % dim
-            at = rows * dim + axes[coded.indices.to_numpy()]
+            rows, hashes = _hashed_tokens(texts)
+            at = rows * dim + hashes % dim
             return np.bincount(at, minlength=len(texts) * dim).astype(np.float64).reshape(len(texts), dim)
 
         return encode
 
-    return embedder_from_model(load)
+    embedder = embedder_from_model(load)
+    embedder.ignores_blanks = True
+    return embedder
 
 
 def normalizing(embedder: Embedder, normalize: Callable[[Column], Column] = normalize_markup) -> Embedder:
     """Wrap an embedder so that only what it encodes is normalised; stored text stays raw."""
-    return lambda c: embedder(normalize(c))
+    if normalize is normalize_markup and getattr(embedder, "ignores_blanks", False):
+        normalize = normalize_marked
+
+    def encode(c: Column) -> Column:
+        return embedder(normalize(c))
+
+    encode.encoder, encode.reads = getattr(embedder, "encoder", None), normalize
+    return encode
 
 
 @dataclass(frozen=True)

@@ -11,12 +11,14 @@ nearest one, and a question only meets the vectors of the few cells nearest to i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,60 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "emb
     return df.withColumn(out, embedder(F.col(text)))
 
 
+def _pack(batches: Iterator[pa.RecordBatch], encoders: list, spent: list[Accumulator]) -> Iterator[pa.RecordBatch]:
+    """Each of ``encoders`` is a model's number, what loads it and the column of texts it reads, from 2."""
+    models = {model: load() for model, load, _ in encoders}
+    for batch in batches:
+        texts: dict[int, list[str]] = {}
+        made: dict[int, tuple[int, np.ndarray]] = {}
+        columns = []
+        for (model, _, at), seconds in zip(encoders, spent):
+            begun = time.perf_counter()
+            if at not in texts:  # models of one column get the same list
+                texts[at] = [text or "" for text in batch.column(at).to_pylist()]
+            if model in made:
+                # a text that is the same in the other column it has read has the same vector
+                other, vectors = made[model]
+                new = [n for n, (a, b) in enumerate(zip(texts[at], texts[other])) if a != b]
+                vectors = vectors.copy()
+                if new:
+                    vectors[new] = models[model]([texts[at][n] for n in new])
+            else:
+                vectors = np.ascontiguousarray(models[model](texts[at]), dtype="<f4")
+                made[model] = at, vectors
+            width = vectors.itemsize * (vectors.shape[1] if len(vectors) else 0)
+            ends = pa.py_buffer(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            columns.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(vectors)]))
+            seconds.add(time.perf_counter() - begun)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["user", "ord", *[f"e{n}" for n in range(len(columns))]])
+
+
+def embed_all(df: DataFrame, embedders: Sequence[Embedder]) -> tuple[DataFrame, list[Accumulator]]:
+    """``df(user, ord, text)`` → ``user, ord, e0, e1, ..``: the vectors of every embedder as the bytes of their floats, from one
+    pass over the texts, and the seconds the tasks spend on each. All embedders have an ``encoder``.
+
+    Sets ``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``TEXT_BATCH`` if it is larger.
+    """
+    spark = df.sparkSession
+    bound_batches(spark, TEXT_BATCH)
+    columns, encoders, read, models = [F.col("user").cast("string"), F.col("ord").cast("long")], [], {}, {}
+    for e in embedders:
+        reads = getattr(e, "reads", None)
+        if reads not in read:
+            read[reads] = len(columns)
+            columns.append((reads(F.col("text")) if reads else F.col("text")).alias(f"t{len(columns)}"))
+        encoders.append((models.setdefault(id(e.encoder), len(models)), e.encoder, read[reads]))
+    spent = [spark.sparkContext.accumulator(0.0) for _ in encoders]
+    kinds = ", ".join(f"e{n} binary" for n in range(len(encoders)))
+    return df.select(*columns).mapInArrow(partial(_pack, encoders=encoders, spent=spent), f"user string, ord long, {kinds}"), spent
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array of numbers, or of the bytes of floats."""
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+        floats = np.frombuffer(column.buffers()[2], "<f4", (ends[-1] - ends[0]) // 4, ends[0])
+        return floats.astype(np.float64).reshape(len(column), -1)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -68,11 +123,12 @@ class _Best:
     def _reaching(self, at: int, rows: np.ndarray, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Question, score and ord of the products that may be among the best, of the questions from ``at``."""
         scores = np.round(self.products(at, min(len(self.qids), at + max(1, _PRODUCTS // len(rows))), block), SCORE_DIGITS)
-        least = self.floor[at : at + len(scores), None]
-        if len(rows) > self.k:
+        least = self.floor[at : at + len(scores)].copy()
+        many = np.flatnonzero(np.count_nonzero(scores >= least[:, None], axis=1) > self.k)
+        if len(many):
             # everything at or above the k-th score stays, so ties are settled by ord later
-            least = np.maximum(least, np.partition(scores, len(rows) - self.k, axis=1)[:, [len(rows) - self.k]])
-        who, row = np.nonzero(scores >= least)
+            least[many] = np.partition(scores[many], len(rows) - self.k, axis=1)[:, len(rows) - self.k]
+        who, row = np.nonzero(scores >= least[:, None])
         return who + at, scores[who, row], rows[row]
 
     def offer(self, ords: np.ndarray, stored: np.ndarray) -> None:
@@ -127,7 +183,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact ``k`` nearest by dot product of unit vectors (same order as squared L2).
 
     ``vectors(user, ord, embedding)``, ``queries(user, qid, embedding)`` →
-    ``(user, qid, ord, score, rank)``; ties go to the lower ``ord``.
+    ``(user, qid, ord, score, rank)``; ties go to the lower ``ord``. An embedding is an array or, as of :func:`embed_all`, bytes.
     """
     stored = vectors.select("user", F.col("ord").cast("long"), "embedding")
     asked = queries.select("user", F.col("qid").cast("long"), "embedding")

@@ -456,7 +456,8 @@ def false_positive_arm(spark, sf):
 
 def swept_embedders():
     """Two widths of the default embedder, and the wider one over normalised markup."""
-    return {"small": hashed_tf_embedder(64), "wide": hashed_tf_embedder(256), "wide_normalized": normalizing(hashed_tf_embedder(256))}
+    wide = hashed_tf_embedder(256)
+    return {"small": hashed_tf_embedder(64), "wide": wide, "wide_normalized": normalizing(wide)}
 
 
 @register("chunker_grid")

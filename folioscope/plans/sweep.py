@@ -14,7 +14,7 @@ from folioscope.functions.models import Embedder, Scorer
 from folioscope.operators import chunking as K
 from folioscope.operators import lexical as L
 from folioscope.operators import metrics as M
-from folioscope.operators.dense import dense_top_k, embed
+from folioscope.operators.dense import dense_top_k, embed, embed_all
 from folioscope.plans.retrieve import CONFIGS, RetrievalConfig, retrieve_from, with_chunk
 from folioscope.session import cut_lineage, scratch_path
 
@@ -37,6 +37,25 @@ def _all_of(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def _encoded(chunks: DataFrame, embedders: Mapping[str, Embedder]) -> list[tuple[DataFrame, float]]:
+    """Per embedder its stored vectors, ``user`` tagged with its name, and the seconds that took."""
+    out = []
+    if all(getattr(e, "encoder", None) for e in embedders.values()):
+        begun = time.monotonic()
+        packed, spent = embed_all(chunks, list(embedders.values()))
+        packed = cut_lineage(packed)
+        took, total = time.monotonic() - begun, sum(s.value for s in spent)
+        for n, (name, seconds) in enumerate(zip(embedders, spent)):
+            mine = packed.select(_tagged(F.col("user"), name).alias("user"), "ord", F.col(f"e{n}").alias("embedding"))
+            out.append((mine, took * seconds.value / total if total else took / len(embedders)))
+        return out
+    for name, embedder in embedders.items():
+        begun = time.monotonic()
+        mine = chunks.withColumn("user", _tagged(F.col("user"), name))
+        out.append((cut_lineage(embed(mine, embedder).select("user", "ord", "embedding")), time.monotonic() - begun))
+    return out
+
+
 def sweep(
     documents: DataFrame, questions: DataFrame, embedders: Mapping[str, Embedder], chunkers: Sequence[str] | None = None,
     configs: Sequence[RetrievalConfig] = SWEPT, scorer: Scorer | None = None,
@@ -47,7 +66,8 @@ def sweep(
     per chunker and embedder; ``questions(user, qid, text, gold_text)`` have a ``qid`` of their own across users. Chunker
     and embedder are part of the user key of one index and one vector table, so a single search, fusion and
     rescoring serves all cells. ``build_s`` is the time to cut, index and encode; ``index_kb`` the stored lexical index.
-    Rows without a user take no part, and names hold no control character.
+    Embedders with an ``encoder`` share one pass over a chunker's texts, whose time is dealt to them by the seconds its tasks spent on
+    each. Rows without a user take no part, and names hold no control character.
     """
     spark = documents.sparkSession
     cut, indexes, vectors, asked, built = [], [], [], [], []
@@ -55,18 +75,14 @@ def sweep(
         begun = time.monotonic()
         chunks = cut_lineage(K.chunk_documents(documents, chunker).withColumn("user", _tagged(F.col("user"), chunker)).select("user", "ord", "text"))
         path = scratch_path(spark, "swept")
-        L.build_index(chunks).write(path)
-        index = L.LexicalIndex.read(spark, path)
+        index = L.store_index(chunks, path)
         counted = time.monotonic() - begun
-        n_postings = index.postings.count()
-        n_chunks = index.docs.count()
+        n_postings, n_chunks = L.sizes(index)
         cut.append(chunks)
         indexes.append(index)
-        for name, embedder in embedders.items():
-            begun = time.monotonic()
-            mine = chunks.withColumn("user", _tagged(F.col("user"), name))
-            vectors.append(cut_lineage(embed(mine, embedder).select("user", "ord", "embedding")))
-            built.append((chunker, name, n_chunks, n_postings, _stored_kb(spark, path), round(counted + time.monotonic() - begun, 2)))
+        for (name, embedder), (mine, encoded) in zip(embedders.items(), _encoded(chunks, embedders)):
+            vectors.append(mine)
+            built.append((chunker, name, n_chunks, n_postings, _stored_kb(spark, path), round(counted + encoded, 2)))
             asked.append(embed(questions.withColumn("user", _tagged(F.col("user"), name, chunker)), embedder).select("user", "qid", "embedding"))
 
     depth = max(c.top_k for c in configs)
@@ -85,8 +101,12 @@ def sweep(
         lists.append(per_embedder(L.bm25_top_k(index, by_chunker, depth)).withColumn("retriever", F.lit("bm25")))
     if any(c.use_dense for c in configs):
         lists.append(dense_top_k(_all_of(vectors), cut_lineage(_all_of(asked)), depth).withColumn("retriever", F.lit("dense")))
-    cells, everyone = per_embedder(_all_of(cut)), per_embedder(by_chunker)
-    got = retrieve_from(_all_of(lists), everyone.select("user", "qid", "text"), cells, configs, scorer)
+    everyone = per_embedder(by_chunker)
+    hits = cut_lineage(_all_of(lists))
+    # texts of what was found, once for all embedders and for the fusion, the rescoring and the metrics
+    found = hits.select("user", "ord").distinct().withColumn("_cell", F.col("user")).withColumn("user", F.split("user", _SEP, 2)[1])
+    cells = cut_lineage(with_chunk(found, _all_of(cut), ["text"]).select(F.col("_cell").alias("user"), "ord", "text"))
+    got = retrieve_from(hits, everyone.select("user", "qid", "text"), cells, configs, scorer)
 
     keys = ["user", "qid", "ord"]
     pairs = got.ranked.select(*keys).union(got.candidates.select(*keys)).distinct()
