@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,13 +52,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back from there.
 
-    Unlike an RDD checkpoint this computes the plan once and keeps column pruning.
+    Unlike an RDD checkpoint this computes the plan once and keeps column pruning. ``codec`` is for tables as large as the texts.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,6 +92,18 @@ def bound_batches(spark: SparkSession, rows: int) -> None:
         spark.conf.set(name, str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand Python at most ``rows`` rows at a time in the jobs that are run inside, for rows that each stand for many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    bound_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` has at most ``max_rows`` rows holding at most ``max_bytes`` of values.
 
