@@ -58,10 +58,26 @@ def cut_lineage(df: DataFrame, codec: str | None = None) -> DataFrame:
     Unlike an RDD checkpoint this computes the plan once and keeps column pruning. ``codec`` is for tables as large as the texts.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path, compression=codec)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that are run inside go when each ends, not when the driver happens to collect its garbage.
+
+    For writes: a table that is written is planned anew, so nothing later reads those files.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder, for tables one job writes and reads back."""
     ensure_checkpoint_dir(spark)

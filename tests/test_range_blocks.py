@@ -1,12 +1,15 @@
 """Posting blocks kept as one row a range, and the search next to them."""
 
 import random
+import time
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import lexical as L
+from folioscope.session import cut_lineage
 
 COLUMNS = ["user", "qid", "rank", "ord", "score"]
 
@@ -56,3 +59,15 @@ def test_a_range_is_one_row(spark):
     held = ranges.select(F.explode("ords").alias("ord"), "range").collect()
     assert len(held) == chunks.count() and all(r.range == r.ord // 16 for r in held)
 
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    folders = [Path(f.getPath()) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for folder in folders for f in folder.rglob("shuffle_*")}
+    before = files()
+    kept = cut_lineage(spark.range(1000).repartition(5, "id"))
+    for _ in range(40):
+        if not files() - before:
+            break
+        time.sleep(0.25)
+    assert not files() - before and kept.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
